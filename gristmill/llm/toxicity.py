@@ -105,8 +105,8 @@ def _features(docs: DataFrame, keep: list[str], text_col: str, vocabulary: list[
     return docs.select(*keep, F.col(text_col).alias("__t")).mapInArrow(run, f"{schema}, terms array<int>, tf array<int>")
 
 
-def choose_terms(examples: DataFrame, min_z: float, max_terms: int) -> list[str]:
-    """Terms whose log odds of standing in positive rather than negative examples (toxic, text) exceed 0 by min_z standard errors."""
+def choose_terms(examples: DataFrame, min_odds: float, min_z: float, max_terms: int) -> list[str]:
+    """Terms whose log odds of standing in positive rather than negative examples (toxic, text) are min_odds or more and exceed 0 by min_z standard errors."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pos, neg = Counter(), Counter()
@@ -121,11 +121,11 @@ def choose_terms(examples: DataFrame, min_z: float, max_terms: int) -> list[str]
     p, q = n["pos"], n["all"] - n["pos"]
     counted = examples.select("toxic", "text").mapInArrow(run, "term string, pos bigint, neg bigint").groupBy("term").agg(F.sum("pos").alias("a"), F.sum("neg").alias("b"))
     odds = F.log((F.col("a") + 0.5) / (F.lit(p) - F.col("a") + 0.5)) - F.log((F.col("b") + 0.5) / (F.lit(q) - F.col("b") + 0.5))
-    scored = counted.withColumn("z", odds / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))).filter(F.col("z") >= min_z)
+    scored = counted.withColumn("z", odds / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))).filter((F.col("z") >= min_z) & (odds >= min_odds))
     return sorted(r["term"] for r in scored.orderBy(F.desc("z"), "term").limit(max_terms).select("term").collect())
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", k: int = 10, max_examples: int = 20_000, max_terms: int = 4096, max_postings: int = 2_000_000, min_z: float = 3.0, shrink: float = 1.5, carry: tuple[str, ...] = ()) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", k: int = 10, max_examples: int = 20_000, max_terms: int = 4096, max_postings: int = 2_000_000, min_odds: float = 3.0, min_z: float = 3.0, shrink: float = 1.5, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of docs: id_col, the columns of carry, score, predicted, evidence.
 
     labels: (id_col, label_col) of the rows to learn from; null ids or labels teach nothing, repeated ids
@@ -141,7 +141,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     chosen = known.orderBy(F.xxhash64(id_col), id_col).limit(max_examples)  # so many rows at most: small enough to broadcast
     examples = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col).groupBy(id_col).agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
     examples = materialize(examples, "examples")
-    vocabulary = choose_terms(examples, min_z, max_terms)
+    vocabulary = choose_terms(examples, min_odds, min_z, max_terms)
     features = materialize(_features(docs, [id_col, *carry], text_col, vocabulary), "features")
     n_docs = features.count()
     df = np.zeros(len(vocabulary) + 1)
