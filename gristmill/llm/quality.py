@@ -103,7 +103,8 @@ def score_quality(docs: DataFrame, trusted: DataFrame, text_col: str = "text", k
     and is not kept. Ties at the threshold are kept. Columns of docs stay, except that columns of the
     added names are replaced.
     """
-    target = docs.join(trusted.select(key).distinct(), key, "left_semi")
+    # one plan at every size: each text moves once at most
+    target = docs.join(trusted.select(key).distinct().hint("merge"), key, "left_semi")
     found = log_ratios(target, docs, text_col, order, buckets, smoothing).first()["ratios"]  # `buckets` doubles, whatever the input
     # one literal: Spark folds the split and the cast before the job starts
     table = F.split(F.lit(",".join(map(repr, found))), ",").cast("array<double>") if found else None
