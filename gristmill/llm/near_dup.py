@@ -5,11 +5,12 @@ signature of ``bands * rows`` samples. Bands give candidates; the samples folded
 (an odd sketch) estimate a candidate pair's similarity from the population count of the XOR of the two
 bitmaps, and pairs that are certainly too far apart end there; the rest are confirmed on full sets.
 
-Buckets are never expanded into all pairs. In each round every bucket's members are compared with the
-member of the smallest id only; then connected components are taken, and in the next round only
-buckets that still hold several components remain, and in these each component's smallest member
-is compared with the others' members, until nothing is left to compare. A large group of near copies is thus
-resolved by its star. A link at the similarity bound is lost by banding with a chance below 1e-6.
+Buckets are not expanded into all pairs. In each of a few rounds every bucket's members are compared
+with one center only, drawn by hash; then connected components are taken, and only buckets that still
+hold several components, and in them only pairs across components, go on: a large group of near copies
+is resolved by its stars. What is open after these rounds is compared in full, among members whose
+sizes and sketches allow a link, until nothing is left. A link at the similarity bound is lost by
+banding with a chance below 1e-6, by its sketches with one of about 1e-5.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Rounds in which a bucket's members are compared with one center.
+STAR_ROUNDS = 3
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _STEP)
 
 
@@ -115,7 +118,7 @@ def odd_sketches(signatures: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits(flips, axis=1, bitorder="little").view(np.uint64)
 
 
-def popcount_bound(samples: int, bits: int, similarity: float, sigmas: float = 6.0) -> int:
+def popcount_bound(samples: int, bits: int, similarity: float, sigmas: float = 4.5) -> int:
     """Population count of the XOR that a pair of at least this similarity exceeds with a chance of sigmas standard deviations only."""
     apart = samples * (1 - similarity)
     apart = 2 * min(samples, apart + sigmas * (samples * similarity * (1 - similarity)) ** 0.5)
@@ -218,9 +221,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = materialize(one.select("class_id", "id", "fp", "n_shingles", "bands", "odd"), "representatives")
 
     members = reps.select("class_id", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class_id").alias("center")).filter("n > 1").drop("n")
+    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
     members = materialize(members.join(shared, "bucket"), "buckets")
-    pairs = members.filter("class_id != center").select(F.col("class_id").alias("a"), F.col("center").alias("b")).distinct()
     far = popcount_bound(bands * rows, bits, percent / 100)
     light = reps.select("class_id", "n_shingles", "odd")
     side = lambda x: light.select(F.col("class_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("odd").alias(f"odd_{x}"))
@@ -236,28 +238,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         both = F.size(F.array_intersect("h_a", "h_b"))
         return materialize(x.filter(both * 100 >= (F.col("n_a") + F.col("n_b") - both) * percent).select("a", "b"), f"links-{at}")
 
-    links = confirmed(pairs, 0)
     nodes = reps.select("class_id")
-    tested = pairs
-    at = 0
+    comp, links, tested, at = nodes.withColumn("comp", F.col("class_id")), None, None, 0
     while True:
-        comp = materialize(components(nodes, links), f"components-{at}")
-        at += 1
-        placed = members.select("bucket", "class_id").join(comp, "class_id")
+        placed = members.join(comp, "class_id")
         open_ = placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("bucket")
-        placed = placed.join(open_, "bucket")
-        heads = placed.groupBy("bucket", "comp").agg(F.min("class_id").alias("head"), F.count("*").alias("m"))
-        small = heads.groupBy("bucket").agg(F.max(F.struct("m", "comp")).alias("top"))
-        # every member of all but the largest component of a bucket meets the bucket's other members
-        rest = placed.join(small.select("bucket", F.col("top.comp").alias("largest")), "bucket")
-        mine = rest.filter("comp != largest").select("bucket", F.col("class_id").alias("x"), F.col("comp").alias("comp_x"))
-        pairs = mine.join(placed.select("bucket", F.col("class_id").alias("y"), F.col("comp").alias("comp_y")), "bucket").filter("comp_x != comp_y")
-        pairs = pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, f"pairs-{at}")
+        placed = placed.join(open_, "bucket") if at else placed
+        if at < STAR_ROUNDS:
+            # a bucket's center is drawn by hash, one of four in a large group that shares all its buckets, and others in each round
+            drawn = F.min(F.struct(F.xxhash64("class_id", F.lit(at), F.pmod("bucket", F.lit(4))), "class_id", "comp"))
+            centers = placed.groupBy("bucket").agg(drawn.alias("c")).select("bucket", F.col("c.class_id").alias("y"), F.col("c.comp").alias("comp_y"))
+            pairs = placed.join(centers, "bucket").filter("comp != comp_y").select(F.greatest("class_id", "y").alias("a"), F.least("class_id", "y").alias("b"))
+        else:
+            # what stays open: members of unlike components whose sizes allow a link, met by classes of size
+            sized = placed.join(light, "class_id").select("bucket", "class_id", "comp", "n_shingles", "odd", F.floor(F.log("n_shingles") / F.log(F.lit(100 / percent))).cast("int").alias("class"))
+            other = sized.select("bucket", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)).alias("class"), F.col("class_id").alias("y"), F.col("comp").alias("comp_y"), F.col("n_shingles").alias("n_y"), F.col("odd").alias("odd_y"))
+            able = (F.least("n_shingles", "n_y") * 100 >= F.greatest("n_shingles", "n_y") * percent) & (_apart(F.col("odd"), F.col("odd_y")) <= far)
+            met = sized.alias("x").join(other.alias("o"), (F.col("x.bucket") == F.col("o.bucket")) & (F.col("x.class") == F.col("o.class")) & (F.col("class_id") > F.col("y")) & (F.col("comp") != F.col("comp_y")) & able)
+            pairs = met.select(F.col("class_id").alias("a"), F.col("y").alias("b"))
+        pairs = pairs.distinct()
+        pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti") if at else pairs, f"pairs-{at}")
         if pairs.isEmpty():
-            break
-        tested = materialize(tested.union(pairs), f"tested-{at}")
-        links = links.union(confirmed(pairs, at))
+            if at >= STAR_ROUNDS or not at:
+                break
+            at = STAR_ROUNDS
+            continue
+        new = confirmed(pairs, at)
+        tested = tested.union(pairs) if at else pairs
+        links = links.union(new) if at else new
+        comp = materialize(components(nodes, links), f"components-{at}")
+        at += 1
     smallest = comp.join(reps.select("class_id", "id"), "class_id").groupBy("comp").agg(F.min("id").alias("component_id"))
     label = named.join(comp, "class_id").join(smallest, "comp").select("fp", "component_id")
     out = sketches.join(label, "fp", "left")
