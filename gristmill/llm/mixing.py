@@ -72,7 +72,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sums = sums.select("no", "bucket", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("offset"))
     within = Window.partitionBy("no", "bucket").orderBy("h", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = by_no.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0))).join(sums, ["no", "bucket"]).withColumn("start", F.col("inner") + F.col("offset"))
-    # slots by source, ranked: counts by range of slots, then within a range
+    # slots by source, ranked: counts by range of slots, then within a range. Slots, whose shuffled bytes pack
+    # to almost nothing, must not look small enough to broadcast: hence the merge hints
     ends = Window.partitionBy(F.lit(0)).orderBy("no")
     edges = by.select("no", F.round(F.sum("target").over(ends) / F.lit(total["target"] or 1.0) * F.lit(float(1 << 32))).cast("bigint").alias("high"))
     edges = edges.withColumn("low", F.coalesce(F.lag("high").over(ends), F.lit(0))).filter("low < high")
@@ -81,10 +82,10 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     point = (F.col("id") * F.lit(GOLDEN)) % F.lit(1 << 32)
     blocks = by.select("no", (F.ceil(F.col("source_size") / tokens)).cast("bigint").alias("blocks"))
     drawn = spark.range(slots).select(F.col("id").alias("slot"), point.alias("point"), F.shiftright(point, CELL_BITS).alias("cell"), F.floor(F.col("id") / RANGE).alias("range"))
-    drawn = drawn.join(edges, "cell").filter("low <= point and point < high").select("slot", "no", "range")
+    drawn = drawn.join(edges.hint("merge"), "cell").filter("low <= point and point < high").select("slot", "no", "range")
     counts = drawn.groupBy("no", "range").agg(F.count("*").alias("n"))
     counts = counts.select("no", "range", F.coalesce(F.sum("n").over(Window.partitionBy("no").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    ranked = drawn.withColumn("rank", F.row_number().over(Window.partitionBy("no", "range").orderBy("slot")) - 1).join(counts, ["no", "range"]).withColumn("rank", F.col("rank") + F.col("before"))
+    ranked = drawn.withColumn("rank", F.row_number().over(Window.partitionBy("no", "range").orderBy("slot")) - 1).join(counts.hint("merge"), ["no", "range"]).withColumn("rank", F.col("rank") + F.col("before"))
     ranked = ranked.join(blocks, "no").filter((F.col("blocks") > 0) & (F.col("rank") < F.col("blocks") * most_repeats))
     uses = ranked.groupBy("no", (F.col("rank") % F.col("blocks")).alias("block")).agg(F.count("*").alias("uses"))
     # a document's pieces in blocks, and how often each block is used
@@ -93,7 +94,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first, last = F.floor(F.col("start") / tokens), F.floor((F.col("start") + F.col("size") - 1) / tokens)
     pieces = placed.filter("size > 0").select("row", "no", "start", "size", F.explode(F.sequence(first, last)).alias("block"))
     overlap = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * tokens) - F.greatest(F.col("start"), F.col("block") * tokens)
-    taken = pieces.join(uses, ["no", "block"]).groupBy("row").agg(F.sum(overlap * F.col("uses")).alias("taken"))
+    taken = pieces.join(uses.hint("merge"), ["no", "block"]).groupBy("row").agg(F.sum(overlap * F.col("uses")).alias("taken"))
     out = placed.join(taken, "row", "left")
     return out.select(F.col("id").alias(id_col), *(F.col(a).alias(c) for c, a in named.items()), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
 
