@@ -34,6 +34,15 @@ def _unpack48(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """The values' lowest bytes, then their next ones and so on: the high bytes of small values are runs of zeros, which shuffles and tables pack well."""
+    return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+
+
+def _from_planes(data: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 def _pairs(seq: np.ndarray, counts: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
     """Codes of the bigrams at all places, and which places have one (a text's first word has none)."""
     first = np.zeros(seq.size, dtype=bool)
@@ -63,7 +72,7 @@ def blocks_of(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) ->
         grams = _grams(uni, seq, counts)[0].size
         key = int(mix(np.array([len(texts), hashes.size, hashes.sum(dtype=np.uint64) if hashes.size else 0], dtype=np.uint64)).sum(dtype=np.uint64) >> np.uint64(1))
         key ^= hash(tuple(ids)) & 0x7FFFFFFFFFFFFFFF
-        return {"block": key, "ids": ids, "counts": counts, "words": uni.tobytes(), "places": seq.astype(np.uint32).tobytes(), "n_grams": grams}
+        return {"block": key, "ids": ids, "counts": counts, "words": uni.tobytes(), "places": _planes(seq.astype(np.uint32)), "n_grams": grams}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("words", pa.binary()), ("places", pa.binary()), ("n_grams", pa.int64())])
@@ -100,33 +109,33 @@ def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                uni, seq = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["places"], np.uint32).astype(np.int64)
+                uni, seq = np.frombuffer(row["words"], np.uint64), _from_planes(row["places"], np.uint32).astype(np.int64)
                 hashes, n, _ = _grams(uni, seq, np.array(row["counts"], dtype=np.int64))
                 part = ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
                 ends = np.searchsorted(part[order], np.arange(parts + 1))
                 rows = [(p, order[a:b]) for p, (a, b) in enumerate(zip(ends, ends[1:])) if b > a]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([p for p, _ in rows], pa.int64()), pa.array([row["block"]] * len(rows), pa.int64()), pa.array([_pack48(mix(hashes[o]) & _LOW48) for _, o in rows], pa.binary()), pa.array([n[o].tobytes() for _, o in rows], pa.binary())],
+                    [pa.array([p for p, _ in rows], pa.int64()), pa.array([row["block"]] * len(rows), pa.int64()), pa.array([_pack48(mix(hashes[o]) & _LOW48) for _, o in rows], pa.binary()), pa.array([_planes(n[o]) for _, o in rows], pa.binary())],
                     names=["part", "block", "grams", "n"],
                 )
 
     def count(asked: pd.DataFrame) -> pd.DataFrame:
         grams = [_unpack48(g) for g in asked["grams"]]
         _, place = np.unique(np.concatenate(grams), return_inverse=True)
-        sums = np.bincount(place, weights=np.concatenate([np.frombuffer(n, np.uint32) for n in asked["n"]]))
+        sums = np.bincount(place, weights=np.concatenate([_from_planes(n, np.uint32) for n in asked["n"]]))
         answers = np.split(sums[place].astype(np.uint64), np.cumsum([g.size for g in grams])[:-1])
-        return pd.DataFrame({"part": asked["part"], "block": asked["block"], "totals": [a.tobytes() for a in answers]})
+        return pd.DataFrame({"part": asked["part"], "block": asked["block"], "totals": [_planes(a) for a in answers]})
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         for row in left.itertuples():
-            uni, seq, counts = np.frombuffer(row.words, np.uint64), np.frombuffer(row.places, np.uint32).astype(np.int64), np.asarray(row.counts, dtype=np.int64)
+            uni, seq, counts = np.frombuffer(row.words, np.uint64), _from_planes(row.places, np.uint32).astype(np.int64), np.asarray(row.counts, dtype=np.int64)
             hashes, _, place = _grams(uni, seq, counts)
             part = ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
             found = np.empty(hashes.size)
             if hashes.size:
-                found[np.argsort(part, kind="stable")] = np.concatenate([np.frombuffer(t, np.uint64) for t in right.sort_values("part")["totals"]])
+                found[np.argsort(part, kind="stable")] = np.concatenate([_from_planes(t, np.uint64) for t in right.sort_values("part")["totals"]])
             one, two = found[: uni.size], found[uni.size :]
             here = place >= 0
             pair = np.where(here, two[np.where(here, place, 0)] if two.size else 0.0, 0.0)
