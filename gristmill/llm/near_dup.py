@@ -119,11 +119,14 @@ def odd_sketches(signatures: np.ndarray, bits: int) -> np.ndarray:
 
 
 def popcount_bound(samples: int, bits: int, similarity: float, sigmas: float = 4.5) -> int:
-    """Population count of the XOR that a pair of at least this similarity exceeds with a chance of sigmas standard deviations only."""
+    """Population count of the XOR that a pair of at least this similarity exceeds with a chance of sigmas standard deviations only.
+
+    Two independent errors add up: of the samples that differ, and of the bits on which their flips fall."""
     apart = samples * (1 - similarity)
-    apart = 2 * min(samples, apart + sigmas * (samples * similarity * (1 - similarity)) ** 0.5)
-    expected = bits / 2 * (1 - (1 - 2 / bits) ** apart)
-    return int(min(bits, expected + sigmas * (bits / 4 * (1 - (1 - 2 / bits) ** (2 * apart))) ** 0.5) + 1)
+    expected = bits / 2 * (1 - (1 - 2 / bits) ** (2 * apart))
+    sampled = 4 * samples * similarity * (1 - similarity) * (1 - 2 / bits) ** (4 * apart)
+    folded = bits / 4 * (1 - (1 - 2 / bits) ** (4 * apart))
+    return int(min(bits, expected + sigmas * (sampled + folded) ** 0.5) + 1)
 
 
 def sketch(docs: DataFrame, id_col: str, text_col: str, k: int, bands: int, rows: int, bits: int) -> DataFrame:
@@ -227,10 +230,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     light = reps.select("class_id", "n_shingles", "odd")
     side = lambda x: light.select(F.col("class_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("odd").alias(f"odd_{x}"))
 
-    def confirmed(pairs: DataFrame, at: int) -> DataFrame:
+    def near(pairs: DataFrame, at: int) -> DataFrame:
         close = pairs.join(side("a"), "a").join(side("b"), "b")
         close = close.filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent).filter(_apart(F.col("odd_a"), F.col("odd_b")) <= far)
-        close = materialize(close.select("a", "b", "n_a", "n_b"), f"candidates-{at}")
+        return materialize(close.select("a", "b", "n_a", "n_b"), f"candidates-{at}")
+
+    def confirmed(close: DataFrame, at: int) -> DataFrame:
         wanted = close.select(F.col("a").alias("class_id")).union(close.select("b")).distinct().join(reps.select("class_id", "id", "fp"), "class_id")
         texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("t")).join(wanted, "id")
         sets = materialize(full_sets(texts, k).dropDuplicates(["class_id"]), f"sets-{at}")
@@ -255,7 +260,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             other = sized.select("bucket", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)).alias("class"), F.col("class_id").alias("y"), F.col("comp").alias("comp_y"), F.col("n_shingles").alias("n_y"), F.col("odd").alias("odd_y"))
             able = (F.least("n_shingles", "n_y") * 100 >= F.greatest("n_shingles", "n_y") * percent) & (_apart(F.col("odd"), F.col("odd_y")) <= far)
             met = sized.alias("x").join(other.alias("o"), (F.col("x.bucket") == F.col("o.bucket")) & (F.col("x.class") == F.col("o.class")) & (F.col("class_id") > F.col("y")) & (F.col("comp") != F.col("comp_y")) & able)
-            pairs = met.select(F.col("class_id").alias("a"), F.col("y").alias("b"))
+            pairs = met.select(F.col("class_id").alias("a"), F.col("y").alias("b"), F.col("n_shingles").alias("n_a"), F.col("n_y").alias("n_b"))
         pairs = pairs.distinct()
         pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti") if at else pairs, f"pairs-{at}")
         if pairs.isEmpty():
@@ -263,8 +268,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 break
             at = STAR_ROUNDS
             continue
-        new = confirmed(pairs, at)
-        tested = tested.union(pairs) if at else pairs
+        new = confirmed(near(pairs, at) if at < STAR_ROUNDS else pairs, at)
+        tested = tested.union(pairs.select("a", "b")) if at else pairs
         links = links.union(new) if at else new
         comp = materialize(components(nodes, links), f"components-{at}")
         at += 1
