@@ -1,10 +1,10 @@
-"""Mixing sources to target weights by a low-discrepancy schedule.
+"""Mixing sources to target weights, exactly.
 
-Each source's documents, shuffled by a hash, form one stream of tokens, cut into blocks of equal tokens.
-Slot n of the schedule takes the n-th golden-ratio point, which cumulative target weights map to a source; the
-slots of a source are ranked, and rank r takes the source's block r modulo its number of blocks. Slots
-and blocks are joined by (source, block), so a source with a third of all rows spreads over all tasks.
-Ranks and places in a stream are prefix sums in two levels: sums by hash bucket or slot range first, then within each.
+Each source's documents, shuffled by a hash, form one stream of words. A source runs through its stream as many whole
+times as its target holds, then from the start as far as the rest goes: what it takes is its target to the word, at any
+size of the corpus, and a small source is none the worse for large ones. Evenly spread slots, rank r of a source's n at
+(r + 1/2) / n of the mix, would take the same; so no slots are drawn, and no block is joined.
+Places in a stream are prefix sums in two levels: sums by hash bucket first, then within each.
 """
 
 from __future__ import annotations
@@ -14,12 +14,8 @@ from pyspark.sql import functions as F
 
 from gristmill.llm.common import WS, materialize
 
-#: Multiplier of the golden-ratio points in 32-bit arithmetic: 2^32 / golden ratio, made odd.
-GOLDEN = 2654435769
-#: Hash buckets of a source's stream, and slots in a range.
-BUCKETS, RANGE = 4096, 4096
-#: Points and the sources' parts of the cumulative weights meet by cells of so many low bits.
-CELL_BITS = 20
+#: Hash buckets of a source's stream.
+BUCKETS = 4096
 
 
 def text_size(text: Column) -> Column:
@@ -48,12 +44,11 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most_rep
     return by.withColumn("target", F.least(F.col("most"), level * F.col("weight"))).select("source", "source_size", "target", "no")
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most_repeats: int = 2, block_tokens: int = 64, most_blocks: int = 1 << 22, seed: str = "mix", keep: tuple[str, ...] = ()) -> DataFrame:
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most_repeats: int = 2, seed: str = "mix", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of docs: id_col, the columns of keep, size, source_size, target, taken.
 
     size is the number of words of the text (null: 0); taken, the words the mix takes of the row, repeats
-    counted, is most_repeats * size at most. A block has block_tokens words, or more where the corpus would
-    have over most_blocks blocks. A source's last block may be shorter. Reruns agree: the order is by
+    counted, is most_repeats * size at most; a source's sum of taken is its target, to the nearest word. Reruns agree: the order is by
     md5(seed and id), then size; rows alike in both may change places. A null id is ordered as "". A null source
     is a source of its own, the last. Sources of no words get target 0. An empty table gives no rows. Other columns are
     ignored. The table of sources must fit a task: it has one row a source.
@@ -62,9 +57,6 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), text_size(F.col(text_col)).alias("size"), *(F.col(c).alias(a) for c, a in named.items()))
     rows = materialize(rows.withColumn("h", F.md5(F.concat(F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary"))), "sizes")
     by = materialize(targets(rows.select("source", "size"), weights, share, most_repeats), "sources")
-    total = by.agg(F.sum("source_size").alias("size"), F.sum("target").alias("target")).first()
-    tokens = max(block_tokens, -(-(total["size"] or 0) // most_blocks))
-    slots = int(round((total["target"] or 0.0) / tokens))
     # places in a source's stream: sums by hash bucket, then within a bucket
     by_no = _with_source(rows, by).withColumn("bucket", F.conv(F.substring("h", 1, 3), 16, 10).cast("int") % BUCKETS)
     sums = by_no.groupBy("no", "bucket").agg(F.sum("size").alias("sum"))
@@ -72,31 +64,11 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sums = sums.select("no", "bucket", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("offset"))
     within = Window.partitionBy("no", "bucket").orderBy("h", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = by_no.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0))).join(sums, ["no", "bucket"]).withColumn("start", F.col("inner") + F.col("offset"))
-    # slots by source, ranked: counts by range of slots, then within a range. Slots, whose shuffled bytes pack
-    # to almost nothing, must not look small enough to broadcast: hence the merge hints
-    ends = Window.partitionBy(F.lit(0)).orderBy("no")
-    edges = by.select("no", F.round(F.sum("target").over(ends) / F.lit(total["target"] or 1.0) * F.lit(float(1 << 32))).cast("bigint").alias("high"))
-    edges = edges.withColumn("low", F.coalesce(F.lag("high").over(ends), F.lit(0))).filter("low < high")
-    edges = edges.withColumn("cell", F.explode(F.sequence(F.shiftright("low", CELL_BITS), F.shiftright(F.col("high") - 1, CELL_BITS))))
-    spark = docs.sparkSession
-    point = (F.col("id") * F.lit(GOLDEN)) % F.lit(1 << 32)
-    blocks = by.select("no", (F.ceil(F.col("source_size") / tokens)).cast("bigint").alias("blocks"))
-    drawn = spark.range(slots).select(F.col("id").alias("slot"), point.alias("point"), F.shiftright(point, CELL_BITS).alias("cell"), F.floor(F.col("id") / RANGE).alias("range"))
-    drawn = drawn.join(edges.hint("merge"), "cell").filter("low <= point and point < high").select("slot", "no", "range")
-    counts = drawn.groupBy("no", "range").agg(F.count("*").alias("n"))
-    counts = counts.select("no", "range", F.coalesce(F.sum("n").over(Window.partitionBy("no").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    ranked = drawn.withColumn("rank", F.row_number().over(Window.partitionBy("no", "range").orderBy("slot")) - 1).join(counts.hint("merge"), ["no", "range"]).withColumn("rank", F.col("rank") + F.col("before"))
-    ranked = ranked.join(blocks, "no").filter((F.col("blocks") > 0) & (F.col("rank") < F.col("blocks") * most_repeats))
-    uses = ranked.groupBy("no", (F.col("rank") % F.col("blocks")).alias("block")).agg(F.count("*").alias("uses"))
-    # a document's pieces in blocks, and how often each block is used
-    placed = placed.withColumn("row", F.monotonically_increasing_id())
-    placed = materialize(placed.select("row", "id", *named.values(), "no", "size", "source_size", "target", "start"), "placed")
-    first, last = F.floor(F.col("start") / tokens), F.floor((F.col("start") + F.col("size") - 1) / tokens)
-    pieces = placed.filter("size > 0").select("row", "no", "start", "size", F.explode(F.sequence(first, last)).alias("block"))
-    overlap = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * tokens) - F.greatest(F.col("start"), F.col("block") * tokens)
-    taken = pieces.join(uses.hint("merge"), ["no", "block"]).groupBy("row").agg(F.sum(overlap * F.col("uses")).alias("taken"))
-    out = placed.join(taken, "row", "left")
-    return out.select(F.col("id").alias(id_col), *(F.col(a).alias(c) for c, a in named.items()), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
+    words = F.least(F.round("target").cast("bigint"), F.col("source_size") * most_repeats)
+    rounds = F.when(F.col("source_size") > 0, F.floor(words / F.col("source_size"))).otherwise(0)
+    rest = words - rounds * F.col("source_size")
+    taken = rounds * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("start")))
+    return placed.select(F.col("id").alias(id_col), *(F.col(a).alias(c) for c, a in named.items()), "size", "source_size", "target", taken.cast("bigint").alias("taken"))
 
 
 def _with_source(rows: DataFrame, by: DataFrame) -> DataFrame:

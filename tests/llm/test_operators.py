@@ -169,6 +169,17 @@ def test_mixing(spark, docs, none):
     assert mixing.mix_sources(docs).count() == 9 and mixing.mix_sources(none).count() == 0
 
 
+def test_mixing_is_exact_for_small_sources(spark):
+    sizes = {"big": [5000, 700, 4301], "a": [30], "b": [3, 8], "c": [1], "d": [70, 41]}
+    table = spark.createDataFrame(rows(*(" ".join(["w"] * n) for s in sizes.values() for n in s), sources=[k for k, s in sizes.items() for _ in s]), SCHEMA)
+    names = [k for k, s in sizes.items() for _ in s]
+    out = [r.asDict() for r in mixing.mix_sources(table, share=1.9).collect()]
+    for name in sizes:
+        own = [r for r in out if names[r["doc_id"] - 1] == name]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 0.5 and all(0 <= r["taken"] <= 2 * r["size"] for r in own)
+    assert sum(r["taken"] for r in out if names[r["doc_id"] - 1] == "a") == 60
+
+
 def test_quality(spark, docs, none):
     import re
 
