@@ -1,17 +1,19 @@
-"""Toxicity by nearest labelled examples under exact TF-IDF cosine, with a block-max inverted index.
-
-Fitting uses a bounded sample of labelled documents: their words and word beginnings that speak for
-the label are the terms (at most ``max_terms``), and the examples that hold any are the index. Document
-frequencies are counted over all documents. The index is cut into blocks of examples; for each term
-and block it knows the largest weight, so that a document visits blocks in the order of their bounds and stops
-when no block can still hold a nearer example: the nearest examples are exact. Their votes, weighted
-by cosine and drawn towards the base rate, give the score; the examples are its evidence.
+"""Toxicity by nearest labelled examples under the cosine of whole texts' weighted TF-IDF vectors.
+
+A text's terms are all its words and word beginnings, each numbered by a hash; no term is dropped. Document
+frequencies are counted over all documents. A bounded sample of labelled documents, clean ones too, are the
+examples; terms that speak for the label there weigh ``lift`` times their TF-IDF, for under plain TF-IDF
+(lift 1) topic and language drown them. Vectors are normalised over all terms of the text. Cosines with
+all examples are summed in 32 bits, by a matrix product for terms in many examples and by posting lists for
+the others; all that can be among the nearest by them are compared again in 64 bits. The votes of the nearest, weighted by cosine
+and drawn towards the base rate, give the score; the examples are its evidence.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
+import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -23,8 +25,14 @@ from pyspark.sql import functions as F
 from gristmill.llm.common import materialize
 
 _WORD = re.compile(r"[^\W_]+")
-#: Longer words are no terms; so a term's size is bounded.
+#: Longer words can't be chosen for the label (as others they count); so a chosen term's size is bounded.
 MOST_CHARS = 64
+#: Numbers that terms are hashed to; chosen terms have their own numbers after them.
+BUCKETS = 1 << 18
+#: Entries of a worker's cache of words.
+MOST_CACHED = 200_000
+#: Examples in a part of the index on its way to the executors.
+PART = 2500
 
 
 def terms_of(text: str | None) -> Counter:
@@ -38,43 +46,93 @@ def terms_of(text: str | None) -> Counter:
     return out
 
 
-class BlockMaxIndex:
-    """Sparse unit vectors in blocks; nearest() finds those of largest inner product exactly."""
+class ExampleIndex:
+    """Sparse unit vectors; nearest() finds those of largest inner product. Weights have 32 bits, sums that decide 64.
+
+    Terms in more than a ``dense`` part of the vectors are rows of a matrix, the others have posting lists.
+    """
+
+    #: 32-bit sums of unit vectors' products are surely this close.
+    SLACK = 1e-4
 
-    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = 64):
-        self.block, self.n = block, len(rows)
-        self.blocks = -(-self.n // block)
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = 64, dense: float = 0.12):
         terms = np.concatenate([r[0] for r in rows]) if rows else np.zeros(0, dtype=np.int64)
-        weights = np.concatenate([r[1] for r in rows]) if rows else np.zeros(0)
-        owner = np.repeat(np.arange(self.n), [len(r[0]) for r in rows]) if rows else np.zeros(0, dtype=np.int64)
-        order = np.lexsort((owner, terms))
-        self.owner, self.weight, terms = owner[order], weights[order], terms[order]
-        self.start = np.searchsorted(terms, np.arange(n_terms + 1))
-        self.largest = np.zeros((n_terms, self.blocks))
-        np.maximum.at(self.largest, (terms, self.owner // block), self.weight)
+        self._open(np.bincount(terms, minlength=n_terms), len(rows), block, dense)
+        if rows:
+            self._add(terms, np.concatenate([r[1] for r in rows]), np.array([len(r[0]) for r in rows]))
+
+    @classmethod
+    def of(cls, counts: np.ndarray, n: int, parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], block: int = 64, dense: float = 0.12) -> ExampleIndex:
+        """The index of n vectors that come in parts (terms, weights, length of each vector); counts: vectors that hold each term."""
+        self = cls.__new__(cls)
+        self._open(counts, n, block, dense)
+        for part in parts:
+            self._add(*part)
+        return self
+
+    def _open(self, counts: np.ndarray, n: int, block: int, dense: float) -> None:
+        self.block, self.n, self.added = block, n, 0
+        common = np.flatnonzero(counts > max(1, dense * n))
+        self.row = np.full(len(counts), -1, dtype=np.int32)
+        self.row[common] = np.arange(len(common))
+        self.matrix = np.zeros((len(common), n), dtype=np.float32)
+        rare = counts.copy()
+        rare[common] = 0
+        self.start = np.concatenate([[0], np.cumsum(rare)])
+        self.free = self.start[:-1].copy()
+        self.owner = np.zeros(self.start[-1], dtype=np.int32)
+        self.weight = np.zeros(self.start[-1], dtype=np.float32)
+
+    def _add(self, terms: np.ndarray, weights: np.ndarray, lengths: np.ndarray) -> None:
+        owner = np.repeat(np.arange(self.added, self.added + len(lengths), dtype=np.int32), lengths)
+        self.added += len(lengths)
+        row = self.row[terms]
+        self.matrix[row[row >= 0], owner[row >= 0]] = weights[row >= 0]
+        rare = np.flatnonzero(row < 0)
+        rare = rare[np.argsort(terms[rare], kind="stable")]
+        held, first, n = np.unique(terms[rare], return_index=True, return_counts=True)
+        at = np.repeat(self.free[held] - first, n) + np.arange(len(rare))
+        self.owner[at], self.weight[at] = owner[rare], weights[rare]
+        self.free[held] += n
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
         """The k (cosine, example) of largest cosine above 0, ties to the smaller example."""
-        if not self.n or not len(terms):
-            return []
-        bounds = weights @ self.largest[terms]
-        postings = [(self.owner[a:b], self.weight[a:b]) for a, b in zip(self.start[terms], self.start[terms + 1])]
-        top: list[tuple[float, int]] = []
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or len(top) == k and bounds[b] < top[0][0] * (1 - 1e-12):
-                break
-            low = b * self.block
-            found = np.zeros(self.block)
-            for (owner, weight), w in zip(postings, weights):
-                i, j = np.searchsorted(owner, (low, low + self.block))
-                found[owner[i:j] - low] += w * weight[i:j]
-            for e in np.flatnonzero(found).tolist():
-                item = (float(found[e]), -(low + e))
-                if len(top) < k:
-                    heapq.heappush(top, item)
-                elif item > top[0]:
-                    heapq.heapreplace(top, item)
-        return [(c, -e) for c, e in sorted(top, reverse=True)]
+        return self.nearest_all([(terms, weights)], k)[0]
+
+    def nearest_all(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[list[tuple[float, int]]]:
+        """nearest() of each vector, some at a time."""
+        if not self.n:
+            return [[] for _ in vectors]
+        out = []
+        for at in range(0, len(vectors), self.block):
+            part = vectors[at : at + self.block]
+            left = np.zeros((len(part), len(self.matrix)), dtype=np.float32)
+            for q, (terms, weights) in enumerate(part):
+                row = self.row[terms]
+                left[q, row[row >= 0]] = weights[row >= 0]
+            sums = left @ self.matrix
+            out += [self._best(sums[q], terms, weights, k) for q, (terms, weights) in enumerate(part)]
+        return out
+
+    def _best(self, common: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
+        low, high = self.start[terms], self.start[terms + 1]
+        some = np.flatnonzero(high > low)
+        rare = np.zeros(self.n)
+        if len(some):
+            spans = list(zip(low[some].tolist(), high[some].tolist()))
+            value = np.concatenate([self.weight[a:b] for a, b in spans]) * np.repeat(weights[some], (high - low)[some])
+            rare = np.bincount(np.concatenate([self.owner[a:b] for a, b in spans]), value, self.n)
+        sums = common + rare
+        least = np.partition(sums, self.n - k)[self.n - k] - self.SLACK if self.n > k else 0
+        near = np.flatnonzero((sums >= least) & (sums > 0))
+        row = self.row[terms]
+        found = rare[near] + (self.matrix[np.ix_(row[row >= 0], near)] * weights[row >= 0][:, None]).sum(axis=0)
+        order = np.lexsort((near, -found))[:k]
+        return list(zip(found[order].tolist(), near[order].tolist()))
+
+
+#: The index's name in older callers.
+BlockMaxIndex = ExampleIndex
 
 
 def unit(terms: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,27 +140,88 @@ def unit(terms: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray
     return terms, weights / np.sqrt((weights * weights).sum()) if len(weights) else weights
 
 
-def _features(docs: DataFrame, keep: list[str], text_col: str, vocabulary: list[str]) -> DataFrame:
-    """keep, and the numbers and counts of the vocabulary's terms in each text."""
-    number = {t: i for i, t in enumerate(vocabulary)}
-    whole = {t: i for t, i in number.items() if t[0] != "^"}
-    starts = {k: {t[1:]: i for t, i in number.items() if t[0] == "^" and len(t) == k + 1} for k in (4, 5)}
+class Numbers:
+    """The numbers and counts of all terms of a text: own numbers for the vocabulary, hashes for all others."""
+
+    def __init__(self, vocabulary: list[str]):
+        self.own = {t: BUCKETS + i for i, t in enumerate(vocabulary)}
+        self.known: dict[str, int] = {}
+        self.numbers = np.zeros((MOST_CACHED, 3), dtype=np.int32)
+
+    def _learn(self, w: str) -> int:
+        at = self.known[w] = len(self.known)
+        terms = [w, *("^" + w[:k] for k in (4, 5) if len(w) > k)]
+        self.numbers[at] = [self.own[t] if t in self.own else zlib.crc32(t.encode("utf-8", "surrogatepass")) % BUCKETS for t in terms] + [-1] * (3 - len(terms))
+        return at
+
+    def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        words = _WORD.findall((text or "").lower())
+        parts = []
+        for low in range(0, len(words), MOST_CACHED // 4):
+            part = words[low : low + MOST_CACHED // 4]
+            if len(self.known) + len(part) > MOST_CACHED:
+                self.known.clear()
+            get = self.known.get
+            places = [at if (at := get(w)) is not None else self._learn(w) for w in part]
+            parts.append(self.numbers[places].ravel())
+        if not parts:
+            return np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)
+        terms, n = np.unique(np.concatenate(parts), return_counts=True)
+        first = int(terms[0] < 0)
+        return terms[first:], n[first:]
 
+
+def frequencies(docs: DataFrame, text_col: str, vocabulary: list[str]) -> tuple[int, np.ndarray]:
+    """The number of documents, and of those that hold each term."""
+    size = BUCKETS + len(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, df, n = Numbers(vocabulary), np.zeros(size + 1, dtype=np.int64), 0
+        for batch in batches:
+            for text in batch.column(0):
+                df[numbers.of(text.as_py())[0]] += 1
+                n += 1
+        df[size] = n
+        held = np.flatnonzero(df)
+        for at in range(0, len(held), 50_000):
+            part = held[at : at + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(df[part], pa.int64())], names=["term", "n"])
+
+    counted = docs.select(F.col(text_col)).mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    found = counted.toArrow()  # one row a number at most
+    df = np.zeros(size + 1, dtype=np.int64)
+    df[found.column("term").to_numpy()] = found.column("n").to_numpy()
+    return int(df[size]), df[:size]
+
+
+def _vectors(examples: DataFrame, id_col: str, vocabulary: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = Numbers(vocabulary)
         for batch in batches:
-            ids, counts = [], []
-            for text in batch.column(len(keep)):
-                found: dict[int, int] = {}
-                for w, n in Counter(_WORD.findall((text.as_py() or "").lower())).items():
-                    for i in (whole.get(w), starts[4].get(w[:4]) if len(w) > 4 else None, starts[5].get(w[:5]) if len(w) > 5 else None):
-                        if i is not None:
-                            found[i] = found.get(i, 0) + n
-                ids.append(sorted(found))
-                counts.append([found[i] for i in ids[-1]])
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], names=[*keep, "terms", "tf"])
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                found = [numbers.of(t.as_py()) for t in part.column(2)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([t for t, _ in found], pa.list_(pa.int32())), pa.array([n for _, n in found], pa.list_(pa.int32()))], names=[id_col, "toxic", "terms", "tf"])
 
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.col(text_col).alias("__t")).mapInArrow(run, f"{schema}, terms array<int>, tf array<int>")
+    return examples.select(id_col, "toxic", "text").mapInArrow(run, f"`{id_col}` {examples.schema[id_col].dataType.simpleString()}, toxic int, terms array<int>, tf array<int>")
+
+
+#: The index of this worker, by its run.
+_INDEX: dict[str, ExampleIndex] = {}
+
+
+def _index(run: str, idf: np.ndarray, counts: np.ndarray, n: int, parts: list) -> ExampleIndex:
+    def weighed() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for part in parts:
+            terms, tf, lengths = part.value
+            del part._value  # one part at a time is in memory
+            weights = (1 + np.log(tf)) * idf[terms]
+            yield terms, weights / np.repeat(np.sqrt(np.add.reduceat(weights * weights, np.cumsum(lengths) - lengths)), lengths), lengths
+
+    if run not in _INDEX:
+        _INDEX.clear()
+        _INDEX[run] = ExampleIndex.of(counts, n, weighed())
+    return _INDEX[run]
 
 
 def choose_terms(examples: DataFrame, min_odds: float, min_z: float, max_terms: int) -> list[str]:
@@ -125,16 +244,17 @@ def choose_terms(examples: DataFrame, min_odds: float, min_z: float, max_terms:
     return sorted(r["term"] for r in scored.orderBy(F.desc("z"), "term").limit(max_terms).select("term").collect())
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", k: int = 10, max_examples: int = 20_000, max_terms: int = 4096, max_postings: int = 2_000_000, min_odds: float = 3.0, min_z: float = 3.0, shrink: float = 1.5, carry: tuple[str, ...] = ()) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", k: int = 10, max_examples: int = 20_000, max_terms: int = 4096, max_postings: int = 30_000_000, min_odds: float = 3.0, min_z: float = 3.0, shrink: float = 1.5, carry: tuple[str, ...] = (), lift: float = 8.0) -> DataFrame:
     """One row per row of docs: id_col, the columns of carry, score, predicted, evidence.
 
     labels: (id_col, label_col) of the rows to learn from; null ids or labels teach nothing, repeated ids
     count as positive if any row is. The classifier is fitted on at most max_examples labelled rows (those
-    of the smallest id hashes) with at most max_postings terms in all. score, from 0 to 1, is (sum of the
+    of the smallest id hashes) with at most max_postings terms in all, which bounds a worker's memory. All terms of a
+    text count; at most max_terms of them, chosen for the label, weigh lift times as much. score, from 0 to 1, is (sum of the
     cosines of positive neighbours + shrink * base rate) / (sum of all neighbours' cosines + shrink); the
     base rate is over all labels. It depends on the text alone. predicted is 1 if score >= 0.5.
-    evidence holds the ids, cosines and labels of the neighbours. A null or empty text, and any without a
-    term, scores the base rate; without labels that is 0. Other columns of docs are ignored.
+    evidence holds the ids, cosines and labels of the neighbours. A null or empty text, and any that shares no
+    term with an example, scores the base rate; without labels that is 0. Other columns of docs are ignored.
     """
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
     rate = known.agg(F.avg("toxic")).first()[0] or 0.0
@@ -142,30 +262,43 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     examples = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col).groupBy(id_col).agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
     examples = materialize(examples, "examples")
     vocabulary = choose_terms(examples, min_odds, min_z, max_terms)
-    features = materialize(_features(docs, [id_col, *carry], text_col, vocabulary), "features")
-    n_docs = features.count()
-    df = np.zeros(len(vocabulary) + 1)
-    for r in features.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect():  # max_terms rows at most
-        df[r["term"]] = r["n"]
+    n_docs, df = frequencies(docs, text_col, vocabulary)
     idf = np.log((n_docs + 1) / (df + 1)) + 1
-    held = _features(examples, [id_col, "toxic"], "text", vocabulary).filter(F.size("terms") > 0).withColumn("h", F.xxhash64(id_col))
-    sizes = [r["n"] for r in held.select("h", id_col, F.size("terms").alias("n")).orderBy("h", id_col).collect()]
-    most = int(np.searchsorted(np.cumsum(sizes), max_postings, side="right"))
-    rows = held.orderBy("h", id_col).limit(most).collect() if most else []
-    index = BlockMaxIndex([unit(np.array(r["terms"]), np.array(r["tf"]), idf) for r in rows], len(vocabulary))
-    ids, marks = np.array([r[id_col] for r in rows], dtype=np.int64), np.array([r["toxic"] for r in rows], dtype=np.int64)
+    idf[BUCKETS:] *= lift
+    vectors = materialize(_vectors(examples, id_col, vocabulary).filter(F.size("terms") > 0).withColumn("h", F.xxhash64(id_col)), "vectors")
+    order = [(r["h"], r["n"]) for r in vectors.select("h", id_col, F.size("terms").alias("n")).orderBy("h", id_col).collect()]
+    most = int(np.searchsorted(np.cumsum([n for _, n in order]), max_postings, side="right"))
+    # the index goes to the executors in parts, so that the driver holds one at a time
+    sc, parts, ids, marks, counts = docs.sparkSession.sparkContext, [], [], [], np.zeros(len(idf), dtype=np.int64)
+    edges = [*dict.fromkeys(order[at][0] for at in range(0, most, PART)), None]
+    for low, high in zip(edges[:-1], edges[1:]):
+        inside = (F.col("h") >= low) & (F.lit(True) if high is None else F.col("h") < high)
+        held = vectors.filter(inside).orderBy("h", id_col).select(id_col, "toxic", "terms", "tf").toArrow().slice(0, most - len(ids))
+        terms, tf = (held.column(c).combine_chunks() for c in ("terms", "tf"))
+        lengths = terms.value_lengths().to_numpy()
+        terms, tf = terms.flatten().to_numpy(), tf.flatten().to_numpy()
+        counts += np.bincount(terms, minlength=len(idf))
+        parts.append(sc.broadcast((terms, tf, lengths)))
+        ids += held.column(id_col).to_pylist()
+        marks += held.column("toxic").to_pylist()
+        del held, terms, tf
+    n, shared = len(ids), sc.broadcast((idf, counts, np.array(ids), np.array(marks)))
+    this = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores, evidence = [], []
-            for terms, tf in zip(batch.column("terms").to_pylist(), batch.column("tf").to_pylist()):
-                near = index.nearest(*unit(np.array(terms, dtype=np.int64), np.array(tf, dtype=float), idf), k) if terms else []
-                up = sum(c for c, e in near if marks[e])
-                scores.append(min(1.0, (up + shrink * rate) / (sum(c for c, _ in near) + shrink)))
-                evidence.append([{"id": int(ids[e]), "cosine": c, "label": int(marks[e])} for c, e in near])
-            kind = pa.list_(pa.struct([("id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: 1 + len(carry)], pa.array(scores, pa.float64()), pa.array(evidence, kind)], names=[id_col, *carry, "score", "evidence"])
+        numbers, (idf, counts, ids, marks) = Numbers(vocabulary), shared.value
+        index = _index(this, idf, counts, n, parts)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                scores, evidence = [], []
+                for near in index.nearest_all([unit(*numbers.of(text.as_py()), idf) for text in batch.column(1 + len(carry))], k):
+                    up = sum(c for c, e in near if marks[e])
+                    scores.append(min(1.0, (up + shrink * rate) / (sum(c for c, _ in near) + shrink)))
+                    evidence.append([{"id": int(ids[e]), "cosine": c, "label": int(marks[e])} for c, e in near])
+                kind = pa.list_(pa.struct([("id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
+                yield pa.RecordBatch.from_arrays([*batch.columns[: 1 + len(carry)], pa.array(scores, pa.float64()), pa.array(evidence, kind)], names=[id_col, *carry, "score", "evidence"])
 
     kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (id_col, *carry))
-    scored = features.mapInArrow(run, f"{kept}, score double, evidence array<struct<id: bigint, cosine: double, label: int>>")
+    scored = docs.select(id_col, *carry, F.col(text_col).alias("__t")).mapInArrow(run, f"{kept}, score double, evidence array<struct<id: bigint, cosine: double, label: int>>")
     return scored.select(id_col, *carry, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")

@@ -129,6 +129,32 @@ def test_block_max_is_exact():
         assert np.allclose(sorted(scores[expected]), sorted(c for c, _ in index.nearest(t, w, 7)))
 
 
+def test_toxicity_weighs_whole_texts(spark):
+    import numpy as np
+
+    draw = random.Random(6)
+    words = [f"plain{i}" for i in range(60)]
+    texts = [("moron " if i % 4 == 0 else "") + " ".join(draw.choice(words) for _ in range(12)) for i in range(80)]
+    texts += ["moron " + " ".join(f"other{i}" for i in range(300)), texts[0].removeprefix("moron "), "nothing known"]
+    table = spark.createDataFrame(rows(*texts), SCHEMA)
+    labels = spark.createDataFrame([(i + 1, int(i % 4 == 0)) for i in range(60)], "doc_id bigint, toxic int")
+    out = {r["doc_id"]: r for r in toxicity.score_toxicity(table, labels).collect()}
+    # brute force over all terms, with the chosen ones lifted
+    held = spark.createDataFrame([(int(i % 4 == 0), texts[i]) for i in range(60)], "toxic int, text string")
+    chosen = set(toxicity.choose_terms(held, 3.0, 3.0, 4096))
+    bags = [toxicity.terms_of(t) for t in texts]
+    assert chosen and chosen <= {"moron", "^moro"}
+    weigh = lambda b: {t: (1 + np.log(n)) * (np.log((len(texts) + 1) / (sum(t in x for x in bags) + 1)) + 1) * (8 if t in chosen else 1) for t, n in b.items()}
+    vectors = [weigh(b) for b in bags]
+    norms = [np.sqrt(sum(w * w for w in v.values())) for v in vectors]
+    for i, v in enumerate(vectors):
+        cosines = sorted((sum(w * vectors[e].get(t, 0) for t, w in v.items()) / norms[i] / norms[e] for e in range(60)), reverse=True)[:10]
+        found = [e["cosine"] for e in out[i + 1]["evidence"]]
+        assert np.allclose(found, [c for c in cosines if c > 1e-9], atol=1e-6)
+    assert max(e["cosine"] for e in out[81]["evidence"]) < 0.9  # one listed term does not make a long text equal to a toxic one
+    assert {e["label"] for e in out[82]["evidence"]} == {0} and len(out[82]["evidence"]) == 10 and out[83]["evidence"] == []  # clean examples are in the index
+
+
 def test_licenses(docs, none):
     out = license_scan.scan_licenses(docs).collect()
     assert len(out) == 9
