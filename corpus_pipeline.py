@@ -33,9 +33,12 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8 or more)."""
-    gone = near_dup.near_duplicates(docs).filter("not kept").select("doc_id")
-    return docs.join(gone.distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each group of near copies (five-word shingles, similarity 0.8 or more), and one of equal id and text; rows without an id all stay."""
+    rows = docs.withColumn("__key", row_key(F.col("doc_id"), F.col("text")))
+    known = near_dup.near_duplicates(rows, key_col="__key").filter("kept and doc_id is not null")
+    stay = known.groupBy("group", F.when(F.col("group").isNull(), F.col("__key")).alias("alone")).agg(F.min("__key").alias("__key")).select("__key")
+    one = rows.filter("doc_id is not null").join(stay, "__key", "left_semi").dropDuplicates(["__key"])
+    return one.union(rows.filter("doc_id is null").select(*one.columns)).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -129,8 +129,8 @@ def popcount_bound(samples: int, bits: int, similarity: float, sigmas: float = 4
     return int(min(bits, expected + sigmas * (sampled + folded) ** 0.5) + 1)
 
 
-def sketch(docs: DataFrame, id_col: str, text_col: str, k: int, bands: int, rows: int, bits: int) -> DataFrame:
-    """(id, n_shingles, fp, bands, odd): fp, a 128-bit hash of the shingle set, is null for an empty one, and so are bands and odd."""
+def sketch(docs: DataFrame, id_col: str, text_col: str, k: int, bands: int, rows: int, bits: int, key_col: str | None = None) -> DataFrame:
+    """(id, n_shingles, fp, bands, odd), and with a key_col (a bigint) key: fp, a 128-bit hash of the shingle set, is null for an empty one, and so are bands and odd."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             step = 256
@@ -150,11 +150,12 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, k: int, bands: int, rows
                         fps[i] = fingerprint(sets[i])
                         keys[i], odds[i] = folded[j], odd[j]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([s.size for s in sets], pa.int64()), pa.array(fps, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(odds, pa.list_(pa.int64()))],
-                    names=["id", "n_shingles", "fp", "bands", "odd"],
+                    [part.column(0), pa.array([s.size for s in sets], pa.int64()), pa.array(fps, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(odds, pa.list_(pa.int64())), *part.columns[2:]],
+                    names=["id", "n_shingles", "fp", "bands", "odd", *keys_],
                 )
 
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "id bigint, n_shingles bigint, fp binary, bands array<bigint>, odd array<bigint>")
+    keys_ = ["key"] if key_col else []
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("t"), *(F.col(key_col).alias(c) for c in keys_)).mapInArrow(run, ", ".join(["id bigint, n_shingles bigint, fp binary, bands array<bigint>, odd array<bigint>", *(f"{c} bigint" for c in keys_)]))
 
 
 def fingerprint(s: np.ndarray) -> bytes:
@@ -202,7 +203,7 @@ def _apart(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, n: s + n)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, bands: int = 36, rows: int = 5, bits: int = 512) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, bands: int = 36, rows: int = 5, bits: int = 512, key_col: str | None = None) -> DataFrame:
     """One row per row of docs: id_col, n_shingles, component_id, kept.
 
     A text is lower-cased (A-Z) and cut at ASCII white space; its set holds the distinct shingles of k
@@ -211,9 +212,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     so one document of each group stays. A null, empty or blank text has an empty set, is linked with
     nothing and is kept. A row with a null id can't stand for a group: it takes no part, its
     component_id is null and it is kept. Rows that repeat an id and its text share one result each;
-    rows that repeat an id with different texts are judged apart. Other columns of docs are ignored.
+    rows that repeat an id with different texts are judged apart. With a key_col, a bigint, each row has it too, and group:
+    equal for the rows of a group and for no others, null for those that are in none. Other columns of docs are ignored.
     """
-    sketches = materialize(sketch(docs, id_col, text_col, k, bands, rows, bits), "sketches")
+    sketches = materialize(sketch(docs, id_col, text_col, k, bands, rows, bits, key_col), "sketches")
     live = sketches.filter("fp is not null and id is not null")
     # a class is named by its smallest id; should two classes have that in common, by that and its set
     named = live.groupBy("fp").agg(F.min("id").alias("class_doc"))
@@ -274,7 +276,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         comp = materialize(components(nodes, links), f"components-{at}")
         at += 1
     smallest = comp.join(reps.select("class_id", "id"), "class_id").groupBy("comp").agg(F.min("id").alias("component_id"))
-    label = named.join(comp, "class_id").join(smallest, "comp").select("fp", "component_id")
+    label = named.join(comp, "class_id").join(smallest, "comp").select("fp", "component_id", F.col("comp").alias("group"))
     out = sketches.join(label, "fp", "left")
     own = F.when(F.col("fp").isNull() & F.col("id").isNotNull(), F.col("id")).when(F.col("id").isNotNull(), F.col("component_id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", own.alias("component_id")).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+    more = [F.col("key").alias(key_col), F.when(F.col("id").isNotNull(), F.col("group")).alias("group")] if key_col else []
+    return out.select(F.col("id").alias(id_col), "n_shingles", own.alias("component_id"), *more).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))

@@ -247,6 +247,17 @@ def test_neighbours(spark):
     assert ann.nearest(table.limit(0), table.limit(0)).count() == 0
 
 
+def test_pipeline_judges_repeated_ids_by_row(spark):
+    import corpus_pipeline
+
+    first, own, third = (" ".join(f"{c}{i}" for i in range(40)) for c in "xyz")
+    near, again = first + " more", third + " more"
+    table = spark.createDataFrame(rows(first, near, own, third, third, again, "", "", None, first, first, ids=[1, 2, 2, 3, 3, 3, 4, 4, 5, None, None]), SCHEMA)
+    out = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_copies(spark, table, "").collect()]
+    assert sorted(x for x in out if x[0] in (1, 2, 4)) == [(1, first), (2, own), (4, "")]
+    assert len([x for x in out if x[0] == 3]) == 1 and (5, None) in out and out.count((None, first)) == 2 and len(out) == 7
+
+
 def test_pipeline_and_sql(spark):
     import os
 
