@@ -5,12 +5,14 @@ signature of ``bands * rows`` samples. Bands give candidates; the samples folded
 (an odd sketch) estimate a candidate pair's similarity from the population count of the XOR of the two
 bitmaps, and pairs that are certainly too far apart end there; the rest are confirmed on full sets.
 
-Buckets are not expanded into all pairs. In each of a few rounds every bucket's members are compared
+Buckets are not expanded into all pairs. In each of two rounds every bucket's members are compared
 with one center only, drawn by hash; then connected components are taken, and only buckets that still
-hold several components, and in them only pairs across components, go on: a large group of near copies
-is resolved by its stars. What is open after these rounds is compared in full, among members whose
-sizes and sketches allow a link, until nothing is left. A link at the similarity bound is lost by
-banding with a chance below 1e-6, by its sketches with one of about 1e-5.
+hold several components go on: a large group of near copies is resolved by its stars. The sets of those
+open members are ordered, rarest shingle first, and joined by shingle under a bound of what two sets can
+still share from their places of that shingle on. That join is exact: it finds every link between open members, and
+in a group of near copies it meets few other pairs, for what sets them apart is rare. A link at the
+similarity bound is lost by banding with a chance below 1e-6, by its sketches in a star with one of about
+1e-5, if nothing else joins its two documents; the pair join loses none.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import materialize
+from gristmill.llm.common import forget, materialize
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -36,7 +38,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 #: Rounds in which a bucket's members are compared with one center.
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _STEP)
 
 
@@ -190,7 +192,8 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        edges = materialize(small.filter("u != v").distinct(), "edges")
+        edges, old = materialize(small.filter("u != v").distinct(), "edges"), edges
+        forget(old)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == before:
             break
@@ -203,6 +206,28 @@ def _apart(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, n: s + n)
 
 
+def rare_first_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of sets (class_id, comp, hashes) of unlike comp, among them all whose similarity is percent or more.
+
+    A set's hashes stand in the order of how many sets hold them. If the first that two sets share stands
+    at place i in x and at place j in y, they share min(|x| - i, |y| - j) at most, and a link needs
+    (100 + percent) times that to reach percent * (|x| + |y|). So only a set's beginning is joined, and of
+    two places one must be early: at (100 + percent) * (|x| - i) >= 2 * percent * |x|. Hashes that one set alone holds only take places.
+    """
+    tokens = sets.select("class_id", F.explode("hashes").alias("token"))
+    often = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
+    shared = tokens.join(often, "token").groupBy("class_id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
+    placed = sets.select("class_id", "comp", F.size("hashes").alias("n")).join(shared, "class_id")
+    most = F.floor(F.col("n") * (100 - percent) / 100) + 1 - (F.col("n") - F.size("shared"))
+    entries = placed.filter(most > 0).select("class_id", "comp", "n", F.size("shared").alias("left"), F.posexplode(F.slice("shared", F.lit(1), most.cast("int"))).alias("i", "at"))
+    entries = entries.select(F.col("at.token").alias("token"), "class_id", "comp", "n", (F.col("left") - F.col("i")).alias("rest"))
+    entries = materialize(entries.withColumn("early", F.col("rest") * (100 + percent) >= F.col("n") * (2 * percent)), "entries")
+    other = entries.select("token", F.col("class_id").alias("y"), F.col("comp").alias("comp_y"), F.col("n").alias("n_y"), F.col("rest").alias("rest_y"), F.col("early").alias("early_y"))
+    able = F.least("rest", "rest_y") * (100 + percent) >= (F.col("n") + F.col("n_y")) * percent
+    met = entries.filter("early").alias("x").join(other.alias("o"), (F.col("x.token") == F.col("o.token")) & (F.col("comp") != F.col("comp_y")) & able & (~F.col("early_y") | (F.col("class_id") > F.col("y"))))
+    return met.select(F.greatest("class_id", "y").alias("a"), F.least("class_id", "y").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, bands: int = 36, rows: int = 5, bits: int = 512, key_col: str | None = None) -> DataFrame:
     """One row per row of docs: id_col, n_shingles, component_id, kept.
 
@@ -228,26 +253,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = reps.select("class_id", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
     members = materialize(members.join(shared, "bucket"), "buckets")
+    wanted = members.select("class_id").distinct().join(reps.select("class_id", "id", "fp"), "class_id")
+    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("t")).join(wanted, "id")
+    sets = materialize(full_sets(texts, k).dropDuplicates(["class_id"]), "sets")
     far = popcount_bound(bands * rows, bits, percent / 100)
     light = reps.select("class_id", "n_shingles", "odd")
     side = lambda x: light.select(F.col("class_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("odd").alias(f"odd_{x}"))
 
-    def near(pairs: DataFrame, at: int) -> DataFrame:
+    def near(pairs: DataFrame) -> DataFrame:
         close = pairs.join(side("a"), "a").join(side("b"), "b")
         close = close.filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent).filter(_apart(F.col("odd_a"), F.col("odd_b")) <= far)
-        return materialize(close.select("a", "b", "n_a", "n_b"), f"candidates-{at}")
+        return close.select("a", "b")
 
-    def confirmed(close: DataFrame, at: int) -> DataFrame:
-        wanted = close.select(F.col("a").alias("class_id")).union(close.select("b")).distinct().join(reps.select("class_id", "id", "fp"), "class_id")
-        texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("t")).join(wanted, "id")
-        sets = materialize(full_sets(texts, k).dropDuplicates(["class_id"]), f"sets-{at}")
-        x = close.join(sets.select(F.col("class_id").alias("a"), F.col("hashes").alias("h_a")), "a").join(sets.select(F.col("class_id").alias("b"), F.col("hashes").alias("h_b")), "b")
+    def confirmed(close: DataFrame, among: DataFrame, at: int) -> DataFrame:
+        x = close.join(among.select(F.col("class_id").alias("a"), F.col("hashes").alias("h_a")), "a").join(among.select(F.col("class_id").alias("b"), F.col("hashes").alias("h_b")), "b")
         both = F.size(F.array_intersect("h_a", "h_b"))
-        return materialize(x.filter(both * 100 >= (F.col("n_a") + F.col("n_b") - both) * percent).select("a", "b"), f"links-{at}")
+        return materialize(x.filter(both * 100 >= (F.size("h_a") + F.size("h_b") - both) * percent).select("a", "b"), f"links-{at}")
 
     nodes = reps.select("class_id")
-    comp, links, tested, at = nodes.withColumn("comp", F.col("class_id")), None, None, 0
-    while True:
+    comp, links = nodes.withColumn("comp", F.col("class_id")), None
+    for at in range(STAR_ROUNDS + 1):
         placed = members.join(comp, "class_id")
         open_ = placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("bucket")
         placed = placed.join(open_, "bucket") if at else placed
@@ -256,25 +281,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             drawn = F.min(F.struct(F.xxhash64("class_id", F.lit(at), F.pmod("bucket", F.lit(4))), "class_id", "comp"))
             centers = placed.groupBy("bucket").agg(drawn.alias("c")).select("bucket", F.col("c.class_id").alias("y"), F.col("c.comp").alias("comp_y"))
             pairs = placed.join(centers, "bucket").filter("comp != comp_y").select(F.greatest("class_id", "y").alias("a"), F.least("class_id", "y").alias("b"))
+            close, among = materialize(near(pairs.distinct()), f"candidates-{at}"), sets
         else:
-            # what stays open: members of unlike components whose sizes allow a link, met by classes of size
-            sized = placed.join(light, "class_id").select("bucket", "class_id", "comp", "n_shingles", "odd", F.floor(F.log("n_shingles") / F.log(F.lit(100 / percent))).cast("int").alias("class"))
-            other = sized.select("bucket", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)).alias("class"), F.col("class_id").alias("y"), F.col("comp").alias("comp_y"), F.col("n_shingles").alias("n_y"), F.col("odd").alias("odd_y"))
-            able = (F.least("n_shingles", "n_y") * 100 >= F.greatest("n_shingles", "n_y") * percent) & (_apart(F.col("odd"), F.col("odd_y")) <= far)
-            met = sized.alias("x").join(other.alias("o"), (F.col("x.bucket") == F.col("o.bucket")) & (F.col("x.class") == F.col("o.class")) & (F.col("class_id") > F.col("y")) & (F.col("comp") != F.col("comp_y")) & able)
-            pairs = met.select(F.col("class_id").alias("a"), F.col("y").alias("b"), F.col("n_shingles").alias("n_a"), F.col("n_y").alias("n_b"))
-        pairs = pairs.distinct()
-        pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti") if at else pairs, f"pairs-{at}")
-        if pairs.isEmpty():
-            if at >= STAR_ROUNDS or not at:
-                break
-            at = STAR_ROUNDS
-            continue
-        new = confirmed(near(pairs, at) if at < STAR_ROUNDS else pairs, at)
-        tested = tested.union(pairs.select("a", "b")) if at else pairs
+            among = materialize(sets.join(placed.select("class_id", "comp").distinct(), "class_id"), "open")
+            close = materialize(rare_first_pairs(among, percent), f"candidates-{at}")
+        new = confirmed(close, among, at)
         links = links.union(new) if at else new
         comp = materialize(components(nodes, links), f"components-{at}")
-        at += 1
+        forget(close)
+    forget(sets)
     smallest = comp.join(reps.select("class_id", "id"), "class_id").groupBy("comp").agg(F.min("id").alias("component_id"))
     label = named.join(comp, "class_id").join(smallest, "comp").select("fp", "component_id", F.col("comp").alias("group"))
     out = sketches.join(label, "fp", "left")
