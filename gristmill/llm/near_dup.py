@@ -42,12 +42,16 @@ STAR_ROUNDS = 2
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _STEP)
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words (runs of bytes other than ASCII white space) of all texts, A-Z lower-cased,
-    and the number of words of each text. Equal words hash alike in any text."""
+WHITE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+
+
+def word_hashes(texts: list[bytes], apart: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of all texts, A-Z lower-cased, and the number of words of each text.
+
+    Words are runs of bytes that ``apart`` does not mark, which must mark the line feed. Equal words hash alike in any text."""
     joined = b"\n".join(texts) + b"\n"
     raw = np.frombuffer(joined.lower(), dtype=np.uint8)
-    space = (raw == 32) | ((raw >= 9) & (raw <= 13))
+    space = apart[raw]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     if raw.size and not space[0]:
         edge = np.concatenate([[0], edge])

@@ -1,298 +1,281 @@
-"""Toxicity by nearest labelled examples under the cosine of whole texts' weighted TF-IDF vectors.
-
-A text's terms are all its words and word beginnings, each numbered by a hash; no term is dropped. Document
-frequencies are counted over all documents. A bounded sample of labelled documents, clean ones too, are the
-examples; terms that speak for the label there weigh ``lift`` times their TF-IDF, for under plain TF-IDF
-(lift 1) topic and language drown them. Vectors are normalised over all terms of the text. Cosines with
-all examples are summed in 32 bits, by a matrix product for terms in many examples and by posting lists for
-the others; all that can be among the nearest by them are compared again in 64 bits. The votes of the nearest, weighted by cosine
-and drawn towards the base rate, give the score; the examples are its evidence.
+"""Toxicity by nearest labelled examples: exact TF-IDF cosines from a block-max inverted index, and their votes.
+
+A text's terms are all its words, by 64-bit hash; none is dropped. Document frequencies are counted over
+all documents. A bounded sample of labelled documents, clean ones too, are the examples; words that speak
+for the label there weigh ``lift`` times their TF-IDF, for under plain TF-IDF (lift 1) topic and language
+drown them. Vectors are normalised over all words of the text.
+
+The index holds the examples in blocks of like ones, and each term's largest weight in each block. A text
+first meets the blocks of largest bound; those whose bound, the sum over its terms of these weights, can't reach
+the k-th best cosine found there are never opened. What may be among the nearest is summed again in 64 bits,
+so the result is that of a comparison with every example. The votes of the nearest, weighted by cosine and
+drawn towards the base rate, give the score; the examples are its evidence.
 """
 
 from __future__ import annotations
 
-import re
 import uuid
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import materialize
+from gristmill.llm.common import forget, materialize
+from gristmill.llm.near_dup import word_hashes
 
-_WORD = re.compile(r"[^\W_]+")
-#: Longer words can't be chosen for the label (as others they count); so a chosen term's size is bounded.
-MOST_CHARS = 64
-#: Numbers that terms are hashed to; chosen terms have their own numbers after them.
+#: Bytes that stand between words: all of ASCII but letters and digits.
+_APART = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+#: Document frequencies are kept by this many hashes of terms.
 BUCKETS = 1 << 18
-#: Entries of a worker's cache of words.
-MOST_CACHED = 200_000
-#: Examples in a part of the index on its way to the executors.
-PART = 2500
+#: Examples in a part of the index on its way to the executors; texts that meet the index together.
+PART, BATCH = 2500, 64
 
 
-def terms_of(text: str | None) -> Counter:
-    """Counts of a text's words and of their beginnings of four and five characters (marked by ^)."""
-    words = Counter(_WORD.findall((text or "").lower()))
-    out = Counter({w: n for w, n in words.items() if len(w) <= MOST_CHARS})
-    for w, n in words.items():
-        for k in (4, 5):
-            if len(w) > k:
-                out["^" + w[:k]] += n
-    return out
+def terms_of(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each text the sorted distinct 64-bit hashes of its words, in lower case, and how often each stands there."""
+    hashes, counts = word_hashes([(t or "").lower().encode("utf-8", "surrogatepass") for t in texts], _APART)
+    ends = np.cumsum(counts)
+    return [np.unique(hashes[a:b], return_counts=True) for a, b in zip(ends - counts, ends)]
 
 
-class ExampleIndex:
-    """Sparse unit vectors; nearest() finds those of largest inner product. Weights have 32 bits, sums that decide 64.
+def bucket(terms: np.ndarray) -> np.ndarray:
+    return (terms % np.uint64(BUCKETS)).astype(np.int64)
 
-    Terms in more than a ``dense`` part of the vectors are rows of a matrix, the others have posting lists.
+
+class Weights:
+    """TF-IDF with the lifted terms; idf by bucket."""
+
+    def __init__(self, idf: np.ndarray, lifted: np.ndarray, lift: float):
+        self.idf, self.lifted, self.lift = idf, np.sort(lifted), lift
+
+    def of(self, terms: np.ndarray, tf: np.ndarray) -> np.ndarray:
+        weights = (1 + np.log(tf)) * self.idf[bucket(terms)]
+        if len(self.lifted):
+            at = np.minimum(np.searchsorted(self.lifted, terms), len(self.lifted) - 1)
+            weights[self.lifted[at] == terms] *= self.lift
+        return weights
+
+    def unit(self, terms: np.ndarray, tf: np.ndarray) -> np.ndarray:
+        weights = self.of(terms, tf)
+        return weights / np.sqrt((weights * weights).sum()) if len(weights) else weights
+
+
+class BlockMaxIndex:
+    """Sparse unit vectors in blocks; nearest() finds those of largest inner product. Weights have 32 bits, sums that decide 64.
+
+    Terms in more than a ``dense`` part of the vectors are rows of a matrix, the others have posting lists, ordered by block.
     """
 
     #: 32-bit sums of unit vectors' products are surely this close.
     SLACK = 1e-4
 
-    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = 64, dense: float = 0.12):
-        terms = np.concatenate([r[0] for r in rows]) if rows else np.zeros(0, dtype=np.int64)
-        self._open(np.bincount(terms, minlength=n_terms), len(rows), block, dense)
-        if rows:
-            self._add(terms, np.concatenate([r[1] for r in rows]), np.array([len(r[0]) for r in rows]))
-
-    @classmethod
-    def of(cls, counts: np.ndarray, n: int, parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], block: int = 64, dense: float = 0.12) -> ExampleIndex:
-        """The index of n vectors that come in parts (terms, weights, length of each vector); counts: vectors that hold each term."""
-        self = cls.__new__(cls)
-        self._open(counts, n, block, dense)
-        for part in parts:
-            self._add(*part)
-        return self
-
-    def _open(self, counts: np.ndarray, n: int, block: int, dense: float) -> None:
-        self.block, self.n, self.added = block, n, 0
-        common = np.flatnonzero(counts > max(1, dense * n))
-        self.row = np.full(len(counts), -1, dtype=np.int32)
+    def __init__(self, terms: np.ndarray, weights: np.ndarray, lengths: np.ndarray, blocks: int = 16, dense: float = 0.1):
+        self.n = len(lengths)
+        self.vocabulary, number = np.unique(terms, return_inverse=True)
+        owner = np.repeat(np.arange(self.n), lengths)
+        common = np.flatnonzero(np.bincount(number, minlength=len(self.vocabulary)) > max(1, dense * self.n))
+        self.row = np.full(len(self.vocabulary), -1)
         self.row[common] = np.arange(len(common))
-        self.matrix = np.zeros((len(common), n), dtype=np.float32)
-        rare = counts.copy()
-        rare[common] = 0
-        self.start = np.concatenate([[0], np.cumsum(rare)])
-        self.free = self.start[:-1].copy()
-        self.owner = np.zeros(self.start[-1], dtype=np.int32)
-        self.weight = np.zeros(self.start[-1], dtype=np.float32)
-
-    def _add(self, terms: np.ndarray, weights: np.ndarray, lengths: np.ndarray) -> None:
-        owner = np.repeat(np.arange(self.added, self.added + len(lengths), dtype=np.int32), lengths)
-        self.added += len(lengths)
-        row = self.row[terms]
-        self.matrix[row[row >= 0], owner[row >= 0]] = weights[row >= 0]
-        rare = np.flatnonzero(row < 0)
-        rare = rare[np.argsort(terms[rare], kind="stable")]
-        held, first, n = np.unique(terms[rare], return_index=True, return_counts=True)
-        at = np.repeat(self.free[held] - first, n) + np.arange(len(rare))
-        self.owner[at], self.weight[at] = owner[rare], weights[rare]
-        self.free[held] += n
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
-        """The k (cosine, example) of largest cosine above 0, ties to the smaller example."""
-        return self.nearest_all([(terms, weights)], k)[0]
+        matrix = np.zeros((len(common), self.n), dtype=np.float32)
+        held = self.row[number] >= 0
+        matrix[self.row[number[held]], owner[held]] = weights[held]
+        group = self._alike(matrix, blocks)
+        self.order = np.argsort(group, kind="stable")  # place in the index -> example
+        place = np.empty(self.n, dtype=np.int64)
+        place[self.order] = np.arange(self.n)
+        self.matrix = matrix[:, self.order]
+        _, self.edge = np.unique(group[self.order], return_index=True)
+        self.edge = np.append(self.edge, self.n)
+        self.blocks = len(self.edge) - 1
+        rare = np.flatnonzero(~held)
+        at, number, weights = place[owner[rare]], number[rare], weights[rare]
+        sort = np.lexsort((at, number))
+        self.owner, self.weight = at[sort].astype(np.int32), weights[sort].astype(np.float32)
+        cell = number[sort] * self.blocks + (np.searchsorted(self.edge, at[sort], side="right") - 1)
+        size = len(self.vocabulary) * self.blocks
+        #: Where the postings of each term and block begin, and their largest weight.
+        self.cut = np.append(0, np.cumsum(np.bincount(cell, minlength=size))).astype(np.int32)
+        self.most = np.zeros(size, dtype=np.float32)
+        if len(cell):
+            first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+            self.most[cell[first]] = np.maximum.reduceat(self.weight, first)
+        self.most = self.most.reshape(len(self.vocabulary), self.blocks)
+
+    @staticmethod
+    def _alike(matrix: np.ndarray, blocks: int) -> np.ndarray:
+        """A block for each vector: a few rounds of spherical k-means over the common terms, which only the speed depends on."""
+        n = matrix.shape[1]
+        blocks = max(1, min(blocks, n // 64))
+        group = np.arange(n) % blocks
+        if blocks > 1:
+            center = matrix[:, np.linspace(0, n - 1, blocks).astype(int)]
+            for _ in range(6):
+                group = np.argmax(center.T @ matrix, axis=0)
+                center = np.stack([matrix[:, group == b].sum(axis=1) for b in range(blocks)], axis=1)
+                center /= np.maximum(np.linalg.norm(center, axis=0), 1e-9)
+        return group
 
     def nearest_all(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[list[tuple[float, int]]]:
-        """nearest() of each vector, some at a time."""
-        if not self.n:
+        """Of each vector (terms, weights) the k (cosine, example) of largest cosine above 0, ties to the smaller example."""
+        if not self.n or not len(self.vocabulary):
             return [[] for _ in vectors]
-        out = []
-        for at in range(0, len(vectors), self.block):
-            part = vectors[at : at + self.block]
-            left = np.zeros((len(part), len(self.matrix)), dtype=np.float32)
-            for q, (terms, weights) in enumerate(part):
-                row = self.row[terms]
-                left[q, row[row >= 0]] = weights[row >= 0]
-            sums = left @ self.matrix
-            out += [self._best(sums[q], terms, weights, k) for q, (terms, weights) in enumerate(part)]
-        return out
-
-    def _best(self, common: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
-        low, high = self.start[terms], self.start[terms + 1]
-        some = np.flatnonzero(high > low)
-        rare = np.zeros(self.n)
-        if len(some):
-            spans = list(zip(low[some].tolist(), high[some].tolist()))
-            value = np.concatenate([self.weight[a:b] for a, b in spans]) * np.repeat(weights[some], (high - low)[some])
-            rare = np.bincount(np.concatenate([self.owner[a:b] for a, b in spans]), value, self.n)
+        known, left = [], np.zeros((len(vectors), len(self.matrix)), dtype=np.float32)
+        for q, (terms, weights) in enumerate(vectors):
+            at = np.minimum(np.searchsorted(self.vocabulary, terms), len(self.vocabulary) - 1)
+            hit = self.vocabulary[at] == terms
+            at, weights = at[hit], weights[hit]
+            row = self.row[at]
+            left[q, row[row >= 0]] = weights[row >= 0]
+            known.append((at[row < 0], weights[row < 0], row[row >= 0], weights[row >= 0]))
+        sums = left @ self.matrix
+        return [self._best(sums[q], *known[q], k) for q in range(len(vectors))]
+
+    def _add(self, sums: np.ndarray, at: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> None:
+        """Add the products of the terms' postings in these blocks."""
+        cell = (at[:, None] * self.blocks + blocks[None, :]).ravel()
+        low, n = self.cut[cell], self.cut[cell + 1] - self.cut[cell]
+        if total := int(n.sum()):
+            found = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(total)
+            sums += np.bincount(self.owner[found], self.weight[found] * np.repeat(np.repeat(weights, len(blocks)), n), self.n)
+
+    def _best(self, common: np.ndarray, at: np.ndarray, weights: np.ndarray, rows: np.ndarray, row_weights: np.ndarray, k: int) -> list[tuple[float, int]]:
+        bound = weights @ self.most[at] + np.maximum.reduceat(common, self.edge[:-1])
+        by = np.argsort(-bound, kind="stable")
+        rare, opened = np.zeros(self.n), by[: max(1, self.blocks // 8)]
+        self._add(rare, at, weights, opened)
+        inside = np.concatenate([common[self.edge[b] : self.edge[b + 1]] + rare[self.edge[b] : self.edge[b + 1]] for b in opened])
+        least = np.partition(inside, len(inside) - k)[len(inside) - k] if len(inside) > k else 0
+        more = by[len(opened) :]
+        more = more[bound[more] >= least - self.SLACK]
+        self._add(rare, at, weights, more)
+        closed = by[len(opened) + len(more) :]
         sums = common + rare
+        for b in closed:
+            sums[self.edge[b] : self.edge[b + 1]] = 0
         least = np.partition(sums, self.n - k)[self.n - k] - self.SLACK if self.n > k else 0
         near = np.flatnonzero((sums >= least) & (sums > 0))
-        row = self.row[terms]
-        found = rare[near] + (self.matrix[np.ix_(row[row >= 0], near)] * weights[row >= 0][:, None]).sum(axis=0)
-        order = np.lexsort((near, -found))[:k]
-        return list(zip(found[order].tolist(), near[order].tolist()))
-
+        found = rare[near] + (self.matrix[np.ix_(rows, near)] * row_weights[:, None]).sum(axis=0)
+        example = self.order[near]
+        best = np.lexsort((example, -found))[:k]
+        return list(zip(found[best].tolist(), example[best].tolist()))
 
-#: The index's name in older callers.
-BlockMaxIndex = ExampleIndex
-
-
-def unit(terms: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    weights = (1 + np.log(tf)) * idf[terms]
-    return terms, weights / np.sqrt((weights * weights).sum()) if len(weights) else weights
-
-
-class Numbers:
-    """The numbers and counts of all terms of a text: own numbers for the vocabulary, hashes for all others."""
-
-    def __init__(self, vocabulary: list[str]):
-        self.own = {t: BUCKETS + i for i, t in enumerate(vocabulary)}
-        self.known: dict[str, int] = {}
-        self.numbers = np.zeros((MOST_CACHED, 3), dtype=np.int32)
-
-    def _learn(self, w: str) -> int:
-        at = self.known[w] = len(self.known)
-        terms = [w, *("^" + w[:k] for k in (4, 5) if len(w) > k)]
-        self.numbers[at] = [self.own[t] if t in self.own else zlib.crc32(t.encode("utf-8", "surrogatepass")) % BUCKETS for t in terms] + [-1] * (3 - len(terms))
-        return at
-
-    def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        words = _WORD.findall((text or "").lower())
-        parts = []
-        for low in range(0, len(words), MOST_CACHED // 4):
-            part = words[low : low + MOST_CACHED // 4]
-            if len(self.known) + len(part) > MOST_CACHED:
-                self.known.clear()
-            get = self.known.get
-            places = [at if (at := get(w)) is not None else self._learn(w) for w in part]
-            parts.append(self.numbers[places].ravel())
-        if not parts:
-            return np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)
-        terms, n = np.unique(np.concatenate(parts), return_counts=True)
-        first = int(terms[0] < 0)
-        return terms[first:], n[first:]
-
-
-def frequencies(docs: DataFrame, text_col: str, vocabulary: list[str]) -> tuple[int, np.ndarray]:
-    """The number of documents, and of those that hold each term."""
-    size = BUCKETS + len(vocabulary)
 
+def frequencies(docs: DataFrame, text_col: str) -> tuple[int, np.ndarray]:
+    """The number of documents, and of those that hold a term of each bucket."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, df, n = Numbers(vocabulary), np.zeros(size + 1, dtype=np.int64), 0
+        df, n = np.zeros(BUCKETS + 1, dtype=np.int64), 0
         for batch in batches:
-            for text in batch.column(0):
-                df[numbers.of(text.as_py())[0]] += 1
-                n += 1
-        df[size] = n
+            for at in range(0, batch.num_rows, BATCH):
+                for terms, _ in terms_of(batch.column(0).slice(at, BATCH).to_pylist()):
+                    df[bucket(terms)] += 1
+                    n += 1
+        df[BUCKETS] = n
         held = np.flatnonzero(df)
         for at in range(0, len(held), 50_000):
             part = held[at : at + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(df[part], pa.int64())], names=["term", "n"])
 
-    counted = docs.select(F.col(text_col)).mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
-    found = counted.toArrow()  # one row a number at most
-    df = np.zeros(size + 1, dtype=np.int64)
+    found = docs.select(F.col(text_col)).mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # BUCKETS + 1 rows at most
+    df = np.zeros(BUCKETS + 1, dtype=np.int64)
     df[found.column("term").to_numpy()] = found.column("n").to_numpy()
-    return int(df[size]), df[:size]
+    return int(df[BUCKETS]), df[:BUCKETS]
 
 
-def _vectors(examples: DataFrame, id_col: str, vocabulary: list[str]) -> DataFrame:
+def _vectors(examples: DataFrame) -> DataFrame:
+    """(h, n, toxic, terms, tf, id) of examples (id, toxic, text) with any word; h, a hash of the text, orders them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = Numbers(vocabulary)
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                found = [numbers.of(t.as_py()) for t in part.column(2)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([t for t, _ in found], pa.list_(pa.int32())), pa.array([n for _, n in found], pa.list_(pa.int32()))], names=[id_col, "toxic", "terms", "tf"])
+            for at in range(0, batch.num_rows, BATCH):
+                part = batch.slice(at, BATCH)
+                found = terms_of(part.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("toxic"), part.column("h"), pa.array([t.view(np.int64) for t, _ in found], pa.list_(pa.int64())), pa.array([n for _, n in found], pa.list_(pa.int32()))], names=["id", "toxic", "h", "terms", "tf"])
 
-    return examples.select(id_col, "toxic", "text").mapInArrow(run, f"`{id_col}` {examples.schema[id_col].dataType.simpleString()}, toxic int, terms array<int>, tf array<int>")
+    rows = examples.select("id", "toxic", _text_hash(F.col("text")).alias("h"), "text")
+    return rows.mapInArrow(run, f"id {examples.schema['id'].dataType.simpleString()}, toxic int, h bigint, terms array<bigint>, tf array<int>").withColumn("n", F.size("terms")).filter("n > 0")
 
 
-#: The index of this worker, by its run.
-_INDEX: dict[str, ExampleIndex] = {}
+def _text_hash(text: Column) -> Column:
+    return F.xxhash64(text)
 
 
-def _index(run: str, idf: np.ndarray, counts: np.ndarray, n: int, parts: list) -> ExampleIndex:
-    def weighed() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        for part in parts:
-            terms, tf, lengths = part.value
-            del part._value  # one part at a time is in memory
-            weights = (1 + np.log(tf)) * idf[terms]
-            yield terms, weights / np.repeat(np.sqrt(np.add.reduceat(weights * weights, np.cumsum(lengths) - lengths)), lengths), lengths
+def lifted_terms(vectors: DataFrame, min_odds: float, min_z: float) -> np.ndarray:
+    """Terms whose log odds of standing in positive rather than negative examples are min_odds or more and exceed 0 by min_z standard errors."""
+    n = vectors.agg(F.sum("toxic").alias("pos"), F.count("*").alias("all")).first()
+    if not n["pos"]:
+        return np.zeros(0, dtype=np.uint64)
+    p, q = n["pos"], n["all"] - n["pos"]
+    counted = vectors.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
+    odds = F.log((F.col("a") + 0.5) / (F.lit(p) - F.col("a") + 0.5)) - F.log((F.col("b") + 0.5) / (F.lit(q) - F.col("b") + 0.5))
+    found = counted.filter((odds / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5)) >= min_z) & (odds >= min_odds)).select("term").toArrow()
+    return found.column("term").to_numpy().view(np.uint64)  # terms of the sample, which is bounded
 
-    if run not in _INDEX:
-        _INDEX.clear()
-        _INDEX[run] = ExampleIndex.of(counts, n, weighed())
-    return _INDEX[run]
 
+#: The index of this worker, by its run.
+_INDEX: dict[str, BlockMaxIndex] = {}
 
-def choose_terms(examples: DataFrame, min_odds: float, min_z: float, max_terms: int) -> list[str]:
-    """Terms whose log odds of standing in positive rather than negative examples (toxic, text) are min_odds or more and exceed 0 by min_z standard errors."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pos, neg = Counter(), Counter()
-            for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                (pos if y else neg).update(terms_of(text).keys())
-            terms = list(pos.keys() | neg.keys())
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([pos[t] for t in terms], pa.int64()), pa.array([neg[t] for t in terms], pa.int64())], names=["term", "pos", "neg"])
 
-    n = examples.agg(F.sum("toxic").alias("pos"), F.count("*").alias("all")).first()
-    if not n["pos"]:
-        return []
-    p, q = n["pos"], n["all"] - n["pos"]
-    counted = examples.select("toxic", "text").mapInArrow(run, "term string, pos bigint, neg bigint").groupBy("term").agg(F.sum("pos").alias("a"), F.sum("neg").alias("b"))
-    odds = F.log((F.col("a") + 0.5) / (F.lit(p) - F.col("a") + 0.5)) - F.log((F.col("b") + 0.5) / (F.lit(q) - F.col("b") + 0.5))
-    scored = counted.withColumn("z", odds / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))).filter((F.col("z") >= min_z) & (odds >= min_odds))
-    return sorted(r["term"] for r in scored.orderBy(F.desc("z"), "term").limit(max_terms).select("term").collect())
+def _index(run: str, weights: Weights, parts: list) -> BlockMaxIndex:
+    if run not in _INDEX:
+        _INDEX.clear()
+        held = []
+        for part in parts:
+            terms, tf, lengths = part.value
+            w = weights.of(terms, tf)
+            norms = np.sqrt(np.add.reduceat(w * w, np.cumsum(lengths) - lengths))
+            held.append((terms, (w / np.repeat(norms, lengths)).astype(np.float32), lengths))
+            del part._value  # one part at a time is in memory twice
+        empty = (np.zeros(0, np.uint64), np.zeros(0, np.float32), np.zeros(0, np.int64))
+        _INDEX[run] = BlockMaxIndex(*(np.concatenate(x) for x in zip(empty, *held)))
+    return _INDEX[run]
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", k: int = 10, max_examples: int = 20_000, max_terms: int = 4096, max_postings: int = 30_000_000, min_odds: float = 3.0, min_z: float = 3.0, shrink: float = 1.5, carry: tuple[str, ...] = (), lift: float = 8.0) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", k: int = 10, max_examples: int = 20_000, max_postings: int = 30_000_000, min_odds: float = 3.0, min_z: float = 3.0, shrink: float = 1.5, carry: tuple[str, ...] = (), lift: float = 8.0) -> DataFrame:
     """One row per row of docs: id_col, the columns of carry, score, predicted, evidence.
 
     labels: (id_col, label_col) of the rows to learn from; null ids or labels teach nothing, repeated ids
     count as positive if any row is. The classifier is fitted on at most max_examples labelled rows (those
-    of the smallest id hashes) with at most max_postings terms in all, which bounds a worker's memory. All terms of a
-    text count; at most max_terms of them, chosen for the label, weigh lift times as much. score, from 0 to 1, is (sum of the
-    cosines of positive neighbours + shrink * base rate) / (sum of all neighbours' cosines + shrink); the
-    base rate is over all labels. It depends on the text alone. predicted is 1 if score >= 0.5.
+    of the smallest id hashes) with at most max_postings distinct words in all, texts of smaller hashes first, which bounds a
+    worker's memory. score, from 0 to 1, is (sum of the cosines of positive neighbours + shrink * base rate) /
+    (sum of all neighbours' cosines + shrink); the base rate is over all labels. It depends on the text alone;
+    of neighbours of equal cosine those of the smaller text hash count. predicted is 1 if score >= 0.5.
     evidence holds the ids, cosines and labels of the neighbours. A null or empty text, and any that shares no
-    term with an example, scores the base rate; without labels that is 0. Other columns of docs are ignored.
+    word with an example, scores the base rate; without labels that is 0. Other columns of docs are ignored.
     """
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
     rate = known.agg(F.avg("toxic")).first()[0] or 0.0
     chosen = known.orderBy(F.xxhash64(id_col), id_col).limit(max_examples)  # so many rows at most: small enough to broadcast
-    examples = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col).groupBy(id_col).agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
-    examples = materialize(examples, "examples")
-    vocabulary = choose_terms(examples, min_odds, min_z, max_terms)
-    n_docs, df = frequencies(docs, text_col, vocabulary)
-    idf = np.log((n_docs + 1) / (df + 1)) + 1
-    idf[BUCKETS:] *= lift
-    vectors = materialize(_vectors(examples, id_col, vocabulary).filter(F.size("terms") > 0).withColumn("h", F.xxhash64(id_col)), "vectors")
-    order = [(r["h"], r["n"]) for r in vectors.select("h", id_col, F.size("terms").alias("n")).orderBy("h", id_col).collect()]
+    examples = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen.withColumnRenamed(id_col, "id")), "id").groupBy("id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    vectors = materialize(_vectors(examples), "vectors")
+    lifted = lifted_terms(vectors, min_odds, min_z)
+    n_docs, df = frequencies(docs, text_col)
+    weights = Weights(np.log((n_docs + 1) / (df + 1)) + 1, lifted, lift)
+    order = [(r["h"], r["n"]) for r in vectors.select("h", "n").orderBy("h", "id").collect()]  # max_examples rows at most
     most = int(np.searchsorted(np.cumsum([n for _, n in order]), max_postings, side="right"))
     # the index goes to the executors in parts, so that the driver holds one at a time
-    sc, parts, ids, marks, counts = docs.sparkSession.sparkContext, [], [], [], np.zeros(len(idf), dtype=np.int64)
+    sc, parts, ids, marks = docs.sparkSession.sparkContext, [], [], []
     edges = [*dict.fromkeys(order[at][0] for at in range(0, most, PART)), None]
     for low, high in zip(edges[:-1], edges[1:]):
         inside = (F.col("h") >= low) & (F.lit(True) if high is None else F.col("h") < high)
-        held = vectors.filter(inside).orderBy("h", id_col).select(id_col, "toxic", "terms", "tf").toArrow().slice(0, most - len(ids))
+        held = vectors.filter(inside).orderBy("h", "id").select("id", "toxic", "terms", "tf").toArrow().slice(0, most - len(ids))
         terms, tf = (held.column(c).combine_chunks() for c in ("terms", "tf"))
         lengths = terms.value_lengths().to_numpy()
-        terms, tf = terms.flatten().to_numpy(), tf.flatten().to_numpy()
-        counts += np.bincount(terms, minlength=len(idf))
-        parts.append(sc.broadcast((terms, tf, lengths)))
-        ids += held.column(id_col).to_pylist()
+        parts.append(sc.broadcast((terms.flatten().to_numpy().view(np.uint64), tf.flatten().to_numpy(), lengths)))
+        ids += held.column("id").to_pylist()
         marks += held.column("toxic").to_pylist()
         del held, terms, tf
-    n, shared = len(ids), sc.broadcast((idf, counts, np.array(ids), np.array(marks)))
-    this = uuid.uuid4().hex
+    forget(vectors)
+    shared, this = sc.broadcast((weights, np.array(ids), np.array(marks))), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, (idf, counts, ids, marks) = Numbers(vocabulary), shared.value
-        index = _index(this, idf, counts, n, parts)
+        weights, ids, marks = shared.value
+        index = _index(this, weights, parts)
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+            for at in range(0, whole.num_rows, BATCH):
+                batch = whole.slice(at, BATCH)
                 scores, evidence = [], []
-                for near in index.nearest_all([unit(*numbers.of(text.as_py()), idf) for text in batch.column(1 + len(carry))], k):
+                for near in index.nearest_all([(t, weights.unit(t, n)) for t, n in terms_of(batch.column(1 + len(carry)).to_pylist())], k):
                     up = sum(c for c, e in near if marks[e])
                     scores.append(min(1.0, (up + shrink * rate) / (sum(c for c, _ in near) + shrink)))
                     evidence.append([{"id": int(ids[e]), "cosine": c, "label": int(marks[e])} for c, e in near])

@@ -114,19 +114,26 @@ def test_block_max_is_exact():
     import numpy as np
 
     draw = np.random.default_rng(1)
-    vectors = []
-    for _ in range(300):
-        t = np.sort(draw.choice(40, 5, replace=False))
-        w = draw.random(5)
-        vectors.append((t, w / np.sqrt((w * w).sum())))
-    index = toxicity.BlockMaxIndex(vectors, 40, block=16)
-    dense = np.zeros((300, 40))
-    for i, (t, w) in enumerate(vectors):
-        dense[i, t] = w
-    for t, w in vectors[:50]:
-        scores = dense[:, t] @ w
-        expected = sorted(range(300), key=lambda e: (-round(scores[e], 12), e))[:7]
-        assert np.allclose(sorted(scores[expected]), sorted(c for c, _ in index.nearest(t, w, 7)))
+    dense = np.zeros((1200, 90))
+    for i, row in enumerate(dense):  # four kinds of vectors, so that blocks differ
+        t = draw.choice(20, 6, replace=False) + 20 * (i % 4) + draw.integers(0, 10, 6)
+        row[t] = draw.random(6)
+    dense[7], dense[1000] = dense[3], dense[3]
+    dense = (dense / np.linalg.norm(dense, axis=1, keepdims=True)).astype(np.float32)
+    at = [np.flatnonzero(v) for v in dense]
+    names = np.sort(draw.integers(0, 1 << 63, 90).astype(np.uint64))
+    index = toxicity.BlockMaxIndex(names[np.concatenate(at)], np.concatenate([v[t] for v, t in zip(dense, at)]), np.array([len(t) for t in at]), dense=0.066)
+    assert index.blocks > 4 and len(index.matrix) < 90
+    opened = []
+    add = index._add
+    index._add = lambda sums, a, w, blocks: (opened.append(len(blocks)), add(sums, a, w, blocks))
+    found = index.nearest_all([(names[t], v[t].astype(float)) for v, t in zip(dense[:50], at)], 7)
+    for q, near in enumerate(found):
+        scores = dense.astype(float) @ dense[q].astype(float)
+        expected = sorted(range(1200), key=lambda e: (-round(scores[e], 7), e))[:7]
+        assert np.allclose([c for c, _ in near], scores[expected], atol=1e-6)
+        assert q != 3 or [e for _, e in near[:3]] == [3, 7, 1000]
+    assert sum(opened) < 50 * index.blocks  # blocks that can't hold a nearest example stay closed
 
 
 def test_toxicity_weighs_whole_texts(spark):
@@ -139,18 +146,17 @@ def test_toxicity_weighs_whole_texts(spark):
     table = spark.createDataFrame(rows(*texts), SCHEMA)
     labels = spark.createDataFrame([(i + 1, int(i % 4 == 0)) for i in range(60)], "doc_id bigint, toxic int")
     out = {r["doc_id"]: r for r in toxicity.score_toxicity(table, labels).collect()}
-    # brute force over all terms, with the chosen ones lifted
-    held = spark.createDataFrame([(int(i % 4 == 0), texts[i]) for i in range(60)], "toxic int, text string")
-    chosen = set(toxicity.choose_terms(held, 3.0, 3.0, 4096))
-    bags = [toxicity.terms_of(t) for t in texts]
-    assert chosen and chosen <= {"moron", "^moro"}
-    weigh = lambda b: {t: (1 + np.log(n)) * (np.log((len(texts) + 1) / (sum(t in x for x in bags) + 1)) + 1) * (8 if t in chosen else 1) for t, n in b.items()}
+    # brute force over all words, with the one that speaks for the label lifted
+    bags = [{w: t.split().count(w) for w in t.split()} for t in texts]
+    weigh = lambda b: {t: (1 + np.log(n)) * (np.log((len(texts) + 1) / (sum(t in x for x in bags) + 1)) + 1) * (8 if t == "moron" else 1) for t, n in b.items()}
     vectors = [weigh(b) for b in bags]
     norms = [np.sqrt(sum(w * w for w in v.values())) for v in vectors]
     for i, v in enumerate(vectors):
-        cosines = sorted((sum(w * vectors[e].get(t, 0) for t, w in v.items()) / norms[i] / norms[e] for e in range(60)), reverse=True)[:10]
+        cosines = sorted(((sum(w * vectors[e].get(t, 0) for t, w in v.items()) / norms[i] / norms[e], e % 4 == 0) for e in range(60)), reverse=True)[:10]
         found = [e["cosine"] for e in out[i + 1]["evidence"]]
-        assert np.allclose(found, [c for c in cosines if c > 1e-9], atol=1e-6)
+        assert np.allclose(found, [c for c, _ in cosines if c > 1e-9], atol=1e-6)
+        score = (sum(c for c, y in cosines if y) + 1.5 * 0.25) / (sum(c for c, _ in cosines) + 1.5)
+        assert abs(out[i + 1]["score"] - score) < 1e-6
     assert max(e["cosine"] for e in out[81]["evidence"]) < 0.9  # one listed term does not make a long text equal to a toxic one
     assert {e["label"] for e in out[82]["evidence"]} == {0} and len(out[82]["evidence"]) == 10 and out[83]["evidence"] == []  # clean examples are in the index
 
