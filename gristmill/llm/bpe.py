@@ -5,7 +5,7 @@ so every such pair marks a certain cut. Words are cut there, the fragments are e
 (and remembered, since fragments repeat far more than words), and their ids are concatenated.
 
 Rows never meet: the job is one narrow pass over the documents without a shuffle, so a lost executor
-costs only its own tasks. Each Python worker keeps at most ``cache_entries`` words.
+costs only its own tasks. Each Python worker keeps at most ``cache_entries`` words of MOST_CACHED characters at most.
 """
 
 from __future__ import annotations
@@ -119,14 +119,20 @@ class WordBpe:
         return sum(counts), " ".join(ids), " ".join(tokens)
 
 
+#: Longer words and fragments are not remembered, so that a cache's bytes are bounded.
+MOST_CACHED = 64
+
+
 class _Memo(dict):
-    """A dict that computes what it lacks, and starts anew when it holds ``most`` entries."""
+    """A dict that computes what it lacks, and starts anew when it holds ``most`` entries; long keys are not kept."""
 
     def __init__(self, compute, most: int):
         super().__init__()
         self.compute, self.most = compute, most
 
     def __missing__(self, key):
+        if len(key) > MOST_CACHED:
+            return self.compute(key)
         if len(self) >= self.most:
             self.clear()
         value = self[key] = self.compute(key)
