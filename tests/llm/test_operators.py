@@ -183,6 +183,13 @@ def test_line_dedup(spark, docs, none):
     assert {r["text"] for r in line_dedup.dedup_lines(table, min_sites=13).collect()} == set(texts)
     assert line_dedup.dedup_lines(docs).count() == 9 and line_dedup.dedup_lines(none).count() == 0
     assert line_dedup.dedup_lines(docs).columns == [*docs.columns, "n_lines", "n_removed"]
+    odd = table.selectExpr("doc_id", "text", "source", "doc_id as key", "source as site", "text as gone", "5 as __key", "6 as `row`", "7 as `a.b`", "9 as n_lines", "null as id")
+    out = line_dedup.dedup_lines(odd, min_sites=10)
+    assert out.columns == [*[c for c in odd.columns if c != "n_lines"], "n_lines", "n_removed"]
+    for r in out.collect():
+        assert (r["key"], r["__key"], r["row"], r["a.b"], r["id"]) == (r["doc_id"], 5, 6, 7, None) and r["gone"] == ([*texts] + [None])[r["doc_id"] - 1]
+    same = spark.createDataFrame(rows(*["x\nboiler"] * 3, *["y\nboiler"] * 12, ids=[None] * 3 + [7] * 12, sources=[f"s{i}" for i in range(15)]), SCHEMA)
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in line_dedup.dedup_lines(same, min_sites=10).collect()) == [(0, "x")] * 3 + [(7, "y\nboiler")] * 12
 
 
 def test_mixing(spark, docs, none):
@@ -192,24 +199,51 @@ def test_mixing(spark, docs, none):
     table = spark.createDataFrame(rows(*texts, sources=names), SCHEMA)
     out = [r.asDict() for r in mixing.mix_sources(table, keep=("lang",)).collect()]
     assert len(out) == 400 and all(0 <= r["taken"] <= 2 * r["size"] for r in out)
+    assert all((r["first_slot"] is None) == (r["taken"] == 0) for r in out)
     source = dict(zip(range(1, 401), names))
     for name in set(names):
         own = [r for r in out if source[r["doc_id"]] == name]
-        assert abs(sum(r["taken"] for r in own) / own[0]["target"] - 1) < 0.05
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 0.5
         assert own[0]["source_size"] == sum(r["size"] for r in own) and own[0]["target"] <= 2 * own[0]["source_size"] + 1e-6
     assert abs(sum({source[r["doc_id"]]: r["target"] for r in out}.values()) - 1.5 * sum(r["size"] for r in out)) < 1e-3
+    again = [r.asDict() for r in mixing.mix_sources(table.repartition(7), keep=("lang",)).collect()]
+    key = lambda r: r["doc_id"]
+    assert sorted(out, key=key) == sorted(again, key=key)
     assert mixing.mix_sources(docs).count() == 9 and mixing.mix_sources(none).count() == 0
 
 
 def test_mixing_is_exact_for_small_sources(spark):
-    sizes = {"big": [5000, 700, 4301], "a": [30], "b": [3, 8], "c": [1], "d": [70, 41]}
+    sizes = {"big": [5000, 700, 4301], "a": [30], "b": [3, 8], "c": [1], "d": [70, 41], "e": [0, 0]}
     table = spark.createDataFrame(rows(*(" ".join(["w"] * n) for s in sizes.values() for n in s), sources=[k for k, s in sizes.items() for _ in s]), SCHEMA)
     names = [k for k, s in sizes.items() for _ in s]
-    out = [r.asDict() for r in mixing.mix_sources(table, share=1.9).collect()]
-    for name in sizes:
-        own = [r for r in out if names[r["doc_id"] - 1] == name]
-        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 0.5 and all(0 <= r["taken"] <= 2 * r["size"] for r in own)
-    assert sum(r["taken"] for r in out if names[r["doc_id"] - 1] == "a") == 60
+    for block in (1, 16, 256):
+        out = [r.asDict() for r in mixing.mix_sources(table, share=1.9, block_tokens=block).collect()]
+        for name in sizes:
+            own = [r for r in out if names[r["doc_id"] - 1] == name]
+            assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 0.5 and all(0 <= r["taken"] <= 2 * r["size"] for r in own)
+        assert sum(r["taken"] for r in out if names[r["doc_id"] - 1] == "a") == 60
+
+
+def test_schedule_against_brute_force(spark):
+    target = {0: 700.0, 1: 30.0, 2: 0.0, 3: 270.0, 4: 0.4}
+    need = {0: 700, 1: 30, 2: 0, 3: 270, 4: 1}
+    by = spark.createDataFrame([(i, target[i], need[i]) for i in target], "no int, target double, slots bigint")
+    found = sorted((r["slot"], r["no"], r["rank"]) for r in mixing.schedule(by, 1001, 5).collect())
+    edges, ranks, expected = [], dict.fromkeys(target, 0), []
+    for i in (0, 1, 3, 4):
+        edges.append((sum(target[x] for x in target if x <= i) / sum(target.values()), i))
+    for j in range(1001):
+        u = j * 11400714819323198485 % (1 << 64) / (1 << 64)
+        i = next((i for e, i in edges if u < e), 4)
+        if ranks[i] < need[i]:
+            expected.append((j, i, ranks[i]))
+        ranks[i] += 1
+    lacking = sorted((r, i) for i in target for r in range(ranks[i], need[i]))
+    assert found == expected + [(1001 + k, i, r) for k, (r, i) in enumerate(lacking)]
+    assert len(lacking) < 10
+    # any run of slots holds each source near its share
+    for low in range(0, 900, 100):
+        assert abs(sum(1 for s, i, _ in found if low <= s < low + 100 and i == 0) - 70) <= 4
 
 
 def test_quality(spark, docs, none):
