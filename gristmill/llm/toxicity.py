@@ -73,27 +73,28 @@ class BlockMaxIndex:
 
     def __init__(self, terms: np.ndarray, weights: np.ndarray, lengths: np.ndarray, blocks: int = 16, dense: float = 0.1):
         self.n = len(lengths)
-        self.vocabulary, number = np.unique(terms, return_inverse=True)
-        owner = np.repeat(np.arange(self.n), lengths)
+        self.vocabulary = np.unique(terms)
+        number = np.searchsorted(self.vocabulary, terms).astype(np.int32)
+        owner = np.repeat(np.arange(self.n, dtype=np.int32), lengths)
         common = np.flatnonzero(np.bincount(number, minlength=len(self.vocabulary)) > max(1, dense * self.n))
-        self.row = np.full(len(self.vocabulary), -1)
+        self.row = np.full(len(self.vocabulary), -1, dtype=np.int32)
         self.row[common] = np.arange(len(common))
         matrix = np.zeros((len(common), self.n), dtype=np.float32)
         held = self.row[number] >= 0
         matrix[self.row[number[held]], owner[held]] = weights[held]
         group = self._alike(matrix, blocks)
         self.order = np.argsort(group, kind="stable")  # place in the index -> example
-        place = np.empty(self.n, dtype=np.int64)
+        place = np.empty(self.n, dtype=np.int32)
         place[self.order] = np.arange(self.n)
         self.matrix = matrix[:, self.order]
         _, self.edge = np.unique(group[self.order], return_index=True)
         self.edge = np.append(self.edge, self.n)
         self.blocks = len(self.edge) - 1
-        rare = np.flatnonzero(~held)
-        at, number, weights = place[owner[rare]], number[rare], weights[rare]
-        sort = np.lexsort((at, number))
-        self.owner, self.weight = at[sort].astype(np.int32), weights[sort].astype(np.float32)
-        cell = number[sort] * self.blocks + (np.searchsorted(self.edge, at[sort], side="right") - 1)
+        number, owner, weights = number[~held], place[owner[~held]], weights[~held].astype(np.float32)
+        sort = np.argsort(number.astype(np.int64) * self.n + owner)
+        self.owner, self.weight, number = owner[sort], weights[sort], number[sort]
+        del owner, weights, sort, held
+        cell = number.astype(np.int64) * self.blocks + (np.searchsorted(self.edge, self.owner, side="right") - 1)
         size = len(self.vocabulary) * self.blocks
         #: Where the postings of each term and block begin, and their largest weight.
         self.cut = np.append(0, np.cumsum(np.bincount(cell, minlength=size))).astype(np.int32)
