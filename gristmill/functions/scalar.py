@@ -149,12 +149,24 @@ def non_product_url(u: Column) -> Column:
     return u.rlike("(?i)" + lex.NON_PRODUCT_URL)
 
 
+def _fold_dots(path: Column) -> Column:
+    """A path without its . and .. steps."""
+    steps = F.split(path, "/")
+    drop = lambda held: F.when(F.size(held) > 1, F.slice(held, F.lit(1), F.size(held) - 1)).otherwise(held)
+    folded = F.aggregate(F.slice(steps, 2, 1 << 20), F.array(F.lit("")), lambda held, x: F.when(x == "..", drop(held)).when(x == ".", held).otherwise(F.concat(held, F.array(x))))
+    return F.array_join(F.when(F.element_at(steps, -1).isin(".", ".."), F.concat(folded, F.array(F.lit("")))).otherwise(folded), "/")
+
+
 def absolute_url(base: Column, href: Column) -> Column:
-    """href seen from base, without its fragment. ../ steps are not folded."""
-    h = F.regexp_replace(href, "#.*$", "")
+    """href seen from base, without its fragment."""
+    h, plain = F.regexp_replace(href, "#.*$", ""), F.regexp_replace(base, "#.*$", "")
     scheme, root = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.\-]*:)", 1), F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*)", 1)
-    folder = F.regexp_replace(F.regexp_replace(base, r"[?#].*$", ""), r"(?<=[^/:])(/)[^/]*$", "$1")
-    return F.when(h.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"), h).when(h.startswith("//"), F.concat(scheme, h)).when(h.startswith("/"), F.concat(root, h)).when(h == "", F.regexp_replace(base, "#.*$", "")).otherwise(F.concat(folder, h))
+    query, folder = F.regexp_extract(h, r"(\?.*)$", 1), F.regexp_extract(url_path(base), r"^(.*/)[^/]*$", 1)
+    steps = F.regexp_replace(h, r"\?.*$", "")
+    merged = F.when(steps.startswith("/"), steps).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), steps))
+    resolved = F.concat(root, _fold_dots(merged), query)
+    bare = F.regexp_replace(plain, r"\?.*$", "")
+    return F.when(h == "", plain).when(h.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"), h).when(h.startswith("//"), F.concat(scheme, h)).when(h.startswith("?"), F.concat(bare, h)).otherwise(resolved)
 
 
 def page_type(u: Column) -> Column:
@@ -171,7 +183,7 @@ def page_type(u: Column) -> Column:
 
 def title_case(c: Column) -> Column:
     """Upper case after any character that is no letter."""
-    return F.array_join(F.transform(F.regexp_extract_all(F.lower(c), F.lit("([a-z]+|[^a-z]+)"), 1), F.initcap), "")
+    return F.array_join(F.transform(F.regexp_extract_all(F.lower(c), F.lit(r"(\p{L}+|\P{L}+)"), 1), F.initcap), "")
 
 
 def looks_like_color(c: Column) -> Column:
