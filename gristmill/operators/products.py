@@ -101,7 +101,14 @@ def remove_phantoms(products: DataFrame) -> DataFrame:
 
 
 def deduplicate(products: DataFrame) -> DataFrame:
-    return remove_phantoms(dedupe_by_sku(products).unionByName(dedupe_by_name(products)))
+    """One row per SKU and colour, per name and colour without a SKU, and all rows without both; then without phantoms. One aggregation keys all three kinds."""
+    name, color = _lower("product_name"), _lower("color")
+    key = (
+        F.when(fn.strip(F.col("sku_upc")) != "", F.concat(F.lit("s|"), _lower("sku_upc"), F.lit("|"), color))
+        .when(name != "", F.concat(F.lit("n|"), name, F.when(color != "", F.concat(F.lit("|"), color)).otherwise("")))
+        .otherwise(F.concat(F.lit("r|"), F.col("ord").cast("string")))
+    )
+    return remove_phantoms(merge_groups(products.withColumn("key", key), "key"))
 
 
 def clean(products: DataFrame) -> DataFrame:
