@@ -1,23 +1,32 @@
 """Nearest neighbours by a block matrix join of int8 tiles with quantisation error bounds.
 
-Vectors are packed into tiles: unit vectors rounded to int8 with a scale and the exact length of what
-rounding took away. Query tiles meet candidate tiles in a join by tile pair; an int8 product plus the
-error bound is a sure upper bound of each cosine, and minus the bound a sure lower one. Only pairs whose
-upper bound reaches the k-th best lower bound survive; they are recomputed in double precision, merged
-by a heap for each query in a task and once more over tasks. The result is exact.
+Vectors are packed into tiles: unit vectors rounded to int8, with a scale and the exact length of what
+rounding took away. Every query tile meets every candidate tile in a grid join whose key is the pair of
+tiles, so no key sees more than two tiles. An
+int8 product plus the error bound is a sure upper bound of each cosine, minus the bound a sure lower
+one. Pairs below the k-th best lower bound, first of their tile and then of all, are out; only the
+survivors fetch their original vectors and are recomputed in double precision. Each query's best are
+merged by a bounded heap in each task and once more over tasks. The result is exact.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from gristmill.llm.common import materialize
 
+#: Products of int8 numbers add up exactly in float32 over this many dimensions: 1024 * 127^2 < 2^24.
+_EXACT = 1024
+
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, v double array) of the vectors that take part: not null, empty or zero, without null, infinite or NaN components, with an id."""
@@ -33,18 +42,30 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return q, scale, np.linalg.norm(x - q * scale[:, None], axis=1)
 
 
+def product(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """x @ y.T of int8 rows without any rounding, in whatever dimension."""
+    out = np.zeros((len(x), len(y)))
+    for a in range(0, x.shape[1], _EXACT):
+        out += x[:, a : a + _EXACT].astype(np.float32) @ y[:, a : a + _EXACT].astype(np.float32).T
+    return out
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def tiles(vectors: DataFrame, rows: int, parts: int) -> DataFrame:
-    """(dim, tile, ids, data): up to ``rows`` vectors of one dimension as the bytes of a double matrix."""
+    """(dim, tile, ids, q, scale, error): up to ``rows`` vectors of one dimension as the bytes of an int8 matrix. tile is below parts."""
+    schema = pa.schema([("dim", pa.int32()), ("tile", pa.int32()), ("ids", pa.list_(pa.int64())), ("q", pa.binary()), ("scale", pa.binary()), ("error", pa.binary())])
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile = TaskContext.get().partitionId()
         held: dict[int, tuple[list, list]] = {}
 
         def out(dim: int, ids: list, data: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([np.array(data, dtype=np.float64).tobytes()], pa.binary())], names=["dim", "ids", "data"])
+            q, scale, error = quantise(_unit(np.array(data, dtype=np.float64)))
+            return pa.RecordBatch.from_pylist([{"dim": dim, "tile": tile, "ids": ids, "q": q.tobytes(), "scale": scale.tobytes(), "error": error.tobytes()}], schema)
 
         for batch in batches:
             for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -57,7 +78,73 @@ def tiles(vectors: DataFrame, rows: int, parts: int) -> DataFrame:
         for dim, (ids, data) in held.items():
             yield out(dim, ids, data)
 
-    return vectors.repartition(parts, F.xxhash64("id")).mapInArrow(pack, "dim int, ids array<bigint>, data binary")
+    return vectors.repartition(parts, F.xxhash64("id")).mapInArrow(pack, "dim int, tile int, ids array<bigint>, q binary, scale binary, error binary")
+
+
+def _bounds(row: dict, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a pair of tiles the places (query, candidate) of the pairs that may be among a query's k nearest, with sure bounds of their cosines."""
+    asked, ids = np.array(row["query_ids"]), np.array(row["ids"])
+    (qx, sx, ex), (qy, sy, ey) = ((np.frombuffer(row[q], np.int8).reshape(-1, row["dim"]), np.frombuffer(row[s]), np.frombuffer(row[e])) for q, s, e in (("query_q", "query_scale", "query_error"), ("q", "scale", "error")))
+    near = product(qx, qy) * sx[:, None] * sy[None, :]
+    # |x.y - x^.y^| <= |x - x^| |y| + |x^| |y - y^|, with |y| = 1 and |x^| <= 1 + |x - x^|; the rest covers rounding in doubles
+    error = ex[:, None] + (1 + ex)[:, None] * ey[None, :] + 1e-9 + 1e-15 * row["dim"]
+    near[asked[:, None] == ids[None, :]] = -np.inf
+    # rows that repeat an id must not push another id out
+    keep = min(k + len(ids) - len(np.unique(ids)), len(ids))
+    floor = np.partition(near - error, len(ids) - keep, axis=1)[:, len(ids) - keep]
+    at = np.nonzero((near + error >= floor[:, None]) & np.isfinite(near))
+    return at[0], at[1], (near - error)[at], (near + error)[at]
+
+
+def _search(k: int):
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("low", pa.float64()), ("high", pa.float64())])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
+                q, c, low, high = _bounds(row, k)
+                asked, ids = np.array(row["query_ids"]), np.array(row["ids"])
+                for a in range(0, len(q), 1 << 16):
+                    b = slice(a, a + (1 << 16))
+                    yield pa.RecordBatch.from_arrays([pa.array(asked[q[b]]), pa.array(ids[c[b]]), pa.array(low[b]), pa.array(high[b])], schema=schema)
+
+    return search
+
+
+@F.pandas_udf(DoubleType())
+def _cosine(x: pd.Series, y: pd.Series) -> pd.Series:
+    out = np.full(len(x), np.nan)
+    dims = x.map(len).to_numpy()
+    for dim in np.unique(dims):
+        at = np.flatnonzero(dims == dim)
+        a, b = np.stack(x.iloc[at].to_list()), np.stack(y.iloc[at].to_list())
+        out[at] = (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
+    return pd.Series(out)
+
+
+def _heaps(k: int):
+    """Keeps each query's k best of a task in a heap; rows of a query stand together, so one heap is held at a time."""
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query, heap = None, []
+        for batch in batches:
+            out = []
+            for q, c, s in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if q != query:
+                    out += [(query, -i, x) for x, i in heap]
+                    query, heap = q, []
+                if len(heap) < k:
+                    heapq.heappush(heap, (s, -c))
+                elif (s, -c) > heap[0]:
+                    heapq.heapreplace(heap, (s, -c))
+            yield _scored(out)
+        yield _scored([(query, -i, x) for x, i in heap])
+
+    return best
+
+
+def _scored(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist([{"query_id": q, "vec_id": c, "score": s} for q, c, s in rows], pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, tile_rows: int = 2048) -> DataFrame:
@@ -68,44 +155,28 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vect
     components, and null ids, take no part; vectors of unlike dimension are never compared. Rows that repeat an
     id and vector count once; other repeats of a query's id are searched as one query each would be, best scores kept. Extra columns are ignored.
     """
-    base, asked = usable(vectors, id_col, vector_col).distinct(), usable(queries, id_col, vector_col).distinct()
-    n, m = base.count(), asked.count()
-    right = materialize(tiles(base, tile_rows, max(1, -(-n // tile_rows))), "candidates").withColumn("tile", F.monotonically_increasing_id())
-    left = materialize(tiles(asked, tile_rows, max(1, -(-m // tile_rows))), "queries").withColumn("group", F.pmod(F.monotonically_increasing_id(), F.lit(1 << 20)))
-    groups = max(1, -(-m // tile_rows))
-    left = left.withColumn("group", F.pmod(F.xxhash64("ids"), F.lit(groups))).select("dim", "group", F.col("ids").alias("query_ids"), F.col("data").alias("query_data"))
-    # every candidate tile goes to every group of query tiles: tiles, not rows, are repeated
-    met = right.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumn("group", F.col("group").cast("bigint")).join(left, ["dim", "group"])
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, dict[int, float]] = {}
-        for batch in batches:
-            for row in range(batch.num_rows):
-                get = {c: batch.column(c)[row].as_py() for c in ("dim", "ids", "data", "query_ids", "query_data")}
-                ids, asked_ids = np.array(get["ids"]), np.array(get["query_ids"])
-                x, y = (np.frombuffer(get[c]).reshape(-1, get["dim"]) for c in ("query_data", "data"))
-                (qx, sx, ex), (qy, sy, ey) = quantise(_unit(x)), quantise(_unit(y))
-                near = (qx.astype(np.float32) @ qy.astype(np.float32).T).astype(np.float64) * sx[:, None] * sy[None, :]
-                # |x.y - x^.y^| <= |x - x^| |y| + |x^| |y - y^|, with |y| = 1 and |x^| <= 1 + |x - x^|
-                error = ex[:, None] + (1 + ex)[:, None] * ey[None, :] + 1e-6
-                near[asked_ids[:, None] == ids[None, :]] = -np.inf
-                keep = min(k, len(ids))
-                floor = np.partition(near - error, len(ids) - keep, axis=1)[:, len(ids) - keep]
-                qi, ci = np.nonzero((near + error >= floor[:, None]) & np.isfinite(near))
-                for a in range(0, len(qi), 1 << 16):
-                    i, j = qi[a : a + (1 << 16)], ci[a : a + (1 << 16)]
-                    dots = (x[i] * y[j]).sum(axis=1) / (np.sqrt((x[i] * x[i]).sum(axis=1)) * np.sqrt((y[j] * y[j]).sum(axis=1)))
-                    for q, c, s in zip(asked_ids[i].tolist(), ids[j].tolist(), dots.tolist()):
-                        own = best.setdefault(q, {})
-                        if s > own.get(c, -2.0):
-                            own[c] = s
-                            if len(own) > 8 * k:
-                                best[q] = dict(sorted(own.items(), key=lambda e: (-e[1], e[0]))[:k])
-        out = [(q, c, s) for q, own in best.items() for c, s in sorted(own.items(), key=lambda e: (-e[1], e[0]))[:k]]
-        for a in range(0, len(out), 10_000):
-            yield pa.RecordBatch.from_pylist([{"query_id": q, "vec_id": c, "score": s} for q, c, s in out[a : a + 10_000]], pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
-
-    found = met.mapInArrow(search, "query_id bigint, vec_id bigint, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    base, asked = materialize(usable(vectors, id_col, vector_col).distinct(), "vectors"), materialize(usable(queries, id_col, vector_col).distinct(), "asked")
+    across, down = (max(1, -(-t.count() // tile_rows)) for t in (base, asked))
+    right = materialize(tiles(base, tile_rows, across), "candidates").select("dim", F.col("tile").alias("column"), "ids", "q", "scale", "error")
+    left = materialize(tiles(asked, tile_rows, down), "queries").select("dim", F.col("tile").alias("row"), *(F.col(c).alias(f"query_{c}") for c in ("ids", "q", "scale", "error")))
+    # the grid: tiles, not vectors, are repeated, a byte for each component
+    right = right.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(down - 1))))
+    left = left.withColumn("column", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
+    met = left.hint("merge").join(right, ["dim", "row", "column"])
+    pairs = met.mapInArrow(_search(k), "query_id bigint, vec_id bigint, low double, high double")
+    pairs = materialize(pairs.groupBy("query_id", "vec_id").agg(F.max("low").alias("low"), F.max("high").alias("high")), "pairs")
+    floors = top(pairs.select("query_id", "vec_id", F.col("low").alias("score")), k).groupBy("query_id").agg(F.min("score").alias("floor"), F.count("*").alias("n"))
+    open_pairs = pairs.join(floors, "query_id").filter((F.col("n") < k) | (F.col("high") >= F.col("floor"))).select("query_id", "vec_id")
+    met = open_pairs.join(asked.select(F.col("id").alias("query_id"), F.col("v").alias("x")), "query_id").join(base.select(F.col("id").alias("vec_id"), F.col("v").alias("y")), "vec_id")
+    scored = met.filter(F.size("x") == F.size("y")).select("query_id", "vec_id", _cosine("x", "y").alias("score"))
+    best = top(scored.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), k)
+    order = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id", "score")))
+    return best.groupBy("query_id").agg(order.alias("near")).select("query_id", F.posexplode("near")).select("query_id", (F.col("pos") + 1).alias("rank"), F.col("col.vec_id").alias("vec_id"), F.col("col.score").alias("score"))
+
+
+def top(scores: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score): the k best of each query, ties to the smaller id. A heap of k in each task, then one over what is left of each query."""
+    def merged(rows: DataFrame) -> DataFrame:
+        return rows.sortWithinPartitions("query_id").mapInArrow(_heaps(k), "query_id bigint, vec_id bigint, score double")
+
+    return merged(merged(scores).repartition("query_id"))

@@ -285,6 +285,25 @@ def test_neighbours(spark):
         assert [i for _, i, _ in found] == best and [z for _, _, z in found] == [s[i] for i in best]
     assert not [r for r in out if r["query_id"] >= 900]
     assert ann.nearest(table.limit(0), table.limit(0)).count() == 0
+    few = table.filter("vec_id in (0, 1, 2, 904)")
+    out = ann.nearest(few, few.filter("vec_id in (0, 904)"), tile_rows=1).collect()
+    assert sorted((r["query_id"], r["rank"]) for r in out) == [(0, 1), (0, 2)]
+
+
+def test_neighbours_in_many_dimensions(spark):
+    import numpy as np
+
+    q = np.full((2, 3001), 127, dtype=np.int8)
+    q[1, ::2] = -126
+    assert (ann.product(q, q) == q.astype(np.int64) @ q.astype(np.int64).T).all()
+    x = np.random.default_rng(8).normal(size=(60, 3001))
+    x[30:] = x[:30] + 1e-4 * x[::-1][:30]  # closer to each other than rounding to int8 can tell
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(7, (2 * x[9]).tolist())] * 2, "vec_id bigint, embedding array<double>")
+    found = [(r["rank"], r["vec_id"]) for r in ann.nearest(table, table.filter("vec_id = 39"), tile_rows=16).collect()]
+    s = [x[39] @ v / np.linalg.norm(x[39]) / np.linalg.norm(v) for v in x]
+    s[7] = max(s[7], s[9])
+    best = sorted((i for i in range(60) if i != 39), key=lambda i: -round(s[i], 12))[:5]
+    assert [i for _, i in sorted(found)][2:] == best[2:] and {i for _, i in found[:2]} == {7, 9}
 
 
 def test_pipeline_judges_repeated_ids_by_row(spark):
