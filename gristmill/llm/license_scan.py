@@ -1,10 +1,10 @@
 """License scans by diagonal voting, in DataFrame functions only.
 
 Every rolling k-gram of words is hashed and joined to the positions of the same k-gram in the templates (a short fixed
-list, so that side is broadcast). A hit votes for its diagonal (place in the document minus place in the template);
-neighbouring diagonals, as a word put in or left out makes them, are merged; and a merged span is
-verified by the share of the template's words that exactly equal k-grams cover. Only hits are
-shuffled, by document.
+list, so that side is broadcast). A hit, whose words must be equal and not just their hash, votes for its
+diagonal (place in the document minus place in the template); neighbouring diagonals, as a word put in
+or left out makes them, are merged; and a merged span is verified by the share of the template's words
+that equal k-grams cover. Only hits are shuffled, by document.
 """
 
 from __future__ import annotations
@@ -50,9 +50,34 @@ def license_words(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), 0)
 
 
-def gram_hashes(words: Column, k: int) -> Column:
-    rolled = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - k), lambda i: F.xxhash64(*(F.get(h, i + j) for j in range(k))))
-    return F.when(F.size(words) >= k, let(F.transform(words, lambda w: F.xxhash64(w)), rolled)).otherwise(F.array().cast("array<bigint>"))
+def word_grams(words: Column, k: int) -> Column:
+    """The text's rolling k-grams of words, each as its words joined by spaces."""
+    def rolled(w: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.concat_ws(" ", *(F.get(w, i + j) for j in range(k))))
+
+    return F.when(F.size(words) >= k, let(words, rolled)).otherwise(F.array().cast("array<string>"))
+
+
+def verified(run: Column, n: Column, least: Column, k: int) -> Column:
+    """Of a run of neighbouring diagonals (diagonal, at) the spans (start, end, covered) that cover ``least`` of a template's n words.
+
+    The whole run is one span, if it is not much longer than the template. Else each diagonal is a span of its
+    own, and if none of them is enough, each two that follow one another.
+    """
+    def span(parts: Column) -> Column:
+        places = F.flatten(F.transform(parts, lambda x: F.flatten(F.transform(x["at"], lambda p: F.sequence(p, p + (k - 1))))))
+        start = F.array_min(F.transform(parts, lambda x: F.array_min(x["at"]) + x["diagonal"]))
+        end = F.array_max(F.transform(parts, lambda x: F.array_max(x["at"]) + x["diagonal"])) + k
+        return F.struct(start.alias("start"), end.alias("end"), (F.size(F.array_distinct(places)) / n).alias("covered"))
+
+    def good(spans: Column) -> Column:
+        return F.filter(spans, lambda s: (s["covered"] >= least) & ((s["end"] - s["start"]) * least <= n))
+
+    def first(*choices: Column) -> Column:
+        return choices[0] if len(choices) == 1 else let(good(choices[0]), lambda g: F.when(F.size(g) > 0, g).otherwise(first(*choices[1:])))
+
+    pairs = F.transform(F.sequence(F.lit(1), F.size(run)), lambda i: span(F.slice(run, i, 2)))
+    return first(F.array(span(run)), F.transform(run, lambda x: span(F.array(x))), good(pairs))
 
 
 def template_table(spark: SparkSession, base: list[tuple[str, str]], notices: list[tuple[str, str, str]], k: int) -> DataFrame:
@@ -63,8 +88,8 @@ def template_table(spark: SparkSession, base: list[tuple[str, str]], notices: li
         raise ValueError(f"a template has fewer than {k} words")
     rows = [(i, p, label, True, p.split()) for i, (p, label) in enumerate(base)] + [(len(base) + i, family, label, False, p.split()) for i, (family, label, p) in enumerate(notices)]
     templates = spark.createDataFrame(rows, "template int, family string, label string, exact boolean, words array<string>")
-    at = templates.select("template", "family", "label", "exact", F.size("words").alias("n"), "words", F.posexplode(gram_hashes(F.col("words"), k)).alias("t_pos", "hash"))
-    return at.select("template", "family", "label", "exact", "n", "t_pos", F.slice("words", F.col("t_pos") + 1, k).alias("gram"), "hash")
+    at = templates.select("template", "family", "label", "exact", F.size("words").alias("n"), F.posexplode(word_grams(F.col("words"), k)).alias("t_pos", "gram"))
+    return at.withColumn("hash", F.xxhash64("gram"))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base: list[tuple[str, str]] = BASE, notices: list[tuple[str, str, str]] = NOTICES, k: int = 3, max_shift: int = 3, min_cover: float = 0.8) -> DataFrame:
@@ -73,33 +98,33 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     n_base counts all places of the base phrases, first_word and last_word are the smallest and largest
     start of one. A notice is found where merged diagonals (max_shift words apart at most) cover
     min_cover of its words. labels joins base and notice labels; score is 1 if a base phrase stands
-    there, else the largest share covered, else 0; spans holds (label, start, end, covered) of all
+    there, else the largest share covered, else 0. Of a family of notices those covered best count, all
+    of them at a tie; spans holds (label, start, end, covered) of all
     finds. A null or empty text has no words and finds nothing: null places, empty labels, score 0.
     Repeated rows and null ids are scanned each. Other columns of docs are ignored.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), row_key(F.col(id_col), F.col(text_col)).alias("key"))
     templates = template_table(docs.sparkSession, base, notices, k)
-    grams = rows.select("id", "key", license_words(F.col("t")).alias("words")).select("id", "key", "words", F.posexplode(gram_hashes(F.col("words"), k)).alias("pos", "hash"))
-    hits = grams.join(F.broadcast(templates), "hash").filter(F.slice("words", F.col("pos") + 1, k) == F.col("gram"))
+    # a row of a k-gram holds its k words and nothing else of the text, so a text twice as long costs twice as much
+    grams = rows.select("id", "key", license_words(F.col("t")).alias("words")).select("id", "key", F.posexplode(word_grams(F.col("words"), k)).alias("pos", "gram"))
+    hits = grams.withColumn("hash", F.xxhash64("gram")).join(F.broadcast(templates), ["hash", "gram"])
     votes = hits.select("id", "key", "template", "family", "label", "exact", "n", "t_pos", (F.col("pos") - F.col("t_pos")).alias("diagonal"))
     by = ["id", "key", "template", "family", "label", "exact", "n"]
     lines = votes.groupBy(*by, "diagonal").agg(F.collect_set("t_pos").alias("at"))
-    exact = lines.filter(F.col("exact") & (F.size("at") == F.col("n") - k + 1)).select("id", "key", "label", F.lit("base").alias("family"), F.col("diagonal").alias("start"), (F.col("diagonal") + F.col("n")).alias("end"), F.lit(1.0).alias("covered"))
     order = Window.partitionBy("id", "key", "template").orderBy("diagonal")
-    fresh = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > max_shift, F.lit(True)).cast("int")
-    spans = lines.filter(~F.col("exact")).withColumn("fresh", fresh).withColumn("group", F.sum("fresh").over(order))
-    start, end = F.array_min("at") + F.col("diagonal"), F.array_max("at") + F.col("diagonal") + k
-    spans = spans.groupBy(*by, "group").agg(F.flatten(F.collect_list("at")).alias("at"), F.min(start).alias("start"), F.max(end).alias("end"))
-    words = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + (k - 1)))))
-    spans = spans.withColumn("covered", F.size(words) / F.col("n")).filter((F.col("covered") >= min_cover) & ((F.col("end") - F.col("start")) * min_cover <= F.col("n")))
+    # base phrases stand alone on their diagonals
+    fresh = F.col("exact") | F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > max_shift, F.lit(True))
+    lines = lines.withColumn("fresh", fresh.cast("int")).withColumn("group", F.sum("fresh").over(order))
+    groups = lines.groupBy(*by, "group").agg(F.sort_array(F.collect_list(F.struct("diagonal", "at"))).alias("run"))
+    found = groups.withColumn("span", F.explode(verified(F.col("run"), F.col("n"), F.when(F.col("exact"), 1.0).otherwise(min_cover), k))).select(*by, "span.*")
     best = F.max("covered").over(Window.partitionBy("id", "key", "family"))
-    spans = spans.withColumn("best", best).filter("covered = best").select("id", "key", "label", "family", "start", "end", "covered")
-    base_row = F.col("family") == "base"
-    found = exact.unionByName(spans).groupBy("id", "key").agg(
-        F.sum(base_row.cast("bigint")).alias("n_base"),
-        F.min(F.when(base_row, F.col("start"))).cast("bigint").alias("first_word"),
-        F.max(F.when(base_row, F.col("start"))).cast("bigint").alias("last_word"),
-        F.array_join(F.sort_array(F.collect_set(F.when(base_row, F.col("label")))), ",").alias("base_labels"),
+    found = found.withColumn("best", best).filter("covered = best")
+    start = F.when(F.col("exact"), F.col("start"))
+    found = found.groupBy("id", "key").agg(
+        F.sum(F.col("exact").cast("bigint")).alias("n_base"),
+        F.min(start).cast("bigint").alias("first_word"),
+        F.max(start).cast("bigint").alias("last_word"),
+        F.array_join(F.sort_array(F.collect_set(F.when(F.col("exact"), F.col("label")))), ",").alias("base_labels"),
         F.array_join(F.sort_array(F.collect_set("label")), ",").alias("labels"),
         F.max("covered").alias("score"),
         F.sort_array(F.collect_list(F.struct("start", "end", "label", "covered"))).alias("spans"),

@@ -175,6 +175,28 @@ def test_license_notice_with_an_inserted_word(spark):
     assert r["labels"] == "gpl-3" and r["n_base"] == 0 and r["score"] >= 0.8
 
 
+def test_licenses_against_brute_force(spark):
+    import re
+
+    draw = random.Random(9)
+    pool = [*("under the mit license apache version 2 cc by nc".split()), "x"]
+    texts = [" ".join(draw.choice(pool) for _ in range(draw.randint(0, 400))) for _ in range(60)]
+    texts += ["Under THE mit-license. " * n for n in (1, 2, 3000)] + ["cc by nc by nc cc by cc by nc", "émit under the mit license", "under the\nMIT\tlicense, licensed under CC BY-NC 4.0", None, "cc by"]
+    for r in license_scan.scan_licenses(spark.createDataFrame(rows(*texts), SCHEMA)).collect():
+        t = (texts[r["doc_id"] - 1] or "").translate(str.maketrans(license_scan.UPPER, license_scan.LOWER))
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t)
+        at = [(i, label) for phrase, label in license_scan.BASE for i in range(len(w)) if w[i : i + len(phrase.split())] == phrase.split()]
+        places = [i for i, _ in at] or [None]
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == (len(w), len(at), min(places), max(places), ",".join(sorted({x for _, x in at})))
+        assert set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and (r["score"] == 1 if at else r["score"] <= 1)
+
+
+def test_a_notice_beside_its_own_beginning(spark):
+    texts = ["Licensed under CC. Licensed under CC BY 4.0", "licensed under cc by licensed under cc by sa 4 0", "licensed under cc by"]
+    out = {r["doc_id"]: r["labels"] for r in license_scan.scan_licenses(spark.createDataFrame(rows(*texts), SCHEMA)).collect()}
+    assert out[1] == "cc-by" and out[2] == "cc-by-sa" and out[3] == ""
+
+
 def test_line_dedup(spark, docs, none):
     texts = [f"own {i}\n shared line \n\nshared line" for i in range(12)] + [None, "", "shared line"]
     table = spark.createDataFrame(rows(*texts, sources=[f"s{i}" for i in range(14)] + [None]), SCHEMA)
