@@ -63,8 +63,23 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, vectors.filter("vec_id % 50 = 0"))
 
 
+def licenses_base_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op5_licenses that SQL can express."""
+    return op5_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op7_mixing that SQL can express."""
+    return op7_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
+def quality_base_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op9_quality that SQL can express."""
+    return quality.base_rules(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_warc, op2_lm_scores, op3_near_dup, op4_toxicity, op5_licenses, op6_line_dedup, op7_mixing, op8_bpe, op9_quality, op10_neighbours)
+    f.__name__: f for f in (op1_warc, op2_lm_scores, op3_near_dup, op4_toxicity, op5_licenses, op6_line_dedup, op7_mixing, op8_bpe, op9_quality, op10_neighbours, licenses_base_places, mixing_targets, quality_base_rules)
 }
 
 #: DuckDB SQL for the same rows.
@@ -107,4 +122,32 @@ g AS (SELECT k, min(r) AS first FROM b WHERE k <> '' GROUP BY k HAVING count(DIS
 f AS (SELECT b.r, b.i, b.line, g.k IS NOT NULL AND g.first <> b.r AS gone FROM b LEFT JOIN g ON b.k = g.k),
 a AS (SELECT r, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '') AS text FROM f GROUP BY r)
 SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, a.text AS text FROM d LEFT JOIN a USING (r)""",
+    "licenses_base_places": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+t AS (SELECT r, generate_subscripts(ws, 1) - 1 AS i, unnest(ws) AS w FROM d),
+s AS (SELECT r, i, w, lead(w) OVER o AS w1, lead(w, 2) OVER o AS w2, lead(w, 3) OVER o AS w3 FROM t WINDOW o AS (PARTITION BY r ORDER BY i)),
+f AS (SELECT r, i, 'mit' AS label FROM s WHERE w = 'under' AND w1 = 'the' AND w2 = 'mit' AND w3 = 'license'
+  UNION ALL SELECT r, i, 'apache-2' FROM s WHERE w = 'apache' AND w1 = 'license' AND w2 = 'version' AND w3 = '2'
+  UNION ALL SELECT r, i, 'cc-by-nc' FROM s WHERE w = 'cc' AND w1 = 'by' AND w2 = 'nc'),
+a AS (SELECT r, count(*) AS n, min(i) AS low, max(i) AS high, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM f GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base, CAST(low AS BIGINT) AS first_word, CAST(high AS BIGINT) AS last_word, coalesce(labels, '') AS base_labels FROM d LEFT JOIN a USING (r)""",
+    "mixing_targets": r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+s AS (SELECT source, sum(size) AS n, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5e0 WHEN 1 THEN 2e0 ELSE 1e0 END AS w FROM d GROUP BY source),
+c AS (SELECT *, 2e0 * n / w AS stop, sum(2e0 * n) OVER before AS capped, sum(w) OVER rest AS open, 15e-1 * sum(n) OVER () AS total FROM s
+  WINDOW before AS (ORDER BY 2e0 * n / w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), rest AS (ORDER BY 2e0 * n / w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+level AS (SELECT arg_min((total - coalesce(capped, 0)) / open, stop) AS x FROM c WHERE (total - coalesce(capped, 0)) / open <= stop)
+SELECT d.doc_id, CAST(d.size AS BIGINT) AS size, CAST(c.n AS BIGINT) AS source_size, round(least(2e0 * c.n, level.x * c.w), 3) AS target
+FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source CROSS JOIN level""",
+    "quality_base_rules": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+u AS (SELECT r, generate_subscripts(ws, 1) AS i, unnest(ws) AS w FROM d),
+g AS (SELECT r, i, w, lead(w) OVER o AS w1, lead(w, 2) OVER o AS w2, lead(w, 3) OVER o AS w3, lead(w, 4) OVER o AS w4 FROM u WINDOW o AS (PARTITION BY r ORDER BY i)),
+m AS (SELECT r, i, count(*) OVER (PARTITION BY r, w, w1, w2, w3, w4) AS n FROM g WHERE w4 IS NOT NULL),
+c AS (SELECT r, count(DISTINCT i + j) AS n FROM m CROSS JOIN range(5) AS z(j) WHERE n > 1 GROUP BY r),
+l AS (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+  CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words, len(ws) < 10 OR 100 * coalesce(c.n, 0) > 20 * len(ws) AS base_failed
+FROM l LEFT JOIN c USING (r)""",
 }

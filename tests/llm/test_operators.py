@@ -290,6 +290,49 @@ def test_quality(spark, docs, none):
     assert quality.score_quality(none, trusted).count() == 0
 
 
+def test_log_ratios_against_brute_force(spark):
+    import math
+    from collections import Counter
+
+    draw = random.Random(12)
+    texts = [" ".join(draw.choice("the cat sat on a mat éa B b".split()) for _ in range(draw.randint(0, 60))) for _ in range(60)] + [None, "", "the cat"]
+    table = spark.createDataFrame(rows(*texts), SCHEMA)
+    trusted = spark.createDataFrame([(i,) for i in range(1, 20)] + [(3,), (None,)], "doc_id bigint")
+    out = {r["doc_id"]: r for r in quality.score_quality(table, trusted, order=3, buckets=64, smoothing=0.5, threshold=0.0).collect()}
+    grams = {i + 1: [tuple(w[a : a + n]) for n in (1, 2, 3) for a in range(len(w) - n + 1)] for i, w in enumerate((t or "").split() for t in texts)}
+    # the engine's hash places the n-grams; all else is counted here
+    every = sorted({g for x in grams.values() for g in x})
+    hashed = spark.createDataFrame([(k, list(g)) for k, g in enumerate(every)], "k int, g array<string>").withColumn("h", F.transform("g", lambda w: F.xxhash64(w)))
+    one = F.when(F.size("h") == 1, F.get("h", F.lit(0)))
+    for n in (2, 3):
+        one = one.when(F.size("h") == n, F.xxhash64(*(F.get("h", F.lit(i)) for i in range(n))))
+    bucket = {every[r["k"]]: r["b"] for r in hashed.select("k", F.pmod(one, F.lit(64)).alias("b")).collect()}
+    raw, good = Counter(bucket[g] for x in grams.values() for g in x), Counter(bucket[g] for i in range(1, 20) for g in grams[i])
+    ratio = [math.log((good[b] + 0.5) / (sum(good.values()) + 32) / ((raw[b] + 0.5) / (sum(raw.values()) + 32))) for b in range(64)]
+    for i, x in grams.items():
+        mean = sum(ratio[bucket[g]] for g in x) / len(x) if x else None
+        assert out[i]["llr"] is None if mean is None else abs(out[i]["llr"] - mean) < 1e-9
+        assert out[i]["kept"] == (not out[i]["base_failed"] and mean is not None and mean >= 0)
+
+
+@pytest.mark.parametrize("name", ["licenses_base_places", "mixing_targets", "quality_base_rules"])
+def test_sql(spark, name):
+    import os
+
+    import duckdb
+
+    from gristmill.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no tables")
+    db = duckdb.connect()
+    db.sql(f"create view documents as select * from '{sf}/documents.parquet'")
+    expected = db.sql(queries.SQL[name])
+    found = queries.QUERIES[name](spark, sf).select(*expected.columns)
+    assert sorted(map(tuple, found.collect())) == sorted(expected.fetchall())
+
+
 def test_neighbours(spark):
     import numpy as np
 
@@ -349,4 +392,4 @@ def test_pipeline_and_sql(spark):
         pytest.skip("no tables")
     out = corpus_pipeline.run(spark, sf)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 100
-    assert F.col("doc_id") is not None
+    assert {r["doc_id"] for r in out.select("doc_id").collect()} <= {r["doc_id"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect()}
