@@ -121,3 +121,5 @@ COLUMN_ALIASES = {
     "notes": ["notes", "note", "comments", "comment", "description", "details", "remarks", "memo", "info"],
 }
 HEADER_WORDS = ["sku", "upc", "name", "product", "color", "price", "msrp", "wholesale", "qty", "quantity", "image", "description", "style"]
+#: Fixed file endings that a cached image keeps.
+IMAGE_ENDINGS = [".jpg", ".jpeg", ".png", ".gif", ".webp", ".avif", ".svg"]

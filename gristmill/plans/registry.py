@@ -78,7 +78,9 @@ _add("price_web_normalize", lambda s, d: table(s, d, "orders").select("o_orderke
 _add("price_best", lambda s, d: table(s, d, "orders").select("o_orderkey", fn.best_price(F.concat(F.lit("Sale $12.50 Regular Price: $"), F.format_number("o_totalprice", 2))).alias("price")), "SELECT o_orderkey, '$' || format('{:,.2f}', o_totalprice) AS price FROM orders")
 _add("product_indicators", lambda s, d: table(s, d, "documents").select("doc_id", fn.product_indicators(F.col("text")).alias("hit")), r"SELECT doc_id, regexp_matches(text, '\$\s*\d|[A-Z]\d{4,}|(?i:msrp)|\b\d+\s*[Kk]\b|\b\d+\s*(?i:ea)\b') AS hit FROM documents")
 _add("url_product_test", lambda s, d: table(s, d, "pages").select("page_id", fn.product_url(F.col("url")).alias("product"), fn.non_product_url(F.col("url")).alias("other"), fn.non_product_path(F.col("url")).alias("barred")), f"SELECT page_id, regexp_matches(url, '(?i){lex.PDP_URL}') AS product, regexp_matches(url, '(?i){lex.NON_PRODUCT_URL}') AS other, list_has_any(string_split(lower(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1)), '/'), {_in(lex.NON_PRODUCT_SEGMENTS)}) AS barred FROM pages")
-_add("cache_key", lambda s, d: table(s, d, "pages").select("page_id", F.concat(F.md5(F.col("url").cast("binary")), F.lit(".jpg")).alias("file")), "SELECT page_id, md5(url) || '.jpg' AS file FROM pages")
+_add("cache_key", lambda s, d: table(s, d, "pages").select("page_id", fn.cache_file(F.col("url")).alias("file")), r"SELECT page_id, md5(url) || coalesce(nullif(regexp_extract(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1), '(?i)[^/](\.(?:jpg|jpeg|png|gif|webp|avif|svg))$', 1), ''), '.jpg') AS file FROM pages")
+_FILES = "CASE p_partkey % 9 WHEN 0 THEN '/a.PNG?x=b.gif' WHEN 1 THEN '/a.webp#b.gif' WHEN 2 THEN '/a.jpeg;v=1' WHEN 3 THEN '/a.svg/' WHEN 4 THEN '/.png' WHEN 5 THEN '/a.gif.' WHEN 6 THEN '/b.gif/a.exe' WHEN 7 THEN '' ELSE '/a.b.avif' END"
+_add("cache_key_images", lambda s, d: table(s, d, "part").select("p_partkey", fn.cache_file(F.expr(f"'https://i.example.png' || {_FILES}")).alias("file")), f"SELECT p_partkey, md5('https://i.example.png' || {_FILES}) || CASE p_partkey % 9 WHEN 0 THEN '.PNG' WHEN 1 THEN '.webp' WHEN 2 THEN '.jpeg' WHEN 3 THEN '.svg' WHEN 8 THEN '.avif' ELSE '.jpg' END AS file FROM part")
 _add("page_classify_url", lambda s, d: table(s, d, "pages").select("page_id", fn.page_type(F.col("url")).alias("page_type")), r"SELECT page_id, CASE WHEN regexp_matches(lower(url), '(/search\?|/search/|\?q=|&q=|/find\?)') THEN 'search' WHEN regexp_matches(lower(url), '/(blog|article|editorial|guide|inspiration|about|contact|faq|press)/') THEN 'editorial' WHEN regexp_matches(lower(url), '^https?://[^/]+/?$') THEN 'homepage' WHEN regexp_matches(lower(url), '(/category/|/collection[s]?/|/catalog/|/c/|/shop/)') THEN 'category' ELSE 'unknown' END AS page_type FROM pages")
 _LINKS = """WITH h AS (SELECT page_id, regexp_extract(url, '^([a-zA-Z]+://[^/?#]*)', 1) AS root, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages)
 SELECT DISTINCT page_id, root || regexp_replace(href, '#.*$', '') AS link FROM h WHERE href LIKE '/%' AND href NOT LIKE '//%' AND regexp_matches(regexp_extract(href, '^([^?#]*)', 1), '(?i){0}') AND NOT list_has_any(string_split(lower(regexp_extract(href, '^([^?#]*)', 1)), '/'), {1})"""

@@ -18,7 +18,7 @@ CASES = [
     (fn.sheet_sku, "00123", "123"), (fn.sheet_sku, "1e5", "100000"), (fn.sheet_sku, "A-1", "A-1"), (fn.valid_sku, "regular price", ""), (fn.valid_sku, "AB-12.3", "AB-12.3"), (fn.valid_sku, "a", ""),
     (fn.qty_value, "1.5K", "1,500"), (fn.qty_value, "QTY: 1200", "1,200"), (fn.qty_value, "many", "many"), (fn.qty_in_text, "about 300 pcs", "300"),
     (fn.title_case, "white/BLACK o'neil (2-tone)", "White/Black O'Neil (2-Tone)"), (fn.color_in_name, "Mug - Navy Blue", "Navy Blue"), (fn.color_in_name, "Mug", ""),
-    (fn.clean_text, " a \t b ", "a b"),
+    (fn.clean_text, " a \t b ", "a b"), (fn.cache_file, "https://x.example.com/p/a.Gif?b", "0d4fd53ea7c77372922a62bf35b9c37b.Gif"), (fn.cache_file, None, None),
 ]
 
 
