@@ -158,7 +158,9 @@ def test_toxicity_weighs_whole_texts(spark):
         score = (sum(c for c, y in cosines if y) + 1.5 * 0.25) / (sum(c for c, _ in cosines) + 1.5)
         assert abs(out[i + 1]["score"] - score) < 1e-6
     assert max(e["cosine"] for e in out[81]["evidence"]) < 0.9  # one listed term does not make a long text equal to a toxic one
-    assert {e["label"] for e in out[82]["evidence"]} == {0} and len(out[82]["evidence"]) == 10 and out[83]["evidence"] == []  # clean examples are in the index
+    # clean examples are in the index: beside the toxic example of which text 82 is a part, those that brute force finds
+    nearest = sorted(((sum(w * vectors[e].get(t, 0) for t, w in vectors[81].items()) / norms[81] / norms[e], e + 1) for e in range(60)), reverse=True)[:10]
+    assert sorted(e["id"] for e in out[82]["evidence"]) == sorted(e for _, e in nearest) and [e["label"] for e in out[82]["evidence"]].count(0) >= 5 and out[83]["evidence"] == []
 
 
 def test_licenses(docs, none):
