@@ -9,6 +9,9 @@ their origin, ordered by segment number, verified against the total length and t
 
 from __future__ import annotations
 
+import gzip
+import io
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -106,12 +109,27 @@ def http_payload(block: bytes) -> tuple[bytes | None, str | None]:
     return body, None
 
 
+def _unzipped(data: bytes) -> tuple[bytes, str | None]:
+    out, problem = [], None
+    with gzip.GzipFile(fileobj=io.BytesIO(data)) as members:
+        try:
+            while piece := members.read1(1 << 20):
+                out.append(piece)
+        except (OSError, EOFError, zlib.error):
+            problem = "broken gzip"
+    return b"".join(out), problem
+
+
 def _records(data: bytes) -> Iterator[tuple[dict[str, str], bytes, str | None]]:
-    """(header fields by lower-case name, block, problem) of each record of a file, which may be gzip members."""
-    if data[:2] == b"\x1f\x8b":
-        import gzip
+    """(header fields by lower-case name, block, problem) of each record of a file, which may be gzip members.
 
-        data = gzip.decompress(data)
+    What is no record gives one row without fields, and reading goes on at the next line that opens one. A record that the
+    file's end cuts off is the last. Of broken gzip members what can be read is read.
+    """
+    if data[:2] == b"\x1f\x8b":
+        data, broken = _unzipped(data)
+        if broken:
+            yield {}, b"", broken
     at = 0
     while at < len(data):
         end = data.find(b"\r\n\r\n", at)
@@ -119,18 +137,22 @@ def _records(data: bytes) -> Iterator[tuple[dict[str, str], bytes, str | None]]:
         fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
         if not lines or not lines[0].startswith("WARC/") or not fields.get("content-length", "").isdigit():
             yield {}, b"", "not a WARC record"
-            return
+            at = data.find(b"\nWARC/", at) + 1
+            if not at:
+                return
+            continue
         stop = end + 4 + int(fields["content-length"])
         yield fields, data[end + 4 : stop], None if stop <= len(data) else "cut off"
         at = stop + 4
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record of the archives under path: record_id, page_id, url, record_type, refers_to, digest, payload, problem.
+def read_warc(spark: SparkSession, path: str, files: str = "*") -> DataFrame:
+    """One row per record of the archives under path whose names fit the pattern ``files``: record_id, page_id, url, record_type, refers_to, digest, payload, problem.
 
     Continuations are grouped by origin identifier, ordered by number, and their joint length is verified;
     a record that is cut off, lacks a segment, has another length than stated or broken framing has a
-    null payload and says so in problem. Records written twice under one identifier give two rows;
+    null payload and says so in problem; so do an origin whose first segment is missing, a continuation without a number,
+    and what is no record. Records written twice under one identifier give two rows;
     repeated continuations count once. A revisit has a null payload; refers_to is the page it
     repeats. An empty folder gives no rows.
     """
@@ -157,10 +179,10 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
             out = [batch.column(i) for i in range(batch.num_columns - 2)]
             yield pa.RecordBatch.from_arrays([*out, pa.array([d[0] for d in done], pa.binary()), pa.array([d[1] for d in done], pa.string())], names=[*batch.schema.names[:-2], "payload", "problem"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    found = files.mapInArrow(parse, _SCHEMA)
+    found = spark.read.format("binaryFile").option("pathGlobFilter", files).load(path).select("content").mapInArrow(parse, _SCHEMA)
     kept = ["record_id", "page_id", "url", "record_type", "refers_to", "refers_to_id", "digest"]
-    whole = found.filter("segment is null and record_type is distinct from 'continuation'").select(*kept, F.when(F.col("record_type") != "revisit", F.col("block")).alias("block"), "problem")
+    stray = F.when(F.col("record_type") == "continuation", F.lit("no segment number"))
+    whole = found.filter("segment is null").select(*kept, F.when(F.col("record_type") != "revisit", F.col("block")).alias("block"), F.coalesce("problem", stray).alias("problem"))
     first = F.col("segment") == 1
     parts = found.filter("segment is not null").groupBy("record_id").agg(
         *(F.max(F.when(first, F.col(c))).alias(c) for c in kept[1:]),
@@ -170,9 +192,9 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         F.sort_array(F.collect_set(F.struct("segment", "block"))).alias("segments"),
     )
     numbers, joined = F.transform("segments", lambda s: s["segment"]), F.aggregate("segments", F.encode(F.lit(""), "utf-8"), lambda a, s: F.concat(a, s["block"]))
-    parts = parts.filter("copies > 0").withColumn("numbered", numbers).withColumn("block", joined)
+    parts = parts.withColumn("numbered", numbers).withColumn("block", joined)
     problem = F.coalesce("problem", F.when(F.col("numbered") != F.sequence(F.lit(1), F.size("numbered")), F.lit("segment missing")), F.when(~F.col("total").eqNullSafe(F.length("block").cast("bigint")), F.lit("wrong total length")))
-    parts = parts.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*kept, "block", problem.alias("problem"))
+    parts = parts.withColumn("copy", F.explode(F.sequence(F.lit(1), F.greatest(F.col("copies"), F.lit(1)).cast("int")))).select(*kept, "block", problem.alias("problem"))
     schema = "record_id string, page_id bigint, url string, record_type string, refers_to bigint, refers_to_id string, digest string, payload binary, problem string"
     return whole.unionByName(parts).mapInArrow(decode, schema)
 
