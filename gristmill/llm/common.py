@@ -45,6 +45,13 @@ def forget(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path.getParent(), True)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A name for a helper column that no column of df has."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def words_of(text: Column) -> Column:
     """Array of the runs of non-white characters of a text; null gives an empty array."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"[^{WS}]+"), 0)

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import WS, let, words_of
+from gristmill.llm.common import WS, let, unused, words_of
 
 #: Fixed characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -58,42 +58,56 @@ def repeated_words(words: Column, window: int = 5) -> Column:
 def base_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed added.
 
-    A null or empty text has no words and fails. Repeated rows are judged each.
+    A null or empty text has no words and fails. Repeated rows are judged each. Columns of the added names are replaced, all others stay.
     """
+    words = unused(docs, "__words")
+    return _ruled(docs, text_col, words).drop(words)
+
+
+def _ruled(docs: DataFrame, text_col: str, words: str) -> DataFrame:
+    """base_rules with the text's words in a column of the name ``words``."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     worded = F.filter(F.split(text, "\n"), lambda line: line.rlike(rf"[^{WS}]"))
     n_words, repeats = F.col("n_words"), F.col("n_repeat_words")
     return (
-        docs.withColumn("__words", words_of(F.col(text_col)))
-        .withColumn("n_words", F.size("__words").cast("bigint"))
+        docs.withColumn(words, words_of(F.col(text_col)))
+        .withColumn("n_words", F.size(words).cast("bigint"))
         .withColumn("word_chars", F.length(F.regexp_replace(text, rf"[{WS}]+", "")).cast("bigint"))
         .withColumn("n_symbols", F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("bigint"))
         .withColumn("n_dup_lines", let(worded, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint"))
-        .withColumn("n_repeat_words", repeated_words(F.col("__words")))
+        .withColumn("n_repeat_words", repeated_words(F.col(words)))
         .withColumn("base_failed", (n_words < 10) | (repeats * 100 > n_words * 20))
     )
 
 
-def bucket_counts(docs: DataFrame, text_col: str, order: int, buckets: int) -> DataFrame:
-    """(bucket, n): how often each bucket occurs over all texts; at most ``buckets`` rows."""
-    return docs.select(F.explode(gram_buckets(words_of(F.col(text_col)), order, buckets)).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
+def bucket_counts(texts: DataFrame, order: int, buckets: int) -> DataFrame:
+    """(bucket, t, r): how often each bucket occurs in the trusted ones of texts (text, trusted) and in all of them; at most ``buckets`` rows."""
+    grams = texts.select("trusted", F.explode(gram_buckets(words_of(F.col("text")), order, buckets)).alias("bucket"))
+    return grams.groupBy("bucket").agg(F.count_if("trusted").alias("t"), F.count("*").alias("r"))
 
 
-def log_ratios(target: DataFrame, raw: DataFrame, text_col: str, order: int, buckets: int, smoothing: float) -> DataFrame:
-    """One row with one array ``ratios`` of ``buckets`` doubles: ln of a bucket's share in target over its share in raw.
+def log_ratios(texts: DataFrame, order: int, buckets: int, smoothing: float) -> DataFrame:
+    """One row with one array ``ratios`` of ``buckets`` doubles: ln of a bucket's share in the trusted texts over its share in all.
 
     Both shares are smoothed by ``smoothing`` counts a bucket, so that none is zero. The array is null if
-    target has no n-gram at all.
+    the trusted texts have no n-gram at all. Both multinomials are counted in one pass.
     """
-    counted = bucket_counts(target, text_col, order, buckets).select("bucket", F.col("n").alias("t"), F.lit(0).cast("bigint").alias("r"))
-    counted = counted.unionByName(bucket_counts(raw, text_col, order, buckets).select("bucket", F.lit(0).cast("bigint").alias("t"), F.col("n").alias("r")))
-    every = raw.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"), F.lit(0).cast("bigint").alias("t"), F.lit(0).cast("bigint").alias("r"))
-    by = counted.unionByName(every).groupBy("bucket").agg(F.sum("t").alias("t"), F.sum("r").alias("r"))
+    zero = F.lit(0).cast("bigint")
+    every = texts.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"), zero.alias("t"), zero.alias("r"))
+    by = bucket_counts(texts, order, buckets).unionByName(every).groupBy("bucket").agg(F.sum("t").alias("t"), F.sum("r").alias("r"))
     one = by.agg(F.sort_array(F.collect_list(F.struct("bucket", "t", "r"))).alias("c"), F.sum("t").alias("ts"), F.sum("r").alias("rs"))
     share = lambda n, total: (n + F.lit(smoothing)) / (total + F.lit(smoothing * buckets))
     return one.select(F.when(F.col("ts") > 0, F.transform("c", lambda x: F.log(share(x["t"], F.col("ts")) / share(x["r"], F.col("rs"))))).alias("ratios"))
 
 
+def flagged(docs: DataFrame, trusted: DataFrame, text_col: str, key: str) -> DataFrame:
+    """(text, trusted) of each row of docs. One plan at every size: each text moves once at most, and rows without a key, which none can trust, stay where they are."""
+    texts = docs.select(F.col(key).alias("id"), F.col(text_col).alias("text"))
+    ids = trusted.select(F.col(key).alias("trusted_id")).distinct().hint("merge")
+    known = texts.filter("id is not null").join(ids, F.col("id") == F.col("trusted_id"), "left").select("text", F.col("trusted_id").isNotNull().alias("trusted"))
+    return known.unionByName(texts.filter("id is null").select("text", F.lit(False).alias("trusted")))
+
+
 def score_quality(docs: DataFrame, trusted: DataFrame, text_col: str = "text", key: str = "doc_id", order: int = 2, buckets: int = 1 << 16, smoothing: float = 1.0, threshold: float = -0.5) -> DataFrame:
     """docs with the columns of base_rules, ``llr`` (mean log ratio) and ``kept`` added.
 
@@ -103,16 +117,15 @@ def score_quality(docs: DataFrame, trusted: DataFrame, text_col: str = "text", k
     and is not kept. Ties at the threshold are kept. Columns of docs stay, except that columns of the
     added names are replaced.
     """
-    # one plan at every size: each text moves once at most
-    target = docs.join(trusted.select(key).distinct().hint("merge"), key, "left_semi")
-    found = log_ratios(target, docs, text_col, order, buckets, smoothing).first()["ratios"]  # `buckets` doubles, whatever the input
+    found = log_ratios(flagged(docs, trusted, text_col, key), order, buckets, smoothing).first()["ratios"]  # `buckets` doubles, whatever the input
+    words = unused(docs, "__words")
     # one literal: Spark folds the split and the cast before the job starts
     table = F.split(F.lit(",".join(map(repr, found))), ",").cast("array<double>") if found else None
     total = lambda grams: F.aggregate(grams, F.lit(0.0), lambda s, b: s + F.get(table, b)) / F.size(grams)
-    mean = let(gram_buckets(F.col("__words"), order, buckets), total) if found else F.lit(None).cast("double")
+    mean = let(gram_buckets(F.col(words), order, buckets), total) if found else F.lit(None).cast("double")
     return (
-        base_rules(docs, text_col)
+        _ruled(docs, text_col, words)
         .withColumn("llr", F.when(F.col("n_words") > 0, mean))
         .withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("llr") >= threshold, F.lit(True)))
-        .drop("__words")
+        .drop(words)
     )
