@@ -63,6 +63,31 @@ def test_warc(spark):
     assert warc.archived(spark, empty).count() == 0
 
 
+def test_warc_reports_damage(spark):
+    import gzip
+    import os
+    import tempfile
+
+    body = b"HTTP/1.1 200 OK\r\n\r\nhello"
+    record = lambda name, kind, block, more=b"": b"WARC/1.1\r\nWARC-Type: " + kind + b"\r\nWARC-Record-ID: <" + name + b">\r\n" + more + b"Content-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
+    segment = lambda n, origin: b"WARC-Segment-Number: %d\r\nWARC-Segment-Origin-ID: <" % n + origin + b">\r\n"
+    folder = tempfile.mkdtemp(prefix="spark-")
+    files = {
+        "a.warc": record(b"u1", b"response", body) + b"rubbish\r\n\r\n" + record(b"u2", b"response", body),
+        "b.warc.gz": gzip.compress(record(b"u3", b"response", body)) + gzip.compress(record(b"u4", b"response", body)),
+        "c.warc.gz": gzip.compress(record(b"u5", b"response", body))[:-6],
+        "d.warc": record(b"u6/2", b"continuation", b"lo", segment(2, b"u6")) + record(b"u7/2", b"continuation", b"lo", b"WARC-Segment-Origin-ID: <u7>\r\n"),
+        "e.warc": record(b"u8", b"response", body)[:-8],
+    }
+    for name, data in files.items():
+        with open(os.path.join(folder, name), "wb") as f:
+            f.write(data)
+    out = sorted((r["record_id"], bytes(r["payload"]) if r["payload"] is not None else None, r["problem"]) for r in warc.read_warc(spark, "file://" + folder).collect())
+    assert [x for x in out if x[2] is None] == [(f"u{i}", b"hello", None) for i in (1, 2, 3, 4, 5)]
+    assert [x[::2] for x in out if x[2]] == [("", "broken gzip"), ("", "not a WARC record"), ("u6", "segment missing"), ("u7", "no segment number"), ("u8", "cut off")]
+    assert warc.read_warc(spark, "file://" + folder, files="b*").count() == 2
+
+
 def test_lm(docs, none):
     out = lm.stupid_backoff(docs, block_bytes=1000, partition_grams=500).collect()
     assert len(out) == 9
@@ -288,6 +313,9 @@ def test_quality(spark, docs, none):
         covered = {j for i, x in enumerate(windows) if windows.count(x) > 1 for j in range(i, i + 5)} if len(w) < 1000 else set()
         lines = [x for x in t.split("\n") if x.strip()]
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered))
+    odd = quality.score_quality(table.withColumn("__words", F.lit(5)).withColumn("kept", F.lit("x")), trusted)
+    assert odd.columns == [*table.columns, "__words", "kept", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr"]
+    assert {(r["__words"], type(r["kept"])) for r in odd.collect()} == {(5, bool)} and "__words" not in quality.base_rules(table).columns
     assert all(r["llr"] is None for r in quality.score_quality(docs, trusted.limit(0)).collect())
     assert quality.score_quality(none, trusted).count() == 0
 
@@ -384,6 +412,41 @@ def test_pipeline_judges_repeated_ids_by_row(spark):
     assert len([x for x in out if x[0] == 3]) == 1 and (5, None) in out and out.count((None, first)) == 2 and len(out) == 7
 
 
+def test_pipeline_stages_against_brute_force(spark):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    texts = [f"you moron number {i}" if i % 4 == 0 else f"a fine calm day {i}" for i in range(80)] + [None, ""]
+    sf = scratch_path(spark, "sf")
+    spark.createDataFrame([(i + 1, int(i % 4 == 0)) for i in range(60)], "doc_id bigint, toxic int").write.parquet(f"{sf}/labels.parquet")
+    left = corpus_pipeline.drop_toxic(spark, spark.createDataFrame(rows(*texts), SCHEMA), sf)
+    assert left.columns == columns and sorted(r["doc_id"] for r in left.collect()) == [i + 1 for i in range(82) if i % 4 or i >= 80]
+
+    texts = [f"own {i}\n shared line " for i in range(12)] + ["shared line", "\n", None, "alone"]
+    left = corpus_pipeline.drop_boilerplate(spark, spark.createDataFrame(rows(*texts, sources=[f"s{i}" for i in range(16)]), SCHEMA), sf)
+    assert left.columns == columns
+    assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in left.collect()} == {1: (texts[0], None), **{i + 1: (f"own {i}", len(f"own {i}")) for i in range(1, 12)}, 14: ("\n", None), 15: (None, None), 16: ("alone", None)}
+
+    draw = random.Random(8)
+    texts = [" ".join(["w"] * draw.randint(1, 300)) for _ in range(90)] + ["", None]
+    table = spark.createDataFrame(rows(*texts, sources=[draw.choice("abc") for _ in texts]), SCHEMA)
+    size = {i + 1: len((t or "").split()) for i, t in enumerate(texts)}
+    taken = {r["doc_id"]: r["taken"] for r in mixing.mix_sources(table).collect()}
+    times = {i: 0 for i in size}
+    out = corpus_pipeline.mix(spark, table, sf)
+    for r in out.collect():
+        times[r["doc_id"]] += 1
+        assert r["text"] == texts[r["doc_id"] - 1]
+    assert out.columns == columns and times == {i: int(taken[i] / n + 0.5) if n else 1 for i, n in size.items()}
+    assert abs(sum(times[i] * n for i, n in size.items()) - 1.5 * sum(size.values())) < 3 * max(size.values())
+
+    t = Tokenizer.from_file(bpe.default_tokenizer_path())
+    for r in corpus_pipeline.encode(spark, spark.createDataFrame(rows("It's  3.5", "", None), SCHEMA), sf).collect():
+        ids = t.encode(["It's  3.5", "", ""][r["doc_id"] - 1], add_special_tokens=False).ids
+        assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+
+
 def test_pipeline_and_sql(spark):
     import os
 
