@@ -11,7 +11,8 @@ from gristmill.functions import lexicon as lex
 from gristmill.functions import scalar as fn
 from gristmill.operators import products as op
 from gristmill.plans import catalog, web
-from gristmill.sources.tables import RAW_OFFERS, raw_offers, table
+from gristmill.sources.tables import RAW_OFFERS, raw_offers, state_folder, table
+from gristmill.streaming.fold import fold_batches
 
 FIELDS = ["product_image", "sku_upc", "product_name", "color", "msrp", "qty", "your_cost", "notes"]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,6 +67,18 @@ _add("dedupe_sku_color", lambda s, d: op.dedupe_by_sku(_kept(s, d)).select("ord"
 _add("dedupe_name", lambda s, d: op.dedupe_by_name(_kept(s, d)).select("ord", *FIELDS), f"WITH {_NORMAL}, {_KEPT}, {_NAME} SELECT {_LIST} FROM b UNION ALL SELECT {_LIST} FROM k WHERE sku_upc = '' AND product_name = ''")
 _add("phantom_removal", lambda s, d: op.remove_phantoms(_normal(s, d)).select("ord", *FIELDS), f"WITH {_NORMAL}, {_phantom('n')}")
 _add("clean_dedupe_pipeline", lambda s, d: op.clean(raw_offers(s, d)).select("ord", *FIELDS), f"WITH {_NORMAL}, {_KEPT}, {_SKU}, {_NAME}, c AS (SELECT {_LIST} FROM a UNION ALL SELECT {_LIST} FROM b UNION ALL SELECT {_LIST} FROM k WHERE sku_upc = '' AND product_name = ''), {_phantom('c')}")
+_HELD = f"{_LIST}, '' AS source, '' AS source_detail, '' AS category"
+
+
+def _folded(batches: int) -> str:
+    state = ""
+    for k in range(batches):
+        batch = f"SELECT {_HELD} FROM ({RAW_OFFERS}) AS o WHERE ord % {batches} = {k}"
+        state = SQL["clean_dedupe_pipeline"].replace(RAW_OFFERS, batch + (f" UNION ALL SELECT {_HELD} FROM ({state}) AS s" if state else ""))
+    return state
+
+
+_add("incremental_fold", lambda s, d: fold_batches([raw_offers(s, d).filter(F.col("ord") % 3 == k) for k in range(3)], state_folder(s)).select("ord", *FIELDS), _folded(3))
 _add("catalog_stats", lambda s, d: op.stats(raw_offers(s, d)), f"WITH r AS ({RAW_OFFERS}) SELECT count(*) AS n_rows, count(*) FILTER (WHERE product_name <> '' OR sku_upc <> '') AS n_named, count(*) FILTER (WHERE product_image <> '') AS n_images FROM r")
 _add("export_projection", lambda s, d: raw_offers(s, d).select("ord", *(F.col(c).alias(n) for c, n in lex.EXPORT_NAMES.items())), f"WITH r AS ({RAW_OFFERS}) SELECT ord, " + ", ".join(f'{c} AS "{n}"' for c, n in lex.EXPORT_NAMES.items()) + " FROM r")
 _add("sheet_split", lambda s, d: op.sheets(raw_offers(s, d)), f"WITH r AS ({RAW_OFFERS}) SELECT substr(category, 1, 31) AS sheet, count(*) AS n_rows, min(ord) AS first_ord FROM r GROUP BY 1")

@@ -10,3 +10,13 @@ from gristmill.operators.products import clean
 def fold(state: DataFrame | None, batch: DataFrame) -> DataFrame:
     """The cleaned union of what is held and a batch. What an earlier batch dropped does not come back, so a fold may differ from one pass over all."""
     return clean(state.unionByName(batch) if state is not None else batch)
+
+
+def fold_batches(batches: list[DataFrame], folder: str) -> DataFrame:
+    """The state after the given batches, one at least, in order. Each state is a table under folder that the next reads, so plans don't nest."""
+    state = None
+    for i, batch in enumerate(batches):
+        path = f"{folder}/state-{i}"
+        fold(state, batch).write.parquet(path)
+        state = batch.sparkSession.read.parquet(path)
+    return state
