@@ -69,7 +69,6 @@ ADD_TO_CART = r"(?:add.to.cart|add.to.bag|buy.now|quick.view|quick.add|addtocart
 SHOP_MARKS = ["cdn.shopify.com", "Shopify.theme", "myshopify.com"]
 DEFAULT_OPTIONS = ["default title", "default", "one size", "os"]
 PAGE_NAMES = ["page not found", "404", "home", "homepage", "contact us", "about us", "faq", "shipping", "returns"]
-IMAGE_KINDS = [".jpg", ".jpeg", ".png", ".gif", ".webp", ".avif", ".svg"]
 
 #: Misread colour names and what they stand for.
 MISREAD_COLORS = {
@@ -122,4 +121,4 @@ COLUMN_ALIASES = {
 }
 HEADER_WORDS = ["sku", "upc", "name", "product", "color", "price", "msrp", "wholesale", "qty", "quantity", "image", "description", "style"]
 #: Fixed file endings that a cached image keeps.
-IMAGE_ENDINGS = [".jpg", ".jpeg", ".png", ".gif", ".webp", ".avif", ".svg"]
+CACHED_ENDINGS = [".jpg", ".jpeg", ".png", ".gif", ".webp", ".avif", ".svg"]

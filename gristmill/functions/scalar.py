@@ -202,7 +202,7 @@ def color_in_name(c: Column) -> Column:
 
 def cache_file(url: Column) -> Column:
     """File name under which an image is cached: the URL's MD5 and its path's ending, if that is one of an image, else .jpg."""
-    endings = "|".join(e[1:] for e in lex.IMAGE_ENDINGS)
+    endings = "|".join(e[1:] for e in lex.CACHED_ENDINGS)
     path = F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)", 1)
     ending = F.regexp_extract(path, rf"(?i)[^/](\.(?:{endings}))/*(?:;[^/]*)?$", 1)
     return F.concat(F.md5(url.cast("binary")), F.when(ending == "", ".jpg").otherwise(ending))
