@@ -51,7 +51,7 @@ def product(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
-    x = x / np.abs(x).max(axis=1, keepdims=True)
+    x = _near_one(x)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -112,13 +112,18 @@ def _search(k: int):
     return search
 
 
+def _near_one(x: np.ndarray) -> np.ndarray:
+    """Rows times the power of two that brings their largest component near 1: no product overflows or vanishes, no digit changes."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 @F.pandas_udf(DoubleType())
 def _cosine(x: pd.Series, y: pd.Series) -> pd.Series:
     out = np.full(len(x), np.nan)
     dims = x.map(len).to_numpy()
     for dim in np.unique(dims):
         at = np.flatnonzero(dims == dim)
-        a, b = np.stack(x.iloc[at].to_list()), np.stack(y.iloc[at].to_list())
+        a, b = (_near_one(np.stack(z.iloc[at].to_list())) for z in (x, y))
         out[at] = (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
     return pd.Series(out)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import ann, bpe, license_scan, line_dedup, lm, mixing, near_dup, quality, toxicity, warc
+from gristmill.llm import ann, bpe, decontaminate, license_scan, line_dedup, lm, mixing, near_dup, quality, ranked, toxicity, vq, warc
 from gristmill.llm.common import scratch_path
 
 
@@ -63,6 +63,19 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, vectors.filter("vec_id % 50 = 0"))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vq.compress(_table(spark, sf_dir, "embeddings")).drop("codebooks")
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def licenses_base_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op5_licenses that SQL can express."""
     return op5_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
@@ -78,8 +91,30 @@ def quality_base_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.base_rules(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """The rounds of op12, one after the other."""
+    far = "list_sum(list_transform(range(1, len(p.v) + 1), lambda i: (p.v[i] - b.v[i]) * (p.v[i] - b.v[i])))"
+    nearest = f"SELECT p.r, p.part, min({{{{'d': {far}, 'e': b.e}}}}) AS m FROM p JOIN {{books}} b USING (part) GROUP BY p.r, p.part"
+    steps = []
+    for n in range(rounds):
+        steps.append(f"""a{n} AS MATERIALIZED ({nearest.format(books=f"b{n}")}),
+s{n} AS (SELECT part, m.e AS e, i, sum(v[i]) AS s, count(*) AS n FROM (SELECT part, m, v, unnest(range(1, len(v) + 1)) AS i FROM a{n} JOIN p USING (r, part)) GROUP BY ALL),
+m{n} AS (SELECT part, e, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v FROM s{n} GROUP BY part, e),
+b{n + 1} AS MATERIALIZED (SELECT b.part, b.e, coalesce(m{n}.v, b.v) AS v FROM b{n} b LEFT JOIN m{n} USING (part, e)),""")
+    return f"""
+WITH k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda c: CAST(floor(4096e0 * c) AS BIGINT)) AS x
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+p AS MATERIALIZED (SELECT r, part, x[part * (len(x) // {parts}) + 1 : (part + 1) * (len(x) // {parts})] AS v FROM k, range({parts}) AS t(part)),
+b0 AS (SELECT part, r - 1 AS e, v FROM p WHERE r <= {entries}),
+{" ".join(steps)}
+z AS MATERIALIZED ({nearest.format(books=f"b{rounds}")}),
+c AS (SELECT r, string_agg(printf('%02x', m.e), '' ORDER BY part) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM z GROUP BY r),
+h AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, e)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM k JOIN c USING (r) CROSS JOIN h"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_warc, op2_lm_scores, op3_near_dup, op4_toxicity, op5_licenses, op6_line_dedup, op7_mixing, op8_bpe, op9_quality, op10_neighbours, licenses_base_places, mixing_targets, quality_base_rules)
+    f.__name__: f for f in (op1_warc, op2_lm_scores, op3_near_dup, op4_toxicity, op5_licenses, op6_line_dedup, op7_mixing, op8_bpe, op9_quality, op10_neighbours, op11_decontamination, op12_vector_codes, op13_ranked_search, licenses_base_places, mixing_targets, quality_base_rules)
 }
 
 #: DuckDB SQL for the same rows.
@@ -150,4 +185,27 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t,
   CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
   CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words, len(ws) < 10 OR 100 * coalesce(c.n, 0) > 20 * len(ws) AS base_failed
 FROM l LEFT JOIN c USING (r)""",
+    "op11_decontamination": r"""
+WITH i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+q AS (SELECT item_id, ws, least(len(ws), 10) AS m FROM i WHERE len(ws) > 0),
+w AS (SELECT DISTINCT item_id, m, array_to_string(ws[p : p + m - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(ws) - m + 2)) AS p FROM q)),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+g AS (SELECT r, m, p, array_to_string(ws[p : p + m - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(ws) - m + 2)) AS p FROM d CROSS JOIN (SELECT DISTINCT m FROM w))),
+h AS (SELECT r, p, m, item_id FROM g JOIN w USING (m, g)),
+n AS (SELECT r, count(DISTINCT p + j) AS n_hit FROM (SELECT r, p, unnest(range(m)) AS j FROM h) GROUP BY r),
+t AS (SELECT r, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS items FROM h WHERE item_id IS NOT NULL GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items,
+  sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN n USING (r) LEFT JOIN t USING (r)""",
+    "op12_vector_codes": _codes_sql(),
+    "op13_ranked_search": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+z AS (SELECT count(*) FILTER (WHERE len(ws) > 0) AS n, CAST(sum(len(ws)) AS BIGINT) AS l FROM d),
+f AS (SELECT r, w, count(*) AS tf FROM (SELECT r, unnest(ws) AS w FROM d) GROUP BY r, w),
+i AS (SELECT row_number() OVER () AS q, item_id, list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS ws FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+t AS (SELECT q, unnest(ws) AS w FROM i),
+k AS (SELECT w, CAST(floor(1000 * ln((2 * n + 2) / (2 * df + 1))) AS BIGINT) AS weight FROM (SELECT w, count(*) AS df FROM f GROUP BY w) CROSS JOIN z),
+m AS (SELECT r, doc_id, 100 - 90 + ((90 * len(ws) * n) // l) AS m FROM d CROSS JOIN z),
+s AS (SELECT q, r, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM t JOIN k USING (w) JOIN f USING (w) JOIN m USING (r) GROUP BY q, r),
+o AS (SELECT q, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s JOIN d USING (r) WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM o JOIN i USING (q) WHERE rank <= 10""",
 }
