@@ -53,6 +53,8 @@ COLORS = [
 PDP_URL = r"(/products?/|/p/|/item/|/dp/|/sku/|/detail[s]?/|\-[A-Z0-9]{5,15}\.html$|[_\-][0-9]{4,}(?:\.html)?$|/[A-Z0-9]{6,20}$)"
 NON_PRODUCT_URL = r"(/category/|/collection[s]?/|/catalog/|/blog/|/article/|/editorial/|/guide/|/inspiration/|/about/|/contact/|/search\?|/tag/|#|/page/\d+|/content/)"
 PRODUCT_LINK = r"/products?/|/shop/|/item/|/p/|/dp/|/collections?/.+/.+"
+#: Opening tags of the elements whose links count as a card's.
+LINK_CARD_CLASS = r"""\s(?i:class)\s*=\s*(?:(["'])(?:(?!\1)[\s\S])*?(?:product|Product|card|item)|(["'])(?:(?:(?!\2)[\s\S])*\s)?(?:grid|collection)(?:\s|\2)|[^\s"'>]*(?:product|Product|card|item)|(?:grid|collection)[\s>])"""
 COLLECTION_LINK = r"/collections?/|/categories?/|/catalog/|/shop/|/department/"
 PRICE_MARKED = r"[\$£€]\s?(\d{1,3}(?:,\d{3})*(?:\.\d{1,2})?|\d+(?:\.\d{1,2})?)"
 PRICE_BARE = r"(\d{1,3}(?:,\d{3})*(?:\.\d{1,2})?|\d{4,}(?:\.\d{1,2})?)"

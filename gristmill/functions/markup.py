@@ -10,8 +10,8 @@ from gristmill.functions import scalar as fn
 
 def attribute(tag: Column, name: str) -> Column:
     """The value of an attribute of an opening tag, '' if it is not there."""
-    found = F.regexp_extract(tag, rf"""(?is)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)')""", 0)
-    return unescape(F.regexp_extract(found, r"""(?s)=\s*["'](.*)["']$""", 1))
+    found = F.regexp_extract(tag, rf"""(?is)\s{name}\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)""", 0)
+    return unescape(F.regexp_extract(found, r"""(?s)=\s*(["']?)(.*)\1$""", 2))
 
 
 def unescape(c: Column) -> Column:

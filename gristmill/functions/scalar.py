@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from gristmill.functions import lexicon as lex
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once a row, and standing once in the plan, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 

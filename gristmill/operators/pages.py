@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from gristmill.functions import lexicon as lex
 from gristmill.functions import markup as mk
 from gristmill.functions import scalar as fn
+from gristmill.operators import dom
 from gristmill.operators import products as op
+from gristmill.sources.tables import written
 
 RECORD = ["product_image", "sku_upc", "product_name", "color", "msrp"]
 _ITEM = "`@type` string, `@graph` string, itemListElement string, item string, name string, sku string, productID string, gtin13 string, image string, color string, offers string"
@@ -22,7 +24,29 @@ _LIST = "array<string>"
 
 def _or(*values: Column) -> Column:
     """The first value that is neither null nor '', else ''."""
-    return F.coalesce(*(F.nullif(v, F.lit("")) for v in values), F.lit(""))
+    return F.coalesce(F.get(F.filter(F.array(*values), lambda v: v != ""), F.lit(0)), F.lit(""))
+
+
+# The rules of scalar.py name their argument many times; here they are given expressions, which so stand once in the plan.
+
+def _url(base: Column, href: Column) -> Column:
+    return fn.let(F.struct(base.alias("base"), href.alias("href")), lambda x: fn.absolute_url(x["base"], x["href"]))
+
+
+def _price(text: Column) -> Column:
+    return fn.let(text, fn.web_price)
+
+
+def _labelled_price(text: Column) -> Column:
+    return fn.let(text, fn.best_price)
+
+
+def _sku(text: Column) -> Column:
+    return fn.let(text, fn.valid_sku)
+
+
+def _color(name: Column) -> Column:
+    return fn.let(name, fn.color_in_name)
 
 
 def _listed(json: Column) -> Column:
@@ -31,7 +55,7 @@ def _listed(json: Column) -> Column:
 
 
 def _from_page(url: Column, image: Column) -> Column:
-    return F.when((image == "") | image.startswith("http"), image).otherwise(fn.absolute_url(url, image))
+    return fn.let(F.struct(url.alias("url"), image.alias("image")), lambda x: F.when((x["image"] == "") | x["image"].startswith("http"), x["image"]).otherwise(fn.absolute_url(x["url"], x["image"])))
 
 
 def image_score(url: Column) -> Column:
@@ -52,7 +76,7 @@ def image_urls(tag: Column, url: Column) -> Column:
     lazy = [mk.attribute(tag, a) for a in ("data-src", "data-original", "data-zoom-image", "data-large")]
     src = mk.attribute(tag, "src")
     every = F.concat(F.transform(F.array_sort(sized), lambda x: x["u"]), F.array(*lazy, F.when(src.startswith("data:"), "").otherwise(src)))
-    return F.transform(F.filter(every, lambda u: u != ""), lambda u: fn.absolute_url(url, u))
+    return F.transform(F.filter(every, lambda u: u != ""), lambda u: _url(url, u))
 
 
 def main_image(html: Column, url: Column) -> Column:
@@ -85,6 +109,8 @@ CARDS = [
     *(mk.class_holds(c) for c in ("product-card", "product-tile", "ProductCard", "ProductTile")),
     mk.of_class("search-result-item"), mk.of_class("plp-item"), mk.class_holds("plp-"), mk.of_class("grid-product"), mk.of_class("product", "li"), mk.of_class("product-item-info"), mk.with_attribute("data-product-listing"),
 ]
+#: The same with the class that some element around a card must have.
+CARD_SELECTORS = [(c, mk.of_class("grid__item") if c == mk.of_class("grid-product") else None) for c in CARDS]
 PRICES = [mk.class_holds("price"), mk.with_attribute("data-price"), mk.with_attribute("itemprop", "price"), mk.class_holds("Price"), mk.of_class("Price"), mk.of_class("money"), mk.with_attribute("data-regular-price"), mk.with_attribute("data-sale-price")]
 SKUS = [mk.with_attribute("itemprop", "sku"), mk.with_attribute("data-sku"), mk.with_attribute("data-product-id"), mk.with_attribute("data-item-id"), mk.class_holds("sku"), mk.class_holds("model"), mk.with_attribute("data-model"), mk.with_attribute("data-upc")]
 NAMES = [*(mk.class_holds(c) for c in ("product-name", "product-title", "ProductName", "ProductTitle", "item-title", "item-name")), mk.with_attribute("itemprop", "name"), *(rf"<{h}\b[^>]*>" for h in ("h2", "h3", "h4"))]
@@ -122,13 +148,18 @@ def page_type(url: Column, html: Column) -> Column:
 
 # ---- extractors
 
+def _keys(rows: DataFrame) -> list[str]:
+    """What tells pages apart: their row where they were parsed, and what they carry."""
+    return [c for c in ("row", "page_id", "url") if c in rows.columns]
+
+
 def _record(rows: DataFrame, **values: Column) -> DataFrame:
-    return rows.select("page_id", "url", "pos", *(F.coalesce(values.get(c, F.lit("")), F.lit("")).alias(c) for c in RECORD))
+    return rows.select(*_keys(rows), "pos", *(F.coalesce(values.get(c, F.lit("")), F.lit("")).alias(c) for c in RECORD))
 
 
 def json_ld_products(pages: DataFrame) -> DataFrame:
     """Products of JSON-LD scripts: bare, in a list, in @graph or in an ItemList."""
-    items = pages.select("page_id", "url", F.posexplode(json_ld(F.col("html"))).alias("at", "json")).withColumn("i", F.from_json("json", _ITEM))
+    items = pages.select(*_keys(pages), F.posexplode(json_ld(F.col("html"))).alias("at", "json")).withColumn("i", F.from_json("json", _ITEM))
     listed = F.transform(F.from_json("i.itemListElement", _LIST), lambda e: F.coalesce(F.from_json(e, _ITEM)["item"], e))
     kind = lambda p: F.coalesce(F.from_json(p, _ITEM)["@type"] == "Product", F.lit(False))
     named = lambda p: kind(p) | F.from_json(p, _ITEM)["name"].isNotNull()
@@ -137,14 +168,14 @@ def json_ld_products(pages: DataFrame) -> DataFrame:
         .when(F.col("i.@graph").isNotNull(), F.filter(F.from_json("i.@graph", _LIST), kind))
         .when(F.col("i.@type") == "Product", F.array("json"))
     )
-    found = items.select("page_id", "url", "at", F.posexplode(found).alias("k", "json")).select("page_id", "url", (F.col("at") * 1000 + F.col("k")).alias("pos"), F.from_json("json", _ITEM).alias("p"))
+    found = items.select(*_keys(pages), "at", F.posexplode(found).alias("k", "json")).select(*_keys(pages), (F.col("at") * 1000 + F.col("k")).alias("pos"), F.from_json("json", _ITEM).alias("p"))
     image, offer = F.coalesce("p.image", F.lit("")), F.get(_listed(F.coalesce("p.offers", F.lit("{}"))), F.lit(0))
     nested = F.from_json(image, "url string, contentUrl string")
     image = F.when(image.startswith("["), best_image(F.from_json(image, _LIST))).when(image.startswith("{"), F.coalesce(nested["url"], nested["contentUrl"], F.lit(""))).otherwise(image)
     offer = F.from_json(offer, "price string, highPrice string, lowPrice string")
     price = F.coalesce(F.nullif(offer["price"], F.lit("")), offer["highPrice"], offer["lowPrice"], F.lit(""))
     sku = F.coalesce("p.sku", "p.productID", "p.gtin13", F.lit(""))
-    return _record(found, product_image=_from_page(F.col("url"), image), sku_upc=fn.valid_sku(sku), product_name=F.col("p.name"), color=_or(F.col("p.color"), fn.color_in_name(F.col("p.name"))), msrp=fn.web_price(price))
+    return _record(found, product_image=_from_page(F.col("url"), image), sku_upc=_sku(sku), product_name=F.col("p.name"), color=_or(F.col("p.color"), _color(F.col("p.name"))), msrp=_price(price))
 
 
 _FRAMEWORK = "name string, title string, productName string, product_name string, price string, msrp string, amount string, salePrice string, retailPrice string, image string, images string, imageUrl string, image_url string, thumbnail string, primaryImage string, sku string, productId string, id string, color string, colorName string"
@@ -153,69 +184,83 @@ _FRAMEWORK = "name string, title string, productName string, product_name string
 def framework_products(pages: DataFrame, depth: int = 10) -> DataFrame:
     """Products of a page framework's data script: objects with a name and a price or image, down to ``depth``; what is inside one is not searched.
 
-    The walk is a recursive query: each step opens the objects and lists of the step before."""
+    The walk goes level by level: each opens the objects and lists that the one before left, and is written, so it is as long as the data are deep and has no limit of rows."""
     names, signs = ("name", "title", "productName", "product_name"), ("price", "msrp", "amount", "salePrice", "retailPrice", "image", "images", "imageUrl", "image_url", "thumbnail")
-
-    def hit(json: str) -> str:
-        parsed = f"from_json({json}, '{_FRAMEWORK}')"
-        name = ", ".join(f"nullif({parsed}.{n}, '')" for n in names)
-        return f"(startswith({json}, chr(123)) AND length(coalesce({name}, '')) > 2 AND ({' OR '.join(f'{parsed}.{n} IS NOT NULL' for n in signs)}))"
-
-    start = pages.select("page_id", "url", F.explode(F.slice(mk.scripts(F.col("html"), "__NEXT_DATA__"), 1, 1)).alias("json"))
-    walk = pages.sparkSession.sql(
-        f"""WITH RECURSIVE walk(page_id, url, json, depth, place, hit) AS (
-          SELECT page_id, url, trim(json), 0, '', {hit('trim(json)')} FROM {{start}}
-          UNION ALL
-          SELECT page_id, url, child, depth + 1, concat(place, lpad(cast(k AS string), 6, '0')), {hit('child')} FROM (
-            SELECT page_id, url, depth, place, posexplode(CASE WHEN startswith(json, '[') THEN from_json(json, 'array<string>') WHEN startswith(json, chr(123)) THEN map_values(from_json(json, 'map<string,string>')) END) AS (k, child) FROM walk WHERE NOT hit AND depth < {depth}))
-        SELECT page_id, url, json, place FROM walk WHERE hit""",
-        start=start,
-    )
-    rows = walk.withColumn("pos", F.row_number().over(Window.partitionBy("page_id", "url").orderBy("place")) - 1).withColumn("p", F.from_json("json", _FRAMEWORK))
+    keys = ["row", "page_id", "url"]
+    keyed = pages if "row" in pages.columns else pages.withColumn("row", F.monotonically_increasing_id())
+    level = keyed.select(*keys, F.explode(F.slice(mk.scripts(F.col("html"), "__NEXT_DATA__"), 1, 1)).alias("json")).select(*keys, F.trim("json").alias("json"), F.lit("").alias("place"))
+    parsed = F.from_json("json", _FRAMEWORK)
+    named = F.length(F.coalesce(*(F.nullif(parsed[n], F.lit("")) for n in names), F.lit(""))) > 2
+    hit = F.col("json").startswith("{") & named & reduce(lambda a, b: a | b, (parsed[n].isNotNull() for n in signs))
+    inner = F.when(F.col("json").startswith("["), F.from_json("json", _LIST)).when(F.col("json").startswith("{"), F.map_values(F.from_json("json", "map<string,string>")))
+    found = []
+    for d in range(depth + 1):
+        # a text or number holds nothing
+        level = written(level.filter(F.substring("json", 1, 1).isin("{", "[")).withColumn("hit", F.coalesce(hit, F.lit(False))), "walk")
+        found.append(level.filter("hit"))
+        if d == depth or level.filter("not hit").isEmpty():
+            break
+        level = level.filter("not hit").select(*keys, "place", F.posexplode(inner).alias("k", "child")).select(*keys, F.trim("child").alias("json"), F.concat("place", F.lpad(F.col("k").cast("string"), 9, "0")).alias("place"))
+    walk = reduce(DataFrame.union, found).select(*keys, "json", "place")
+    rows = walk.withColumn("pos", F.row_number().over(Window.partitionBy("row").orderBy("place")) - 1).withColumn("p", F.from_json("json", _FRAMEWORK))
     shape = lambda v: F.from_json(v, "src string, url string")
     first = lambda v: F.get(F.from_json(v, _LIST), F.lit(0))
     one = lambda v: F.when(v.startswith("["), F.when(first(v).startswith("{"), _or(shape(first(v))["src"], shape(first(v))["url"])).otherwise(first(v))).when(v.startswith("{"), _or(shape(v)["src"], shape(v)["url"])).otherwise(v)
     used = F.get(F.filter(F.array(*(F.col(f"p.{c}") for c in ("image", "imageUrl", "image_url", "thumbnail", "primaryImage"))), lambda v: v.isNotNull() & ~v.isin("", "[]", "{}")), F.lit(0))
     image = _or(_from_page(F.col("url"), F.coalesce(one(used), F.lit(""))), one(F.col("p.images")))
     money = lambda v: F.when(v.startswith("{"), _or(F.from_json(v, "amount string")["amount"], F.from_json(v, "value string")["value"])).otherwise(v)
-    price = _or(*(fn.web_price(F.coalesce(money(F.col(f"p.{c}")), F.lit(""))) for c in ("price", "msrp", "retailPrice", "salePrice", "amount")))
+    price = _or(*(_price(F.coalesce(money(F.col(f"p.{c}")), F.lit(""))) for c in ("price", "msrp", "retailPrice", "salePrice", "amount")))
     color = _or(F.col("p.color"), F.col("p.colorName"))
     color = F.when(color.startswith("{"), _or(F.from_json(color, "name string")["name"], F.from_json(color, "label string")["label"])).otherwise(color)
     full = _or(*(F.col(f"p.{c}") for c in ("name", "title", "productName", "product_name")))
-    return _record(rows, product_image=image, sku_upc=fn.valid_sku(_or(F.col("p.sku"), F.col("p.productId"), F.col("p.id"))), product_name=full, color=color, msrp=price)
+    return _record(rows, product_image=image, sku_upc=_sku(_or(F.col("p.sku"), F.col("p.productId"), F.col("p.id"))), product_name=full, color=color, msrp=price)
+
+
+def _price_of(tag: Column, text: Column) -> Column:
+    """The price of a marked element: its data first, then its text."""
+    return _or(_price(_or(mk.attribute(tag, "data-price"), mk.attribute(tag, "content"))), _labelled_price(text))
+
+
+def _sku_of(tag: Column, text: Column) -> Column:
+    return _sku(_or(mk.attribute(tag, "content"), text))
 
 
 def _marked_price(html: Column, selectors: list[str]) -> Column:
-    """The first price of marked elements: their data first, then their text."""
-    return mk.first_of(mk.elements(html, selectors), lambda t, x: _or(fn.web_price(_or(mk.attribute(t, "data-price"), mk.attribute(t, "content"))), fn.best_price(x)))
+    return mk.first_of(mk.elements(html, selectors), _price_of)
 
 
 def _marked_sku(html: Column, selectors: list[str]) -> Column:
-    return mk.first_of(mk.elements(html, selectors), lambda t, x: fn.valid_sku(_or(mk.attribute(t, "content"), x)))
+    return mk.first_of(mk.elements(html, selectors), _sku_of)
 
 
 def card_products(pages: DataFrame) -> DataFrame:
-    """Products of a page's repeated cards: those of the selector that finds most, three at least. A card reaches to the next one's opening tag."""
-    scored = F.transform(_counts(F.col("html"), CARDS), lambda n, i: F.struct(n.alias("n"), (-i).alias("i")))
-    chosen = pages.withColumn("best", F.array_max(scored)).filter("best.n >= 3").withColumn("pattern", F.get(F.array(*(F.lit(f"(?={c})") for c in CARDS)), -F.col("best.i")))
-    body = F.regexp_replace("html", r"(?is)</(?:ul|ol|main|section|body)\s*>.*?$", "")
-    cards = chosen.select("page_id", "url", F.posexplode(F.slice(F.call_function("split", body, F.col("pattern")), 2, 1 << 20)).alias("pos", "card"))
-    card, url = F.col("card"), F.col("url")
-    img, own = F.regexp_extract(card, r"(?is)<img\b[^>]*>", 0), F.regexp_extract(card, r"(?s)^<[^>]*>", 0)
+    """Products of a page's repeated cards: those of the selector that finds most, three at least, else of its best repeating grid."""
+    return cards_to_products(dom.cards(dom.parse(pages), CARD_SELECTORS))
+
+
+def cards_to_products(cards: DataFrame) -> DataFrame:
+    """A product of each card (row, page_id, url, pos, tokens, nodes) that shows a name, a SKU or an image."""
+    tokens, url = F.col("tokens"), F.col("url")
+    rest = F.slice("nodes", 2, 1 << 20)
+    own = F.get("nodes", F.lit(0))["tag"]
+    tag_of = lambda name, more="": F.coalesce(dom.first_node(rest, rf"(?i)^<{name}(?=[\s/>])" + more)["tag"], F.lit(""))
+    # found once a card, then read by the rules
+    found = cards.select("row", "page_id", "url", "pos", own.alias("own"), tag_of("img").alias("img"), tag_of("a", r"(?=[^>]*\shref)").alias("a"), *(dom.firsts(tokens, rest, x).alias(n) for n, x in (("skus", SKUS), ("prices", PRICES), ("names", NAMES), ("colors", ["|".join([mk.class_holds("color"), mk.with_attribute("data-color")])]))), F.transform(F.filter(tokens, dom.is_text), lambda t: fn.strip(mk.unescape(t))).alias("texts"))
+    img, own = F.col("img"), F.col("own")
     src = _or(*(mk.attribute(img, a) for a in ("data-src", "data-lazy-src", "src")))
     last = F.get(F.split(fn.strip(F.element_at(F.split(mk.attribute(img, "srcset"), ","), -1)), r"\s+"), F.lit(0))
-    image = _or(F.when((src != "") & ~src.startswith("data:"), fn.absolute_url(url, src)), F.when(last != "", fn.absolute_url(url, last)))
-    link = mk.attribute(F.regexp_extract(card, r"(?is)<a\b[^>]*\shref[^>]*>", 0), "href")
-    sku = fn.valid_sku(_or(*(mk.attribute(own, a) for a in ("data-product-id", "data-sku", "data-item-id", "data-pid", "data-id"))))
-    sku = F.when(sku != "", sku).otherwise(_marked_sku(card, SKUS))
-    price = _marked_price(card, PRICES)
+    image = _or(F.when((src != "") & ~src.startswith("data:"), _url(url, src)), F.when(last != "", _url(url, last)))
+    link = mk.attribute(F.col("a"), "href")
+    sku = _sku(_or(*(mk.attribute(own, a) for a in ("data-product-id", "data-sku", "data-item-id", "data-pid", "data-id"))))
+    sku = F.when(sku != "", sku).otherwise(mk.first_of(F.col("skus"), _sku_of))
     fits = lambda _, x: F.when((F.length(x) > 3) & (F.length(x) < 150), x).otherwise("")
-    pieces = F.transform(F.split(F.regexp_replace(card, r"^<[^>]*>", ""), r"(?s)<[^>]*>"), fn.strip)
-    plain = F.get(F.filter(pieces, lambda x: (F.length(x) > 4) & (F.length(x) < 150) & ~x.rlike(r"^[\$\d\.\,\s]+$")), F.lit(0))
-    name = _or(mk.first_of(mk.elements(card, NAMES), fits), mk.unescape(plain))
-    color = F.substring(mk.first_of(mk.elements(card, [mk.class_holds("color"), mk.with_attribute("data-color")]), lambda _, x: x), 1, 50)
-    found = _record(cards.withColumn("url", F.when(link != "", fn.absolute_url(url, link)).otherwise(url)), product_image=image, sku_upc=sku, product_name=name, color=color, msrp=price)
-    return found.filter("product_name != '' or sku_upc != '' or product_image != ''")
+    plain = F.get(F.filter("texts", lambda x: (F.length(x) > 4) & (F.length(x) < 150) & ~x.rlike(r"^[\$\d\.\,\s]+$")), F.lit(0))
+    name = _or(mk.first_of(F.col("names"), fits), plain)
+    color = F.substring(F.get("colors", F.lit(0))["text"], 1, 50)
+    values = {"product_image": image, "sku_upc": sku, "product_name": name, "color": color, "msrp": mk.first_of(F.col("prices"), _price_of)}
+    moved = {c: F.coalesce(v, F.lit("")) for c, v in values.items()}
+    out = found.select("row", "page_id", F.when(link != "", _url(url, link)).otherwise(url).alias("url"), "pos", *(v.alias(c) for c, v in moved.items()))
+    return out.filter("product_name != '' or sku_upc != '' or product_image != ''")
 
 
 def meta_products(pages: DataFrame) -> DataFrame:
@@ -225,18 +270,25 @@ def meta_products(pages: DataFrame) -> DataFrame:
     price = F.coalesce(mk.meta(html, "product:price:amount"), mk.meta(html, "og:price:amount"), F.lit(""))
     sku = F.coalesce(mk.meta(html, "product:retailer_item_id"), F.lit(""))
     rows = pages.withColumns({"pos": F.lit(0), "name": name}).filter("name != ''")
-    return _record(rows, product_image=_from_page(F.col("url"), image), sku_upc=fn.valid_sku(sku), product_name=F.col("name"), color=fn.color_in_name(F.col("name")), msrp=fn.web_price(price))
+    return _record(rows, product_image=_from_page(F.col("url"), image), sku_upc=_sku(sku), product_name=F.col("name"), color=_color(F.col("name")), msrp=_price(price))
 
 
 def pattern_products(pages: DataFrame) -> DataFrame:
     """The product that a page's heading, or else its title, names, with the first price, SKU and image found."""
-    html = F.col("html")
-    heading = mk.element(html, r"<h1\b[^>]*>")[1]
-    title = fn.strip(F.get(F.split(F.get(F.split(mk.element(html, r"<title\b[^>]*>")[1], r"\|"), F.lit(0)), "–"), F.lit(0)))
-    price = _marked_price(html, [PRICES[0], PRICES[3], PRICES[1], mk.of_class("price"), mk.with_attribute("id", "price"), PRICES[2]])
-    sku = _marked_sku(html, [mk.class_holds("sku"), mk.class_holds("Sku"), mk.with_attribute("itemprop", "sku"), mk.class_holds("product-id"), mk.class_holds("style-number")])
-    rows = pages.withColumns({"pos": F.lit(0), "name": _or(heading, title)}).filter("name != ''")
-    return _record(rows, product_image=main_image(html, F.col("url")), sku_upc=sku, product_name=F.col("name"), color=fn.color_in_name(F.col("name")), msrp=price)
+    return parsed_pattern_products(dom.parse(pages))
+
+
+_PATTERN_PRICES = [PRICES[0], PRICES[3], PRICES[1], mk.of_class("price"), mk.with_attribute("id", "price"), PRICES[2]]
+_PATTERN_SKUS = [mk.class_holds("sku"), mk.class_holds("Sku"), mk.with_attribute("itemprop", "sku"), mk.class_holds("product-id"), mk.class_holds("style-number")]
+
+
+def parsed_pattern_products(parsed: DataFrame) -> DataFrame:
+    tokens, nodes = F.col("tokens"), F.col("nodes")
+    found = parsed.select(*_keys(parsed), dom.firsts(tokens, nodes, [r"(?i)^<h1[\s/>]", r"(?i)^<title[\s/>]"]).alias("heads"), dom.firsts(tokens, nodes, _PATTERN_PRICES).alias("prices"), dom.firsts(tokens, nodes, _PATTERN_SKUS).alias("skus"), F.array_join("tokens", "").alias("html"))
+    heading = F.get("heads", F.lit(0))["text"]
+    title = fn.strip(F.get(F.split(F.get(F.split(F.get("heads", F.lit(1))["text"], r"\|"), F.lit(0)), "–"), F.lit(0)))
+    rows = found.withColumns({"pos": F.lit(0), "name": _or(heading, title)}).filter("name != ''")
+    return _record(rows, product_image=main_image(F.col("html"), F.col("url")), sku_upc=mk.first_of(F.col("skus"), _sku_of), product_name=F.col("name"), color=_color(F.col("name")), msrp=mk.first_of(F.col("prices"), _price_of))
 
 
 def shop_products(feeds: DataFrame) -> DataFrame:
@@ -279,19 +331,22 @@ def real_products(products: DataFrame) -> DataFrame:
 
 
 def page_products(pages: DataFrame) -> DataFrame:
-    """(page_id, strategy, pos, …, confidence): the products of each page by the first strategy that finds any, cards added on listings, then filtered by score."""
-    typed = pages.withColumn("page_type", page_type(F.col("url"), F.col("html")))
-    tagged = lambda n, f: f(pages).withColumn("strategy", F.lit(n))
-    found = reduce(DataFrame.unionByName, (tagged(1, json_ld_products), tagged(2, framework_products), tagged(3, card_products), tagged(4, meta_products), tagged(5, pattern_products)))
-    info = typed.select("page_id", "page_type", F.col("url").alias("page_url"))
-    found = found.join(info, "page_id")
-    page = Window.partitionBy("page_id")
+    """(row, page_id, page_url, strategy, pos, url, …, confidence): the products of each page by the first strategy that finds any, cards added on listings, then filtered by score.
+
+    Pages are parsed once, into a table of which each row is a page, so rows of one page_id don't mix. What a step finds is
+    written, so each is a plan of its own and only what was found meets again."""
+    parsed = dom.parse(pages)
+    html = dom.html_of(parsed)
+    kinds = written(html.select("row", F.col("url").alias("page_url"), page_type(F.col("url"), F.col("html")).alias("page_type")), "kinds")
+    steps = [json_ld_products(html), framework_products(html), cards_to_products(dom.cards(parsed, CARD_SELECTORS)), meta_products(html), parsed_pattern_products(parsed)]
+    found = written(reduce(DataFrame.unionByName, (written(f, "found").withColumn("strategy", F.lit(n + 1)) for n, f in enumerate(steps))), "all")
+    page = Window.partitionBy("row")
     first = F.min("strategy").over(page)
     names = F.collect_set(F.when(F.col("strategy") < 3, F.when(F.col("product_name") != "", F.lower("product_name")))).over(page)
     listing = F.col("page_type").isin("category", "search", "unknown")
     stays = (F.col("strategy") == F.col("first")) | ((F.col("strategy") == 3) & listing & (F.col("first") < 3) & ~F.array_contains("names", F.lower("product_name")))
-    found = found.withColumns({"first": first, "names": names}).filter(stays)
-    return filter_products(_as_products(found), F.col("page_url"), F.col("page_type")).select("page_id", "strategy", "pos", *RECORD, "confidence")
+    found = found.join(kinds, "row").withColumns({"first": first, "names": names}).filter(stays)
+    return filter_products(_as_products(found), F.col("page_url"), F.col("page_type")).select("row", "page_id", "page_url", "strategy", "pos", "url", *RECORD, "confidence")
 
 
 def follow_links(listings: DataFrame, links: DataFrame, pages: DataFrame, most: int = 50) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window  # noqa: F401
 from pyspark.sql import functions as F
 
 from gristmill.functions import lexicon as lex
+from gristmill.functions import markup as mk
 from gristmill.functions import scalar as fn
 
 MERGED = ["product_image", "sku_upc", "product_name", "color", "msrp", "your_cost", "qty"]
@@ -156,7 +157,8 @@ def bucket(score: Column) -> Column:
 
 def page_links(pages: DataFrame, pattern: str) -> DataFrame:
     """(page_id, link): distinct links of a page to its own host whose path fits the pattern."""
-    hrefs = pages.select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit(r"""<a\b[^>]*?\shref\s*=\s*["']([^"']*)["']"""), 1)).alias("href"))
+    anchors = pages.select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit(r"""(?i)<a\b[^>]*?\shref\s*=\s*(["'][^"']*["']|[^\s"'>]+)"""), 1)).alias("href"))
+    hrefs = anchors.select("page_id", "url", mk.unescape(F.regexp_replace("href", "[\"']", "")).alias("href"))
     out = hrefs.withColumn("link", fn.absolute_url(F.col("url"), F.col("href"))).filter(fn.url_host(F.col("link")) == fn.url_host(F.col("url")))
     return out.filter(~fn.non_product_path(F.col("link")) & fn.url_path(F.col("link")).rlike("(?i)" + pattern)).select("page_id", "link").distinct()
 
