@@ -55,6 +55,9 @@ NON_PRODUCT_URL = r"(/category/|/collection[s]?/|/catalog/|/blog/|/article/|/edi
 PRODUCT_LINK = r"/products?/|/shop/|/item/|/p/|/dp/|/collections?/.+/.+"
 #: Opening tags of the elements whose links count as a card's.
 LINK_CARD_CLASS = r"""\s(?i:class)\s*=\s*(?:(["'])(?:(?!\1)[\s\S])*?(?:product|Product|card|item)|(["'])(?:(?:(?!\2)[\s\S])*\s)?(?:grid|collection)(?:\s|\2)|[^\s"'>]*(?:product|Product|card|item)|(?:grid|collection)[\s>])"""
+#: Where a site's sitemaps are looked for, and which of their addresses are products.
+SITEMAP_PLACES = ["/sitemap.xml", "/sitemap_products_1.xml", "/sitemap_index.xml"]
+SITEMAP_PRODUCT = r"/(products?|shop|items?|p|catalog)/[^?#]+"
 COLLECTION_LINK = r"/collections?/|/categories?/|/catalog/|/shop/|/department/"
 PRICE_MARKED = r"[\$£€]\s?(\d{1,3}(?:,\d{3})*(?:\.\d{1,2})?|\d+(?:\.\d{1,2})?)"
 PRICE_BARE = r"(\d{1,3}(?:,\d{3})*(?:\.\d{1,2})?|\d{4,}(?:\.\d{1,2})?)"
