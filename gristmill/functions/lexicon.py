@@ -127,3 +127,5 @@ COLUMN_ALIASES = {
 HEADER_WORDS = ["sku", "upc", "name", "product", "color", "price", "msrp", "wholesale", "qty", "quantity", "image", "description", "style"]
 #: Fixed file endings that a cached image keeps.
 CACHED_ENDINGS = [".jpg", ".jpeg", ".png", ".gif", ".webp", ".avif", ".svg"]
+#: Fixed texts of cells that a sheet reader takes as empty.
+EMPTY_CELLS = frozenset([None, "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"])

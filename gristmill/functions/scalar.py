@@ -51,10 +51,14 @@ def clean_sku(c: Column) -> Column:
 
 
 def sheet_sku(c: Column) -> Column:
-    """A plain whole number loses leading zeros, fraction and exponent; all else stays."""
-    s = strip(c)
-    x = F.when(s.rlike(r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"), s.try_cast("double"))
-    return F.when((x == F.floor(x)) & (F.abs(x) < 1e15), x.cast("decimal(38,0)").cast("string")).otherwise(s)
+    """A plain whole number loses leading zeros, fraction and exponent; all else stays. It is held as a double, as sheets hold numbers, and written to its last digit; from 8e34 on it stays as it is."""
+    def of(s: Column) -> Column:
+        x = F.when(s.rlike(r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"), s.try_cast("double"))
+        high = F.floor(x / float(1 << 53))
+        exact = high.cast("decimal(20,0)") * F.lit(1 << 53).cast("decimal(16,0)") + (x - high.cast("double") * float(1 << 53)).cast("bigint").cast("decimal(20,0)")
+        return F.when((x == F.rint(x)) & (F.abs(x) < 8e34), exact.cast("decimal(38,0)").cast("string")).otherwise(s)
+
+    return let(strip(c), of)
 
 
 def normalize_price(c: Column) -> Column:

@@ -68,31 +68,7 @@ _add("catalog_cascade", lambda s, d: cat.catalog_products(_pages(s, d)), _rows(
     (4, 4, 2, {"product_name": "'Some ' || lower(p_name) || ' thing'", "msrp": "'9'", "qty": "'20'", "color": "'Red'"}),
 ))
 
-# sheets
-_SHEET = "SELECT p_partkey AS ord, CASE WHEN p_partkey = 1 THEN 'Style #' WHEN p_partkey % 7 = 0 THEN NULL WHEN p_partkey % 2 = 0 THEN '00' || cast(p_partkey AS string) ELSE 'A-' || cast(p_partkey AS string) END AS a, CASE WHEN p_partkey = 1 THEN 'Product Name' WHEN p_partkey % 7 = 0 THEN NULL ELSE ' ' || p_name || ' ' END AS b, cast(NULL AS string) AS c, CASE WHEN p_partkey = 1 THEN 'Retail Price USD' WHEN p_partkey % 7 = 0 THEN NULL ELSE 'USD ' || cast(p_size AS string) END AS e, CASE WHEN p_partkey = 1 THEN 'Photo' WHEN p_partkey % 3 = 0 AND p_partkey % 7 > 0 THEN '71abc+DE.jpg' END AS f FROM {part}"
-
-
-def _mapped(s: SparkSession, d: str) -> DataFrame:
-    sheet = sheets.tidy(s.sql(_SHEET, part=table(s, d, "part")))
-    return sheets.mapped_products(sheet, sheets.map_columns([c for c in sheet.columns if c != "ord"]))
-
-
-_add("sheet_import", lambda s, d: _mapped(s, d).select("ord", "sku_upc", "product_name", "msrp", "product_image", "notes", "source_detail"), "SELECT p_partkey AS ord, CASE WHEN p_partkey % 2 = 0 THEN p_partkey::VARCHAR ELSE 'A-' || p_partkey END AS sku_upc, p_name AS product_name, '$' || p_size || '.00' AS msrp, CASE WHEN p_partkey % 3 = 0 THEN 'https://m.media-amazon.com/images/I/71abc+DE.jpg' ELSE '' END AS product_image, '' AS notes, 'row ' || (p_partkey + 2) AS source_detail FROM part WHERE p_partkey > 1 AND p_partkey % 7 > 0")
-_HEADS = ["SKU", "Product Name", "Color", "MSRP", "Wholesale", "Qty", "Notes", "Style Number", "desc", "Main Image URL", "zzz"]
-
-
-def _automap(s: SparkSession, d: str) -> DataFrame:
-    """Each part's brand and type words name columns of a sheet of its own; here the fixed ones and how many parts use each."""
-    mapping = sheets.map_columns(_HEADS)
-    fields = F.create_map(*(F.lit(x) for pair in mapping.items() for x in pair))
-    used = table(s, d, "part").select(F.get(F.array(*(F.lit(h) for h in _HEADS)), (F.col("p_partkey") % len(_HEADS)).cast("int")).alias("column"))
-    return used.groupBy("column").agg(F.count("*").alias("n")).select("column", F.coalesce(F.try_element_at(fields, F.col("column")), F.lit("")).alias("field"), "n")
-
-
-_FIELDS = {"SKU": "sku_upc", "Product Name": "product_name", "Color": "color", "MSRP": "msrp", "Wholesale": "your_cost", "Qty": "qty", "Notes": "notes", "Main Image URL": "product_image"}
-_add("column_automap", _automap, f"SELECT h AS \"column\", CASE h {' '.join(f'WHEN {chr(39)}{c}{chr(39)} THEN {chr(39)}{f}{chr(39)}' for c, f in _FIELDS.items())} ELSE '' END AS field, count(*) AS n FROM (SELECT {_list(_HEADS)}[1 + p_partkey % {len(_HEADS)}] AS h FROM part) GROUP BY h")
-
-
+# edited grids
 def _grid(s: SparkSession, d: str) -> DataFrame:
     return raw_offers(s, d).select("ord", *(F.nullif(F.col(c), F.lit("")).alias(n) for c, n in lex.EXPORT_NAMES.items()))
 

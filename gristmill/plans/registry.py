@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gristmill.functions import lexicon as lex
 from gristmill.functions import scalar as fn
 from gristmill.operators import products as op
-from gristmill.plans import catalog, layout, sites, web
+from gristmill.plans import catalog, layout, sheetfiles, sites, web
 from gristmill.sources.tables import RAW_OFFERS, raw_offers, state_folder, table
 from gristmill.streaming.fold import fold_batches
 
@@ -121,6 +121,6 @@ _NAMES = "p_name || CASE WHEN p_partkey % 3 = 0 THEN ' - ' || 'Navy Blue' WHEN p
 _add("color_from_name", lambda s, d: table(s, d, "part").select("p_partkey", fn.color_in_name(F.expr(_NAMES)).alias("color")), "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'Navy Blue' WHEN p_partkey % 3 = 1 THEN 'Off White/2' ELSE '' END AS color FROM part")
 _add("looks_like_color", lambda s, d: table(s, d, "part").select("p_partkey", fn.looks_like_color(F.expr("case when p_partkey % 2 = 0 then p_name else cast(p_size as string) || ' oz' end")).alias("hit")), "SELECT p_partkey, p_partkey % 2 = 0 AND length(p_name) < 30 AS hit FROM part")
 
-for _more in (web, catalog, layout, sites):
+for _more in (web, catalog, layout, sites, sheetfiles):
     QUERIES |= _more.QUERIES
     SQL |= _more.SQL
