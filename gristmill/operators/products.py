@@ -88,28 +88,41 @@ def dedupe_by_name(products: DataFrame) -> DataFrame:
     return bare.filter(name == "").unionByName(merge_groups(keyed, "key"))
 
 
-def remove_phantoms(products: DataFrame) -> DataFrame:
-    """Drop rows whose name another name strictly extends, if a row of that longer name is at least as complete.
+def lower_name() -> Column:
+    return _lower("product_name")
+
+
+def without_phantoms(scored: DataFrame, name: str, score: str) -> DataFrame:
+    """Rows of (name, score, …) without those whose name another name strictly extends, if a row of that longer name has at least their score.
 
     Distinct names with their best score are exploded into prefixes, which meet names by equality: the work grows with
     the length of the names, not with the square of their number.
     """
-    scored = products.withColumn("__score", data_score()).withColumn("__name", _lower("product_name"))
-    names = scored.filter(F.col("__name") != "").groupBy("__name").agg(F.max("__score").alias("top"))
-    longer = names.filter(F.length("__name") > 1).select("top", F.explode(F.transform(F.sequence(F.lit(1), F.length("__name") - 1), lambda k: F.substring(F.col("__name"), F.lit(1), k))).alias("__name"))
-    over = longer.join(names.select("__name"), "__name", "left_semi").groupBy("__name").agg(F.max("top").alias("__over"))
-    return scored.join(over, "__name", "left").filter(F.coalesce(F.col("__over") < F.col("__score"), F.lit(True))).select(*products.columns)
+    names = scored.filter(F.col(name) != "").groupBy(F.col(name).alias("__prefix")).agg(F.max(score).alias("top"))
+    longer = names.filter(F.length("__prefix") > 1).select("top", F.explode(F.transform(F.sequence(F.lit(1), F.length("__prefix") - 1), lambda k: F.substring(F.col("__prefix"), F.lit(1), k))).alias("__prefix"))
+    over = longer.join(names.select("__prefix"), "__prefix", "left_semi").groupBy("__prefix").agg(F.max("top").alias("__over"))
+    return scored.join(over, F.col(name) == F.col("__prefix"), "left").filter(F.coalesce(F.col("__over") < F.col(score), F.lit(True))).select(*scored.columns)
 
 
-def deduplicate(products: DataFrame) -> DataFrame:
-    """One row per SKU and colour, per name and colour without a SKU, and all rows without both; then without phantoms. One aggregation keys all three kinds."""
+def remove_phantoms(products: DataFrame) -> DataFrame:
+    """Products without those whose name another name strictly extends, if a row of that longer name is at least as complete."""
+    scored = products.withColumn("__score", data_score()).withColumn("__name", lower_name())
+    return without_phantoms(scored, "__name", "__score").select(*products.columns)
+
+
+def product_key() -> Column:
+    """SKU and colour, name and colour without a SKU, or the row itself without both."""
     name, color = _lower("product_name"), _lower("color")
-    key = (
+    return (
         F.when(fn.strip(F.col("sku_upc")) != "", F.concat(F.lit("s|"), _lower("sku_upc"), F.lit("|"), color))
         .when(name != "", F.concat(F.lit("n|"), name, F.when(color != "", F.concat(F.lit("|"), color)).otherwise("")))
         .otherwise(F.concat(F.lit("r|"), F.col("ord").cast("string")))
     )
-    return remove_phantoms(merge_groups(products.withColumn("key", key), "key"))
+
+
+def deduplicate(products: DataFrame) -> DataFrame:
+    """One row per SKU and colour, per name and colour without a SKU, and all rows without both; then without phantoms. One aggregation keys all three kinds."""
+    return remove_phantoms(merge_groups(products.withColumn("key", product_key()), "key"))
 
 
 def clean(products: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from gristmill.functions import scalar as fn
 from gristmill.operators import products as op
 from gristmill.plans import catalog, layout, sheetfiles, sites, web
 from gristmill.sources.tables import RAW_OFFERS, raw_offers, state_folder, table
-from gristmill.streaming.fold import fold_batches
+from gristmill.streaming.fold import ProductState, fold_batches, fold_stream
 
 FIELDS = ["product_image", "sku_upc", "product_name", "color", "msrp", "qty", "your_cost", "notes"]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,6 +79,19 @@ def _folded(batches: int) -> str:
 
 
 _add("incremental_fold", lambda s, d: fold_batches([raw_offers(s, d).filter(F.col("ord") % 3 == k) for k in range(3)], state_folder(s)).select("ord", *FIELDS), _folded(3))
+
+
+def _streamed(s: SparkSession, d: str) -> DataFrame:
+    """The offers as a stream of three files, folded in two calls."""
+    offers, folder = raw_offers(s, d), state_folder(s)
+    for k in range(3):
+        offers.filter(F.col("ord") % 3 == k).coalesce(1).write.mode("append").parquet(f"{folder}/offers")
+        if k:
+            fold_stream(s.readStream.schema(offers.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/offers"), folder).awaitTermination()
+    return ProductState(s, f"{folder}/state").products(", ".join(f"`{c}` {t}" for c, t in offers.dtypes)).select("ord", *FIELDS)
+
+
+_add("stream_fold", _streamed, _folded(3))
 _add("catalog_stats", lambda s, d: op.stats(raw_offers(s, d)), f"WITH r AS ({RAW_OFFERS}) SELECT count(*) AS n_rows, count(*) FILTER (WHERE product_name <> '' OR sku_upc <> '') AS n_named, count(*) FILTER (WHERE product_image <> '') AS n_images FROM r")
 _add("export_projection", lambda s, d: raw_offers(s, d).select("ord", *(F.col(c).alias(n) for c, n in lex.EXPORT_NAMES.items())), f"WITH r AS ({RAW_OFFERS}) SELECT ord, " + ", ".join(f'{c} AS "{n}"' for c, n in lex.EXPORT_NAMES.items()) + " FROM r")
 _add("sheet_split", lambda s, d: op.sheets(raw_offers(s, d)), f"WITH r AS ({RAW_OFFERS}) SELECT substr(category, 1, 31) AS sheet, count(*) AS n_rows, min(ord) AS first_ord FROM r GROUP BY 1")
