@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.functions import lexicon as lex
@@ -39,15 +39,90 @@ def corrected_color(text: Column) -> Column:
     return F.coalesce(F.try_element_at(table, low), F.try_element_at(close, F.replace(low, F.lit(" "), F.lit(""))), F.when(brand, "Cotopaxi Black").otherwise(text))
 
 
-def fuzzy_color(text: Column) -> Column:
-    """The known colour that a text is or resembles, in title case, else ''. Of equally near ones the longest, then the first by code point."""
+def _nearest_of_all(low: Column) -> Column:
+    """The nearest known colour of a text, tried against each."""
+    far = F.transform(_words(_BY_LENGTH), lambda k, i: F.struct(F.levenshtein(k, low).alias("d"), i.alias("i"), k.alias("k")))
+    return F.array_min(F.filter(far, lambda x: _able(x["k"], low, x["d"])))["k"]
+
+
+def _able(known: Column, low: Column, distance: Column) -> Column:
+    """Whether a text may stand for a colour at that distance."""
+    return (F.abs(F.length(known) - F.length(low)) <= F.greatest(F.length(known), F.length(low)) * 0.4) & (distance <= F.greatest(F.lit(2), F.floor(F.length(known) / 3)))
+
+
+def _shortened(text: Column, most: int) -> Column:
+    """A text and all that up to ``most`` deletions of a character leave of it."""
+    one = lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))
+    more = lambda held: F.array_union(held, F.flatten(F.transform(F.filter(held, lambda x: x != ""), one)))
+    return reduce(lambda held, _: fn.let(held, more), range(most), F.array(text))
+
+
+def color_index(spark: SparkSession) -> DataFrame:
+    """(most, variant, known, place): what deletions leave of each known colour, up to the distance at which a text still stands for it. Its size is that of the fixed list."""
+    known = spark.createDataFrame([(c, i, max(2, len(c) // 3)) for i, c in enumerate(_BY_LENGTH)], "known string, place int, most int")
+    parts = [known.filter(F.col("most") == n).select("most", F.explode(_shortened(F.col("known"), n)).alias("variant"), "known", "place") for n in sorted({max(2, len(c) // 3) for c in _BY_LENGTH})]
+    return reduce(DataFrame.union, parts)
+
+
+def nearest_colors(texts: DataFrame) -> DataFrame:
+    """(low, near): the nearest known colour of each distinct text (low) that has one.
+
+    Two texts within a distance share a text that deletions, no more than that, leave of both. So the texts' shortened forms
+    meet the index by equality, and only pairs that meet are measured."""
+    low = texts.select("low").distinct()
+    index = color_index(texts.sparkSession)
+    tried = []
+    for n in sorted({max(2, len(c) // 3) for c in _BY_LENGTH}):
+        sizes = [len(c) for c in _BY_LENGTH if max(2, len(c) // 3) == n]
+        fit = low.filter(F.length("low").between(min(sizes) - n, max(sizes) + n))
+        tried.append(fit.select("low", F.lit(n).alias("most"), F.explode(_shortened(F.col("low"), n)).alias("variant")))
+    met = reduce(DataFrame.union, tried).join(index, ["most", "variant"]).select("low", "known", "place").distinct()
+    measured = met.withColumn("d", F.levenshtein("known", "low")).filter(_able(F.col("known"), F.col("low"), F.col("d")))
+    return measured.groupBy("low").agg(F.min(F.struct("d", "place", "known"))["known"].alias("near"))
+
+
+def _asked(text: Column) -> Column:
+    return F.lower(fn.strip(text))
+
+
+def with_colors(rows: DataFrame, text: str, name: str = "color") -> DataFrame:
+    """rows with the colour that a text is or resembles: fuzzy_color, but each distinct text is looked up once, in the index."""
+    keyed = rows.withColumn("__low", _asked(F.col(text)))
+    near = nearest_colors(keyed.select(F.col("__low").alias("low"))).select(F.col("low").alias("__known"), F.col("near").alias("__near"))
+    met = keyed.join(near, F.col("__low") == F.col("__known"), "left")
+    return met.withColumn(name, fuzzy_color(F.col("__low"), lambda _: F.col("__near"))).drop("__low", "__known", "__near")
+
+
+def _line_tokens(line: Column) -> Column:
+    """The parts of a line between carry-over marks."""
+    clean = fn.clean_text(F.regexp_replace(line, "[®©™@(){}]", ""))
+    return F.filter(F.transform(F.split(clean, lex.CARRY_OVER), fn.strip), lambda t: (F.length(t) >= 3) & ~t.rlike(r"^\d+[Kk]?\s*$"))
+
+
+def line_texts(line: Column) -> Column:
+    """All texts of a line that its colours may be asked of: its parts, their words, and pairs of these."""
+    words = lambda t: F.split(t, r"\s+")
+    pairs = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1)))
+    return F.array_distinct(F.flatten(F.transform(_line_tokens(line), lambda t: F.transform(F.concat(F.array(t), words(t), pairs(words(t))), _asked))))
+
+
+def with_line_colors(rows: DataFrame, line: str, name: str = "colors") -> DataFrame:
+    """rows with the colours of a line: line_colors, but each distinct text of all lines is looked up once, in the index."""
+    lines = rows.select(F.col(line).alias("line")).distinct()
+    each = lines.select("line", F.explode(line_texts(F.col("line"))).alias("low"))
+    held = each.join(nearest_colors(each), "low").groupBy("line").agg(F.map_from_entries(F.collect_list(F.struct("low", "near"))).alias("near"))
+    found = lines.join(held, "line", "left").withColumn("near", F.coalesce("near", F.create_map().cast("map<string,string>")))
+    found = found.select(F.col("line").alias("__line"), line_colors(F.col("line"), lambda low: F.try_element_at(F.col("near"), low)).alias(name))
+    return rows.join(found, F.col(line).eqNullSafe(F.col("__line"))).drop("__line")
+
+
+def fuzzy_color(text: Column, nearest=_nearest_of_all) -> Column:
+    """The known colour that a text is or resembles, in title case, else ''. Of equally near ones the longest, then the first by code point. nearest: finds the nearest one of a lower-case text."""
     def of(low: Column) -> Column:
         barred = _words(lex.NOT_COLORS)
         no = (F.length(low) < 3) | F.array_contains(barred, low) | F.forall(F.split(low, r"\s+"), lambda w: F.array_contains(barred, w)) | low.rlike(r"^\d+[Kk]?\s*\d*[Kk]?$")
         fixed = corrected_color(low)
-        far = F.transform(_words(_BY_LENGTH), lambda k, i: F.struct(F.levenshtein(k, low).alias("d"), i.alias("i"), k.alias("k")))
-        able = lambda x: (F.abs(F.length(x["k"]) - F.length(low)) <= F.greatest(F.length(x["k"]), F.length(low)) * 0.4) & (x["d"] <= F.greatest(F.lit(2), F.floor(F.length(x["k"]) / 3)))
-        near = F.array_min(F.filter(far, able))["k"]
+        near = nearest(low)
         found = F.when(F.array_contains(_words(lex.KNOWN_COLORS), low), low).when(F.array_contains(_words(lex.KNOWN_COLORS), F.lower(fixed)), fixed).otherwise(near)
         return F.when(no, "").otherwise(F.coalesce(fn.title_case(found), F.lit("")))
 
@@ -59,26 +134,24 @@ def distinct_colors(colors: Column) -> Column:
     return _let(F.filter(colors, lambda c: fn.strip(c) != ""), lambda held: F.filter(held, lambda c, i: F.array_position(F.transform(held, lambda x: F.lower(fn.strip(x))), F.lower(fn.strip(c))) == i + 1))
 
 
-def line_colors(line: Column) -> Column:
+def line_colors(line: Column, nearest=_nearest_of_all) -> Column:
     """Colours of a line: of each part between carry-over marks, or else of its words, pairs first."""
     def of_words(words: Column) -> Column:
         start = F.struct(F.lit(0).alias("next"), F.array().cast("array<string>").alias("out"))
 
         def step(state: Column, at: Column) -> Column:
-            pair = F.when(at["i"] + 1 < F.size(words), fuzzy_color(F.concat_ws(" ", F.get(words, at["i"]), F.get(words, at["i"] + 1)))).otherwise("")
+            pair = F.when(at["i"] + 1 < F.size(words), fuzzy_color(F.concat_ws(" ", F.get(words, at["i"]), F.get(words, at["i"] + 1)), nearest)).otherwise("")
             add = lambda found, n: F.struct((at["i"] + n).cast("int").alias("next"), F.when(found != "", F.concat(state["out"], F.array(found))).otherwise(state["out"]).alias("out"))
-            single = _let(fuzzy_color(F.get(words, at["i"])), lambda one: add(one, 1))
+            single = _let(fuzzy_color(F.get(words, at["i"]), nearest), lambda one: add(one, 1))
             return F.when(at["i"] < state["next"], state).otherwise(_let(pair, lambda two: F.when(two != "", add(two, 2)).otherwise(single)))
 
         places = F.transform(words, lambda _, i: F.struct(i.alias("i")))
         return F.when(F.size(words) >= 2, F.aggregate(places, start, step)["out"]).otherwise(F.array().cast("array<string>"))
 
     def of_token(token: Column) -> Column:
-        return _let(fuzzy_color(token), lambda whole: F.when(whole != "", F.array(whole)).otherwise(_let(F.split(token, r"\s+"), of_words)))
+        return _let(fuzzy_color(token, nearest), lambda whole: F.when(whole != "", F.array(whole)).otherwise(_let(F.split(token, r"\s+"), of_words)))
 
-    clean = fn.clean_text(F.regexp_replace(line, "[®©™@(){}]", ""))
-    tokens = F.filter(F.transform(F.split(clean, lex.CARRY_OVER), fn.strip), lambda t: (F.length(t) >= 3) & ~t.rlike(r"^\d+[Kk]?\s*$"))
-    return F.flatten(F.transform(tokens, of_token))
+    return F.flatten(F.transform(_line_tokens(line), of_token))
 
 
 def context_colors(near: Column, text: Column, sku: Column, name: Column) -> Column:
@@ -87,7 +160,7 @@ def context_colors(near: Column, text: Column, sku: Column, name: Column) -> Col
     found = F.flatten(F.transform(lines, line_colors))
     at = F.instr(text, sku)
     label = F.regexp_extract(F.when(at > 0, F.substring(text, at, F.lit(300))).otherwise(""), r"[Cc]olou?rs?\s*[:=]\s*(.+?)(?:\n|$)", 1)
-    labelled = F.filter(F.transform(F.split(label, r"[,/|]+"), fuzzy_color), lambda c: c != "")
+    labelled = F.filter(F.transform(F.split(label, r"[,/|]+"), lambda x: fuzzy_color(x)), lambda c: c != "")
     both = F.concat(found, labelled)
     extra = F.lower(name).contains("del dia") & ~F.exists(both, lambda c: F.lower(c).contains("del dia"))
     return distinct_colors(F.concat(both, F.when(extra, F.array(F.lit("Del Dia"))).otherwise(F.array().cast("array<string>"))))

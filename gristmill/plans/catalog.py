@@ -26,12 +26,12 @@ _TITLE = r"array_to_string(list_transform(regexp_extract_all({0}, '\p{{L}}+|\P{{
 _FUZZY = f"""d AS (SELECT DISTINCT low, list_contains({_list(lex.KNOWN_COLORS)}, low) AS known, length(low) < 3 OR len(list_filter(string_split(low, ' '), lambda w: NOT list_contains({_list(lex.NOT_COLORS)}, w))) = 0 AS barred FROM w),
 n AS (SELECT low, arg_min(k, (levenshtein(k, low), -length(k), k)) AS near FROM d, (SELECT unnest({_list(lex.KNOWN_COLORS)}) AS k) WHERE abs(length(k) - length(low)) <= greatest(length(k), length(low)) * 0.4 AND levenshtein(k, low) <= greatest(2, length(k) // 3) GROUP BY low),
 f AS (SELECT d.low, CASE WHEN barred THEN '' WHEN known THEN {_TITLE.format('d.low')} ELSE coalesce({_TITLE.format('near')}, '') END AS color FROM d LEFT JOIN n USING (low))"""
-_add("color_fuzzy", lambda s, d: table(s, d, "part").select("p_partkey", F.posexplode(F.split(F.lower("p_name"), " ")).alias("i", "low")).select("p_partkey", "i", cat.fuzzy_color(F.col("low")).alias("color")),
+_add("color_fuzzy", lambda s, d: cat.with_colors(table(s, d, "part").select("p_partkey", F.posexplode(F.split(F.lower("p_name"), " ")).alias("i", "low")), "low").drop("low"),
      f"WITH t AS (SELECT p_partkey, generate_subscripts(string_split(lower(p_name), ' '), 1) - 1 AS i, unnest(string_split(lower(p_name), ' ')) AS low FROM part), w AS (SELECT low FROM t), {_FUZZY} SELECT p_partkey, i, color FROM t JOIN f USING (low)")
-_add("color_words", lambda s, d: table(s, d, "documents").select("doc_id", cat.fuzzy_color(F.regexp_extract(F.lower("text"), "([a-z]{3,8})", 1)).alias("color")),
+_add("color_words", lambda s, d: cat.with_colors(table(s, d, "documents").select("doc_id", F.regexp_extract(F.lower("text"), "([a-z]{3,8})", 1).alias("low")), "low").drop("low"),
      f"WITH t AS (SELECT doc_id, regexp_extract(lower(text), '([a-z]{{3,8}})', 1) AS low FROM documents), w AS (SELECT low FROM t), {_FUZZY} SELECT doc_id, color FROM t JOIN f USING (low)")
 _SCAN = "CASE p_partkey % 6 WHEN 0 THEN 'FAnGUE C/O COTOPAXI BLACK C/O' WHEN 1 THEN 'TERRA noo (DEEP SEA) C/O 12K' WHEN 2 THEN 'Menerai' WHEN 3 THEN 'cotoran bak' WHEN 4 THEN 'wholesale pack' ELSE 'Midnihgt, ' || 'red' END"
-_add("color_line", lambda s, d: table(s, d, "part").select("p_partkey", F.array_join(cat.distinct_colors(cat.line_colors(F.expr(_SCAN))), ";").alias("colors")), "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'Fatigue;Cotopaxi Black' WHEN 1 THEN 'Terra;Deep Sea' WHEN 2 THEN 'Mineral' WHEN 3 THEN 'Cotopaxi Black' WHEN 4 THEN '' ELSE 'Red' END AS colors FROM part")
+_add("color_line", lambda s, d: cat.with_line_colors(table(s, d, "part").select("p_partkey", F.expr(_SCAN).alias("line")), "line").select("p_partkey", F.array_join(cat.distinct_colors(F.col("colors")), ";").alias("colors")), "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'Fatigue;Cotopaxi Black' WHEN 1 THEN 'Terra;Deep Sea' WHEN 2 THEN 'Mineral' WHEN 3 THEN 'Cotopaxi Black' WHEN 4 THEN '' ELSE 'Red' END AS colors FROM part")
 _NAMED = "p_name || CASE p_partkey % 4 WHEN 0 THEN ' - Del Dia 2' WHEN 1 THEN ' – Navvy' WHEN 2 THEN ' (Spruse)' ELSE ' del dia' END"
 _add("color_catalog_name", lambda s, d: table(s, d, "part").select("p_partkey", cat.catalog_color(F.expr(_NAMED)).alias("color")), "SELECT p_partkey, CASE p_partkey % 4 WHEN 1 THEN 'Navy' WHEN 2 THEN 'Spruce' ELSE 'Del Dia' END AS color FROM part")
 _add("scan_cleanup", lambda s, d: table(s, d, "part").select("p_partkey", cat.clean_scan(F.expr("'a®b  \t c * d ' || p_name || '  ™ e, f'")).alias("t")), "SELECT p_partkey, 'ab c  d ' || p_name || ' e, f' AS t FROM part")
