@@ -157,7 +157,7 @@ def line_colors(line: Column, nearest=_nearest_of_all) -> Column:
 def context_colors(near: Column, text: Column, sku: Column, name: Column) -> Column:
     """Colours named in the lines near a product, after a colour label of its SKU, or by its name."""
     lines = F.filter(F.transform(F.split(clean_scan(near), "\n"), fn.strip), lambda x: (x != "") & ~x.rlike(r"^\$\d+|^[A-Z$]\d{4,}|^\d+[Kk]\s") & (F.length(x) <= 80))
-    found = F.flatten(F.transform(lines, line_colors))
+    found = F.flatten(F.transform(lines, lambda x: line_colors(x)))
     at = F.instr(text, sku)
     label = F.regexp_extract(F.when(at > 0, F.substring(text, at, F.lit(300))).otherwise(""), r"[Cc]olou?rs?\s*[:=]\s*(.+?)(?:\n|$)", 1)
     labelled = F.filter(F.transform(F.split(label, r"[,/|]+"), lambda x: fuzzy_color(x)), lambda c: c != "")
