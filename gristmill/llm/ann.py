@@ -4,8 +4,9 @@ Vectors are packed into tiles: unit vectors rounded to int8, with a scale and th
 rounding took away. Every query tile meets every candidate tile in a grid join whose key is the pair of
 tiles, so no key sees more than two tiles. An
 int8 product plus the error bound is a sure upper bound of each cosine, minus the bound a sure lower
-one. Pairs below the k-th best lower bound, first of their tile and then of all, are out; only the
-survivors fetch their original vectors and are recomputed in double precision. Each query's best are
+one. A first pass over a part of the candidate tiles gives each query a floor, the k-th best lower bound there, which a
+query tile carries along; in the pass over all tiles only pairs that reach it, and the k-th best lower bound of their own tile, are handed on.
+Those below the k-th best lower bound of all are out; only the survivors fetch their original vectors and are recomputed in double precision. Each query's best are
 merged by a bounded heap in each task and once more over tasks. The result is exact.
 """
 
@@ -56,33 +57,34 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def tiles(vectors: DataFrame, rows: int, parts: int) -> DataFrame:
-    """(dim, tile, ids, q, scale, error): up to ``rows`` vectors of one dimension as the bytes of an int8 matrix. tile is below parts."""
-    schema = pa.schema([("dim", pa.int32()), ("tile", pa.int32()), ("ids", pa.list_(pa.int64())), ("q", pa.binary()), ("scale", pa.binary()), ("error", pa.binary())])
+    """(dim, tile, ids, floors, q, scale, error): up to ``rows`` vectors (id, v, floor) of one dimension as the bytes of an int8 matrix. tile is below parts."""
+    schema = pa.schema([("dim", pa.int32()), ("tile", pa.int32()), ("ids", pa.list_(pa.int64())), ("floors", pa.list_(pa.float64())), ("q", pa.binary()), ("scale", pa.binary()), ("error", pa.binary())])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tile = TaskContext.get().partitionId()
-        held: dict[int, tuple[list, list]] = {}
+        held: dict[int, tuple[list, list, list]] = {}
 
-        def out(dim: int, ids: list, data: list) -> pa.RecordBatch:
+        def out(dim: int, ids: list, data: list, floors: list) -> pa.RecordBatch:
             q, scale, error = quantise(_unit(np.array(data, dtype=np.float64)))
-            return pa.RecordBatch.from_pylist([{"dim": dim, "tile": tile, "ids": ids, "q": q.tobytes(), "scale": scale.tobytes(), "error": error.tobytes()}], schema)
+            return pa.RecordBatch.from_pylist([{"dim": dim, "tile": tile, "ids": ids, "floors": floors, "q": q.tobytes(), "scale": scale.tobytes(), "error": error.tobytes()}], schema)
 
         for batch in batches:
-            for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids, data = held.setdefault(len(v), ([], []))
+            for i, v, floor in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                ids, data, floors = held.setdefault(len(v), ([], [], []))
                 ids.append(i)
                 data.append(v)
+                floors.append(floor)
                 if len(ids) == rows:
-                    yield out(len(v), ids, data)
+                    yield out(len(v), ids, data, floors)
                     del held[len(v)]
-        for dim, (ids, data) in held.items():
-            yield out(dim, ids, data)
+        for dim, (ids, data, floors) in held.items():
+            yield out(dim, ids, data, floors)
 
-    return vectors.repartition(parts, F.xxhash64("id")).mapInArrow(pack, "dim int, tile int, ids array<bigint>, q binary, scale binary, error binary")
+    return vectors.select("id", "v", "floor").repartition(parts, F.xxhash64("id")).mapInArrow(pack, "dim int, tile int, ids array<bigint>, floors array<double>, q binary, scale binary, error binary")
 
 
-def _bounds(row: dict, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a pair of tiles the places (query, candidate) of the pairs that may be among a query's k nearest, with sure bounds of their cosines."""
+def _bounds(row: dict, k: int, lows: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a pair of tiles the places (query, candidate) of the pairs that may be among a query's k nearest, with sure bounds of their cosines; with ``lows`` only those that have the k best lower bounds."""
     asked, ids = np.array(row["query_ids"]), np.array(row["ids"])
     (qx, sx, ex), (qy, sy, ey) = ((np.frombuffer(row[q], np.int8).reshape(-1, row["dim"]), np.frombuffer(row[s]), np.frombuffer(row[e])) for q, s, e in (("query_q", "query_scale", "query_error"), ("q", "scale", "error")))
     near = product(qx, qy) * sx[:, None] * sy[None, :]
@@ -92,18 +94,19 @@ def _bounds(row: dict, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     # rows that repeat an id must not push another id out
     keep = min(k + len(ids) - len(np.unique(ids)), len(ids))
     floor = np.partition(near - error, len(ids) - keep, axis=1)[:, len(ids) - keep]
-    at = np.nonzero((near + error >= floor[:, None]) & np.isfinite(near))
+    best = near - error if lows else near + error
+    at = np.nonzero((best >= np.maximum(floor, np.array(row["floors"]))[:, None]) & np.isfinite(near))
     return at[0], at[1], (near - error)[at], (near + error)[at]
 
 
-def _search(k: int):
+def _search(k: int, lows: bool = False):
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("low", pa.float64()), ("high", pa.float64())])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):
                 row = batch.slice(at, 1).to_pylist()[0]
-                q, c, low, high = _bounds(row, k)
+                q, c, low, high = _bounds(row, k, lows)
                 asked, ids = np.array(row["query_ids"]), np.array(row["ids"])
                 for a in range(0, len(q), 1 << 16):
                     b = slice(a, a + (1 << 16))
@@ -152,23 +155,31 @@ def _scored(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist([{"query_id": q, "vec_id": c, "score": s} for q, c, s in rows], pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, tile_rows: int = 2048) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, tile_rows: int = 2048, first_tiles: int = 8, first_part: float = 1 / 16) -> DataFrame:
     """Of each query its k nearest candidates by cosine, without the rows of its own id: query_id, rank, vec_id, score.
 
     queries and vectors share their columns. Nearest first, ties to the smaller id; a query with fewer
     candidates gets them all, one with none has no row. Vectors null, empty, zero or with null or non-finite
     components, and null ids, take no part; vectors of unlike dimension are never compared. Rows that repeat an
     id and vector count once; other repeats of a query's id are searched as one query each would be, best scores kept. Extra columns are ignored.
+    Floors come from first_part of the candidate tiles, first_tiles at least; they only decide how many pairs are handed on.
     """
     base, asked = materialize(usable(vectors, id_col, vector_col).distinct(), "vectors"), materialize(usable(queries, id_col, vector_col).distinct(), "asked")
     across, down = (max(1, -(-t.count() // tile_rows)) for t in (base, asked))
-    right = materialize(tiles(base, tile_rows, across), "candidates").select("dim", F.col("tile").alias("column"), "ids", "q", "scale", "error")
-    left = materialize(tiles(asked, tile_rows, down), "queries").select("dim", F.col("tile").alias("row"), *(F.col(c).alias(f"query_{c}") for c in ("ids", "q", "scale", "error")))
-    # the grid: tiles, not vectors, are repeated, a byte for each component
-    right = right.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(down - 1))))
-    left = left.withColumn("column", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
-    met = left.hint("merge").join(right, ["dim", "row", "column"])
-    pairs = met.mapInArrow(_search(k), "query_id bigint, vec_id bigint, low double, high double")
+    none = F.lit(float("-inf")).alias("floor")
+    right = materialize(tiles(base.select("id", "v", none), tile_rows, across), "candidates").select("dim", F.col("tile").alias("column"), "ids", "q", "scale", "error")
+
+    def met(floored: DataFrame, columns: int, name: str) -> DataFrame:
+        """Each tile of queries beside each of the first candidate tiles: tiles, not vectors, are repeated, a byte for each component."""
+        left = materialize(tiles(floored, tile_rows, down), name).select("dim", F.col("tile").alias("row"), "floors", *(F.col(c).alias(f"query_{c}") for c in ("ids", "q", "scale", "error")))
+        left = left.withColumn("column", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
+        return left.hint("merge").join(right.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(down - 1)))), ["dim", "row", "column"])
+
+    schema = "query_id bigint, vec_id bigint, low double, high double"
+    begun = met(asked.select("id", "v", none), max(1, min(across, max(first_tiles, int(across * first_part)))), "first").mapInArrow(_search(k, lows=True), schema)
+    lows = top(begun.groupBy("query_id", "vec_id").agg(F.max("low").alias("score")), k).groupBy("query_id").agg(F.min("score").alias("floor"), F.count("*").alias("n")).filter(F.col("n") == k)
+    floored = asked.join(lows.select(F.col("query_id").alias("id"), "floor"), "id", "left").select("id", "v", F.coalesce("floor", none).alias("floor"))
+    pairs = met(floored, across, "queries").mapInArrow(_search(k), schema)
     pairs = materialize(pairs.groupBy("query_id", "vec_id").agg(F.max("low").alias("low"), F.max("high").alias("high")), "pairs")
     floors = top(pairs.select("query_id", "vec_id", F.col("low").alias("score")), k).groupBy("query_id").agg(F.min("score").alias("floor"), F.count("*").alias("n"))
     open_pairs = pairs.join(floors, "query_id").filter((F.col("n") < k) | (F.col("high") >= F.col("floor"))).select("query_id", "vec_id")

@@ -232,34 +232,38 @@ def _index(run: str, weights: Weights, parts: list) -> BlockMaxIndex:
     return _INDEX[run]
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", k: int = 10, max_examples: int = 20_000, max_postings: int = 30_000_000, min_odds: float = 3.0, min_z: float = 3.0, shrink: float = 1.5, carry: tuple[str, ...] = (), lift: float = 8.0) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", k: int = 10, max_examples: int = 20_000, max_postings: int = 30_000_000, min_odds: float = 3.0, min_z: float = 2.0, shrink: float = 1.5, carry: tuple[str, ...] = (), lift: float = 8.0, corpus: DataFrame | None = None) -> DataFrame:
     """One row per row of docs: id_col, the columns of carry, score, predicted, evidence.
 
     labels: (id_col, label_col) of the rows to learn from; null ids or labels teach nothing, repeated ids
-    count as positive if any row is. The classifier is fitted on at most max_examples labelled rows (those
-    of the smallest id hashes) with at most max_postings distinct words in all, texts of smaller hashes first, which bounds a
+    count as positive if any row is, and teach their text of the smallest hash. The classifier is fitted on at most max_examples labelled rows (those
+    of the smallest text hashes) with at most max_postings distinct words in all, texts of smaller hashes first, which bounds a
     worker's memory. score, from 0 to 1, is (sum of the cosines of positive neighbours + shrink * base rate) /
     (sum of all neighbours' cosines + shrink); the base rate is over all labels. It depends on the text alone;
     of neighbours of equal cosine those of the smaller text hash count. predicted is 1 if score >= 0.5.
-    evidence holds the ids, cosines and labels of the neighbours. A null or empty text, and any that shares no
+    corpus: documents whose texts teach and are counted, docs itself unless given. evidence holds the ids, cosines and labels of the neighbours. A null or empty text, and any that shares no
     word with an example, scores the base rate; without labels that is 0. Other columns of docs are ignored.
     """
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
     rate = known.agg(F.avg("toxic")).first()[0] or 0.0
-    chosen = known.orderBy(F.xxhash64(id_col), id_col).limit(max_examples)  # so many rows at most: small enough to broadcast
-    examples = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen.withColumnRenamed(id_col, "id")), "id").groupBy("id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    corpus = docs if corpus is None else corpus
+    texts = corpus.select(F.col(id_col).alias("id"), _text_hash(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
+    # of texts alike the label comes before the id, so that no id decides anything; of an id's texts that of the smallest hash teaches
+    chosen = texts.select("id", "h").join(known.withColumnRenamed(id_col, "id"), "id").groupBy("id").agg(F.min("h").alias("h"), F.max("toxic").alias("toxic"))
+    chosen = chosen.orderBy("h", "toxic", "id").limit(max_examples)  # so many rows at most: small enough to broadcast
+    examples = texts.join(F.broadcast(chosen), ["id", "h"]).groupBy("id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
     vectors = materialize(_vectors(examples), "vectors")
     lifted = lifted_terms(vectors, min_odds, min_z)
-    n_docs, df = frequencies(docs, text_col)
+    n_docs, df = frequencies(corpus, text_col)
     weights = Weights(np.log((n_docs + 1) / (df + 1)) + 1, lifted, lift)
-    order = [(r["h"], r["n"]) for r in vectors.select("h", "n").orderBy("h", "id").collect()]  # max_examples rows at most
+    order = [(r["h"], r["n"]) for r in vectors.select("h", "n", "toxic", "id").orderBy("h", "toxic", "id").collect()]  # max_examples rows at most
     most = int(np.searchsorted(np.cumsum([n for _, n in order]), max_postings, side="right"))
     # the index goes to the executors in parts, so that the driver holds one at a time
     sc, parts, ids, marks = docs.sparkSession.sparkContext, [], [], []
     edges = [*dict.fromkeys(order[at][0] for at in range(0, most, PART)), None]
     for low, high in zip(edges[:-1], edges[1:]):
         inside = (F.col("h") >= low) & (F.lit(True) if high is None else F.col("h") < high)
-        held = vectors.filter(inside).orderBy("h", "id").select("id", "toxic", "terms", "tf").toArrow().slice(0, most - len(ids))
+        held = vectors.filter(inside).orderBy("h", "toxic", "id").select("id", "toxic", "terms", "tf").toArrow().slice(0, most - len(ids))
         terms, tf = (held.column(c).combine_chunks() for c in ("terms", "tf"))
         lengths = terms.value_lengths().to_numpy()
         parts.append(sc.broadcast((terms.flatten().to_numpy().view(np.uint64), tf.flatten().to_numpy(), lengths)))
@@ -286,3 +290,23 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (id_col, *carry))
     scored = docs.select(id_col, *carry, F.col(text_col).alias("__t")).mapInArrow(run, f"{kept}, score double, evidence array<struct<id: bigint, cosine: double, label: int>>")
     return scored.select(id_col, *carry, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+
+
+def cross_validate(docs: DataFrame, labels: DataFrame, settings: list[dict], folds: int = 3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> list[dict]:
+    """Of each setting (keywords of score_toxicity) what labelled rows show that it did not learn from: tp, fp, fn, f1, and brier, the mean squared error of the scores.
+
+    Rows are dealt to folds by the hash of their text, so copies share one; each fold is scored by what the others teach. Only labelled rows take part,
+    so whoever keeps rows aside passes the labels of the others alone. For choosing parameters."""
+    ids = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("__y"))
+    known = materialize(docs.select(id_col, text_col).join(ids, id_col).withColumn("__fold", F.pmod(_text_hash(F.col(text_col)), F.lit(folds))), "folds")
+    out = []
+    for setting in settings:
+        scored = None
+        for fold in range(folds):
+            taught = known.filter(F.col("__fold") != fold).select(id_col, F.col("__y").alias(label_col))
+            part = score_toxicity(known.filter(F.col("__fold") == fold), taught, id_col, text_col, label_col, corpus=known, carry=("__y",), **setting).select("__y", "score", "predicted")
+            scored = part if scored is None else scored.union(part)
+        y, p = F.col("__y"), F.col("predicted")
+        r = scored.agg(F.sum(y * p).alias("tp"), F.sum((1 - y) * p).alias("fp"), F.sum(y * (1 - p)).alias("fn"), F.avg((F.col("score") - y) ** 2).alias("brier")).first()
+        out.append({**setting, **r.asDict(), "f1": 2 * r["tp"] / max(1, 2 * r["tp"] + r["fp"] + r["fn"])})
+    return out

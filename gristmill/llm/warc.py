@@ -206,5 +206,8 @@ def archived(spark: SparkSession, path: str) -> DataFrame:
     full = records.filter("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), F.col("payload_bytes").alias("full_bytes"), F.col("payload_digest").alias("full_digest"))
     wanted = records.filter("record_type = 'revisit'").select("refers_to_id").distinct()
     full = full.join(wanted, "refers_to_id", "left_semi").dropDuplicates(["refers_to_id"])
-    out = records.join(full, "refers_to_id", "left")
+    # only revisits have a key to join by; all else would meet under the key null
+    again = F.coalesce(F.col("record_type") == "revisit", F.lit(False))
+    none = {c: F.lit(None).cast(full.schema[c].dataType) for c in ("full_bytes", "full_digest")}
+    out = records.filter(again).join(full, "refers_to_id", "left").unionByName(records.filter(~again).withColumns(none))
     return out.select("record_id", "page_id", "url", "record_type", "refers_to", "digest", F.coalesce("payload_bytes", "full_bytes").alias("payload_bytes"), F.coalesce("payload_digest", "full_digest").alias("payload_digest"), "problem")
