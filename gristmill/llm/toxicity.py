@@ -14,6 +14,7 @@ drawn towards the base rate, give the score; the examples are its evidence.
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -72,9 +73,27 @@ class BlockMaxIndex:
     SLACK = 1e-4
 
     def __init__(self, terms: np.ndarray, weights: np.ndarray, lengths: np.ndarray, blocks: int = 16, dense: float = 0.1):
-        self.n = len(lengths)
         self.vocabulary = np.unique(terms)
-        number = np.searchsorted(self.vocabulary, terms).astype(np.int32)
+        self._build(np.searchsorted(self.vocabulary, terms).astype(np.int32), weights, lengths, blocks, dense)
+
+    @classmethod
+    def of(cls, parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], postings: int) -> BlockMaxIndex:
+        """The index of parts (terms, weights, lengths) with so many postings in all, with one part and one array of 64 bits at a time in memory."""
+        self = cls.__new__(cls)
+        terms, weights, lengths, at = np.empty(postings, np.uint64), np.empty(postings, np.float32), [np.zeros(0, np.int64)], 0
+        for t, w, n in parts:
+            terms[at : at + len(t)], weights[at : at + len(t)], at = t, w, at + len(t)
+            lengths.append(n)
+        self.vocabulary = np.unique(terms)
+        number = np.empty(postings, np.int32)
+        for a in range(0, postings, 1 << 20):
+            number[a : a + (1 << 20)] = np.searchsorted(self.vocabulary, terms[a : a + (1 << 20)])
+        del terms
+        self._build(number, weights, np.concatenate(lengths), 16, 0.1)
+        return self
+
+    def _build(self, number: np.ndarray, weights: np.ndarray, lengths: np.ndarray, blocks: int, dense: float) -> None:
+        self.n = len(lengths)
         owner = np.repeat(np.arange(self.n, dtype=np.int32), lengths)
         common = np.flatnonzero(np.bincount(number, minlength=len(self.vocabulary)) > max(1, dense * self.n))
         self.row = np.full(len(self.vocabulary), -1, dtype=np.int32)
@@ -87,20 +106,30 @@ class BlockMaxIndex:
         place = np.empty(self.n, dtype=np.int32)
         place[self.order] = np.arange(self.n)
         self.matrix = matrix[:, self.order]
+        del matrix
         _, self.edge = np.unique(group[self.order], return_index=True)
         self.edge = np.append(self.edge, self.n)
         self.blocks = len(self.edge) - 1
         number, owner, weights = number[~held], place[owner[~held]], weights[~held].astype(np.float32)
-        sort = np.argsort(number.astype(np.int64) * self.n + owner)
+        del held
+        key = number.astype(np.int64)
+        key *= max(self.n, 1)
+        key += owner
+        sort = np.argsort(key)
+        del key
         self.owner, self.weight, number = owner[sort], weights[sort], number[sort]
-        del owner, weights, sort, held
-        cell = number.astype(np.int64) * self.blocks + (np.searchsorted(self.edge, self.owner, side="right") - 1)
+        del owner, weights, sort
         size = len(self.vocabulary) * self.blocks
+        # a cell: a term in a block; postings lie in the order of their cells
+        cell = number.astype(np.int64)
+        cell *= self.blocks
+        cell += np.searchsorted(self.edge, self.owner, side="right") - 1
+        first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else np.zeros(0, np.int64)
         #: Where the postings of each term and block begin, and their largest weight.
-        self.cut = np.append(0, np.cumsum(np.bincount(cell, minlength=size))).astype(np.int32)
-        self.most = np.zeros(size, dtype=np.float32)
-        if len(cell):
-            first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+        self.cut, self.most = np.zeros(size + 1, dtype=np.int32), np.zeros(size, dtype=np.float32)
+        self.cut[cell[first] + 1] = np.diff(np.append(first, len(cell)))
+        np.cumsum(self.cut, out=self.cut)
+        if len(first):
             self.most[cell[first]] = np.maximum.reduceat(self.weight, first)
         self.most = self.most.reshape(len(self.vocabulary), self.blocks)
 
@@ -213,25 +242,37 @@ def lifted_terms(vectors: DataFrame, min_odds: float, min_z: float) -> np.ndarra
     return found.column("term").to_numpy().view(np.uint64)  # terms of the sample, which is bounded
 
 
-#: The index of this worker, by its run.
+#: The index of this worker, by its run, and what clears it: an idle worker, which may live on beside later stages, gives its memory back.
 _INDEX: dict[str, BlockMaxIndex] = {}
+_CLEAR: list[threading.Timer] = []
+#: Seconds after its last batch at which a worker drops its index.
+IDLE = 8.0
 
 
-def _index(run: str, weights: Weights, parts: list) -> BlockMaxIndex:
-    if run not in _INDEX:
-        _INDEX.clear()
-        held = []
+def _index(run: str, weights: Weights, parts: list, postings: int) -> BlockMaxIndex:
+    def unit_parts() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         for part in parts:
             terms, tf, lengths = part.value
             w = weights.of(terms, tf)
             norms = np.sqrt(np.add.reduceat(w * w, np.cumsum(lengths) - lengths))
-            held.append((terms, (w / np.repeat(norms, lengths)).astype(np.float32), lengths))
+            yield terms, (w / np.repeat(norms, lengths)).astype(np.float32), lengths
             del part._value  # one part at a time is in memory twice
-        empty = (np.zeros(0, np.uint64), np.zeros(0, np.float32), np.zeros(0, np.int64))
-        _INDEX[run] = BlockMaxIndex(*(np.concatenate(x) for x in zip(empty, *held)))
+
+    while _CLEAR:
+        _CLEAR.pop().cancel()
+    if run not in _INDEX:
+        _INDEX.clear()
+        _INDEX[run] = BlockMaxIndex.of(unit_parts(), postings)
     return _INDEX[run]
 
 
+def _idle() -> None:
+    timer = threading.Timer(IDLE, _INDEX.clear)
+    timer.daemon = True
+    timer.start()
+    _CLEAR.append(timer)
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", k: int = 10, max_examples: int = 20_000, max_postings: int = 30_000_000, min_odds: float = 3.0, min_z: float = 2.0, shrink: float = 1.5, carry: tuple[str, ...] = (), lift: float = 8.0, corpus: DataFrame | None = None) -> DataFrame:
     """One row per row of docs: id_col, the columns of carry, score, predicted, evidence.
 
@@ -271,11 +312,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         marks += held.column("toxic").to_pylist()
         del held, terms, tf
     forget(vectors)
+    postings = sum(n for _, n, *_ in order[:most])
     shared, this = sc.broadcast((weights, np.array(ids), np.array(marks))), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, ids, marks = shared.value
-        index = _index(this, weights, parts)
+        index = _index(this, weights, parts, postings)
         for whole in batches:
             for at in range(0, whole.num_rows, BATCH):
                 batch = whole.slice(at, BATCH)
@@ -286,6 +328,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
                     evidence.append([{"id": int(ids[e]), "cosine": c, "label": int(marks[e])} for c, e in near])
                 kind = pa.list_(pa.struct([("id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
                 yield pa.RecordBatch.from_arrays([*batch.columns[: 1 + len(carry)], pa.array(scores, pa.float64()), pa.array(evidence, kind)], names=[id_col, *carry, "score", "evidence"])
+        _idle()
 
     kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (id_col, *carry))
     scored = docs.select(id_col, *carry, F.col(text_col).alias("__t")).mapInArrow(run, f"{kept}, score double, evidence array<struct<id: bigint, cosine: double, label: int>>")
