@@ -131,7 +131,7 @@ def qty_value(c: Column) -> Column:
 def qty_in_text(c: Column) -> Column:
     patterns = (r"\b(\d+(?:\.\d+)?)\s*[Kk]\b", r"(?i)\b(\d[\d,]*)\s*(?:ea|pcs?|units?|each|pieces?)\b", r"(?i)\b(?:ATS|QTY|MOQ|AVAIL)[:\s]+(\d[\d,]*(?:\.\d+)?(?:\s*[Kk])?)\b")
     found = F.coalesce(*(F.nullif(F.regexp_extract(c, p, 0), F.lit("")) for p in patterns))
-    return F.coalesce(qty_value(found), F.lit(""))
+    return F.coalesce(let(found, qty_value), F.lit(""))
 
 
 def product_indicators(c: Column) -> Column:
