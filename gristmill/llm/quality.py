@@ -15,10 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import WS, let, unused, words_of
+from gristmill.llm.common import WS, let, materialize, unused, words_of
 
 #: Fixed characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
+#: Trusted keys are broadcast up to this number, each of at most KEY_BYTES bytes: 64 MB of keys.
+MOST_IDS, KEY_BYTES = 1_000_000, 64
 
 
 def _bucket_at(hashes: Column, n: int, buckets: int):
@@ -100,12 +102,20 @@ def log_ratios(texts: DataFrame, order: int, buckets: int, smoothing: float) ->
     return one.select(F.when(F.col("ts") > 0, F.transform("c", lambda x: F.log(share(x["t"], F.col("ts")) / share(x["r"], F.col("rs"))))).alias("ratios"))
 
 
-def flagged(docs: DataFrame, trusted: DataFrame, text_col: str, key: str) -> DataFrame:
-    """(text, trusted) of each row of docs. One plan at every size: each text moves once at most, and rows without a key, which none can trust, stay where they are."""
+def flagged(docs: DataFrame, trusted: DataFrame, text_col: str, key: str, most_ids: int = MOST_IDS) -> DataFrame:
+    """(text, trusted) of each row of docs.
+
+    The distinct trusted keys are written and measured. Up to ``most_ids`` keys of ``KEY_BYTES`` bytes at most go to
+    every executor and no text moves; beyond that both sides are sorted by key, and rows without a key stay where they are.
+    """
     texts = docs.select(F.col(key).alias("id"), F.col(text_col).alias("text"))
-    ids = trusted.select(F.col(key).alias("trusted_id")).distinct().hint("merge")
-    known = texts.filter("id is not null").join(ids, F.col("id") == F.col("trusted_id"), "left").select("text", F.col("trusted_id").isNotNull().alias("trusted"))
-    return known.unionByName(texts.filter("id is null").select("text", F.lit(False).alias("trusted")))
+    ids = materialize(trusted.select(F.col(key).alias("trusted_id")).filter("trusted_id is not null").distinct(), "trusted")
+    n, widest = ids.agg(F.count("*"), F.max(F.octet_length(F.col("trusted_id").cast("string")))).first()
+    small = n <= most_ids and (widest or 0) <= KEY_BYTES
+    held = F.broadcast(ids) if small else ids.hint("merge")
+    keyed = texts if small else texts.filter("id is not null")
+    known = keyed.join(held, F.col("id") == F.col("trusted_id"), "left").select("text", F.col("trusted_id").isNotNull().alias("trusted"))
+    return known if small else known.unionByName(texts.filter("id is null").select("text", F.lit(False).alias("trusted")))
 
 
 def score_quality(docs: DataFrame, trusted: DataFrame, text_col: str = "text", key: str = "doc_id", order: int = 2, buckets: int = 1 << 16, smoothing: float = 1.0, threshold: float = -0.5) -> DataFrame:
