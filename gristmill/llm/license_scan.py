@@ -43,6 +43,7 @@ NOTICES = [
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: More template k-grams than this are refused, since the templates are broadcast.
 MOST_GRAMS = 100_000
+SPANS = "array<struct<start:bigint,end:bigint,covered:double,parts:int>>"
 
 
 def license_words(text: Column) -> Column:
@@ -58,26 +59,33 @@ def word_grams(words: Column, k: int) -> Column:
     return F.when(F.size(words) >= k, let(words, rolled)).otherwise(F.array().cast("array<string>"))
 
 
-def verified(run: Column, n: Column, least: Column, k: int) -> Column:
+def verified(run: Column, n: Column, least: Column, k: int, shift: Column) -> Column:
     """Of a run of neighbouring diagonals (diagonal, at) the spans (start, end, covered) that cover ``least`` of a template's n words.
 
-    The whole run is one span, if it is not much longer than the template. Else each diagonal is a span of its
-    own, and if none of them is enough, each two that follow one another.
+    The whole run is one span, if it is not much longer than the template. Else each diagonal is a span of its own,
+    and if none of them is enough, all parts of the run whose diagonals are at most ``shift`` apart are tried; those of the fewest diagonals count.
     """
     def span(parts: Column) -> Column:
         places = F.flatten(F.transform(parts, lambda x: F.flatten(F.transform(x["at"], lambda p: F.sequence(p, p + (k - 1))))))
         start = F.array_min(F.transform(parts, lambda x: F.array_min(x["at"]) + x["diagonal"]))
         end = F.array_max(F.transform(parts, lambda x: F.array_max(x["at"]) + x["diagonal"])) + k
-        return F.struct(start.alias("start"), end.alias("end"), (F.size(F.array_distinct(places)) / n).alias("covered"))
+        return F.struct(start.alias("start"), end.alias("end"), (F.size(F.array_distinct(places)) / n).alias("covered"), F.size(parts).alias("parts"))
 
     def good(spans: Column) -> Column:
         return F.filter(spans, lambda s: (s["covered"] >= least) & ((s["end"] - s["start"]) * least <= n))
 
+    def fewest(spans: Column) -> Column:
+        return let(F.array_min(F.transform(spans, lambda s: s["parts"])), lambda m: F.filter(spans, lambda s: s["parts"] == m))
+
     def first(*choices: Column) -> Column:
         return choices[0] if len(choices) == 1 else let(good(choices[0]), lambda g: F.when(F.size(g) > 0, g).otherwise(first(*choices[1:])))
 
-    pairs = F.transform(F.sequence(F.lit(1), F.size(run)), lambda i: span(F.slice(run, i, 2)))
-    return first(F.array(span(run)), F.transform(run, lambda x: span(F.array(x))), good(pairs))
+    def longer(x: Column, i: Column) -> Column:
+        reach = F.size(F.filter(run, lambda y: (y["diagonal"] > x["diagonal"]) & (y["diagonal"] - x["diagonal"] <= shift)))
+        return F.when(reach > 0, F.transform(F.sequence(F.lit(2), reach + 1), lambda m: span(F.slice(run, i + 1, m)))).otherwise(F.array().cast(SPANS))
+
+    parts = F.filter(F.flatten(F.transform(run, longer)), lambda s: s["parts"] > 1)
+    return first(F.array(span(run)), F.transform(run, lambda x: span(F.array(x))), let(good(parts), lambda g: F.when(F.size(g) > 0, fewest(g)).otherwise(g)))
 
 
 def template_table(spark: SparkSession, base: list[tuple[str, str]], notices: list[tuple[str, str, str]], k: int) -> DataFrame:
@@ -96,8 +104,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per row of docs: id_col, n_words, n_base, first_word, last_word, base_labels, labels, score, spans.
 
     n_base counts all places of the base phrases, first_word and last_word are the smallest and largest
-    start of one. A notice is found where merged diagonals (max_shift words apart at most) cover
-    min_cover of its words. labels joins base and notice labels; score is 1 if a base phrase stands
+    start of one. A notice is found where merged diagonals cover min_cover of its words; one diagonal follows another
+    at max_shift words at most, or at as many as fit into a notice that is covered so: n / min_cover - n * min_cover of n words. labels joins base and notice labels; score is 1 if a base phrase stands
     there, else the largest share covered, else 0. Of a family of notices those covered best count, all
     of them at a tie; spans holds (label, start, end, covered) of all
     finds. A null or empty text has no words and finds nothing: null places, empty labels, score 0.
@@ -112,11 +120,12 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     by = ["id", "key", "template", "family", "label", "exact", "n"]
     lines = votes.groupBy(*by, "diagonal").agg(F.collect_set("t_pos").alias("at"))
     order = Window.partitionBy("id", "key", "template").orderBy("diagonal")
+    shift = F.greatest(F.lit(max_shift), F.floor(F.col("n") / min_cover - F.col("n") * min_cover))
     # base phrases stand alone on their diagonals
-    fresh = F.col("exact") | F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > max_shift, F.lit(True))
+    fresh = F.col("exact") | F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > shift, F.lit(True))
     lines = lines.withColumn("fresh", fresh.cast("int")).withColumn("group", F.sum("fresh").over(order))
     groups = lines.groupBy(*by, "group").agg(F.sort_array(F.collect_list(F.struct("diagonal", "at"))).alias("run"))
-    found = groups.withColumn("span", F.explode(verified(F.col("run"), F.col("n"), F.when(F.col("exact"), 1.0).otherwise(min_cover), k))).select(*by, "span.*")
+    found = groups.withColumn("span", F.explode(verified(F.col("run"), F.col("n"), F.when(F.col("exact"), 1.0).otherwise(min_cover), k, shift))).select(*by, "span.start", "span.end", "span.covered")
     best = F.max("covered").over(Window.partitionBy("id", "key", "family"))
     found = found.withColumn("best", best).filter("covered = best")
     start = F.when(F.col("exact"), F.col("start"))

@@ -218,6 +218,53 @@ def test_licenses_against_brute_force(spark):
         assert set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and (r["score"] == 1 if at else r["score"] <= 1)
 
 
+def notice_labels(w, k=3, max_shift=3, min_cover=0.8):
+    """Brute force: the labels of the notices that the words w hold, each diagonal and each part of a run tried one by one."""
+    import math
+
+    spans = []
+    for family, label, p in license_scan.NOTICES:
+        t, hits = p.split(), {}
+        for i in range(len(w) - k + 1):
+            for j in range(len(t) - k + 1):
+                if w[i : i + k] == t[j : j + k]:
+                    hits.setdefault(i - j, set()).add(j)
+        shift, runs = max(max_shift, math.floor(len(t) / min_cover - len(t) * min_cover)), []
+        for d in sorted(hits):
+            runs = [*runs[:-1], [*runs[-1], d]] if runs and d - runs[-1][-1] <= shift else [*runs, [d]]
+        for run in runs:
+            good = []
+            for parts in [run] + [run[a:b] for a in range(len(run)) for b in range(a + 1, len(run) + 1) if run[b - 1] - run[a] <= shift or b == a + 1]:
+                covered = len({q for d in parts for j in hits[d] for q in range(j, j + k)}) / len(t)
+                long = max(d + max(hits[d]) for d in parts) + k - min(d + min(hits[d]) for d in parts)
+                if covered >= min_cover and long * min_cover <= len(t):
+                    good.append((0 if parts is run else len(parts), covered))
+            spans += [(family, label, c) for size, c in good if size == min(good)[0]]
+    best = {}
+    for family, _, c in spans:
+        best[family] = max(best.get(family, 0), c)
+    return sorted({label for family, label, c in spans if c == best[family]})
+
+
+def test_license_notices_against_brute_force(spark):
+    draw, texts = random.Random(21), []
+    for _, label, p in license_scan.NOTICES:
+        words = p.split()
+        half = len(words) // 2
+        texts += [" ".join([*words[:half], *["x"] * n, *words[half:]]) for n in (0, 1, 3, 4, 9, 30)] + [" ".join(words[half:] + words[:half])]
+        for _ in range(8):
+            w = list(words)
+            for _ in range(draw.randint(1, 4)):
+                at = draw.randrange(len(w))
+                w[at : at + draw.randint(0, 2)] = ["y"] * draw.randint(0, 5)
+                w = w or ["z"]
+            texts.append(" ".join(["a", *w, "b", *(w if draw.random() < 0.3 else [])]))
+    out = {r["doc_id"]: r["labels"] for r in license_scan.scan_licenses(spark.createDataFrame(rows(*texts), SCHEMA), base=[]).collect()}
+    assert len(out) > 200 and out == {i: ",".join(notice_labels(t.split())) for i, t in enumerate(texts, 1)}
+    long = next(p for _, label, p in license_scan.NOTICES if p.startswith("permission is hereby")).split()
+    assert "mit" == out[texts.index(" ".join([*long[:14], *["x"] * 4, *long[14:]])) + 1]
+
+
 def test_a_notice_beside_its_own_beginning(spark):
     texts = ["Licensed under CC. Licensed under CC BY 4.0", "licensed under cc by licensed under cc by sa 4 0", "licensed under cc by"]
     out = {r["doc_id"]: r["labels"] for r in license_scan.scan_licenses(spark.createDataFrame(rows(*texts), SCHEMA)).collect()}
@@ -313,6 +360,9 @@ def test_quality(spark, docs, none):
         covered = {j for i, x in enumerate(windows) if windows.count(x) > 1 for j in range(i, i + 5)} if len(w) < 1000 else set()
         lines = [x for x in t.split("\n") if x.strip()]
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered))
+    keyless = table.unionByName(docs.select(*table.columns)).unionByName(spark.createDataFrame([(None, "no key", *[None] * (len(table.columns) - 2))], table.select("doc_id", "text", *[c for c in table.columns if c not in ("doc_id", "text")]).schema))
+    near, far = (sorted(map(tuple, quality.flagged(keyless, trusted, "text", "doc_id", most).collect()), key=repr) for most in (quality.MOST_IDS, 0))
+    assert near == far and len(near) == keyless.count() and sum(t for _, t in near) >= 80
     odd = quality.score_quality(table.withColumn("__words", F.lit(5)).withColumn("kept", F.lit("x")), trusted)
     assert odd.columns == [*table.columns, "__words", "kept", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr"]
     assert {(r["__words"], type(r["kept"])) for r in odd.collect()} == {(5, bool)} and "__words" not in quality.base_rules(table).columns
