@@ -1,7 +1,7 @@
 """Stupid-backoff language-model scores, computed relationally.
 
 Documents are gathered into blocks. A block keeps its texts as places in its own list of distinct
-words, so a text is cut into words once. Of each block, the hashes of its distinct unigrams and bigrams,
+words, so a text is cut into words once. Of each block, the hashes of its distinct n-grams,
 with their counts there, are exploded to the hash partitions of the count table; each partition adds up its n-grams'
 counts over all blocks and sends every block the counts of the n-grams it asked for; the block's
 documents are then scored and summed. An n-gram occurs once a block at most, however common it is, so no n-gram is hot, and the
@@ -43,33 +43,52 @@ def _from_planes(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
-def _pairs(seq: np.ndarray, counts: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the bigrams at all places, and which places have one (a text's first word has none)."""
-    first = np.zeros(seq.size, dtype=bool)
-    first[(np.cumsum(counts) - counts)[counts > 0]] = True
-    codes = np.empty(seq.size, dtype=np.uint64)
-    codes[1:] = seq[:-1].astype(np.uint64) * np.uint64(n_words) + seq[1:].astype(np.uint64)
-    return codes, ~first
-
-
-def _grams(uni: np.ndarray, seq: np.ndarray, counts: np.ndarray):
-    """Hashes of a block's distinct words and bigrams, how often each occurs in it, and each place's bigram number (-1: none)."""
-    codes, has = _pairs(seq, counts, max(1, uni.size))
-    distinct, inverse, n = np.unique(codes[has], return_inverse=True, return_counts=True)
-    place = np.full(seq.size, -1, dtype=np.int64)
-    place[has] = inverse
-    left, right = distinct // np.uint64(max(1, uni.size)), distinct % np.uint64(max(1, uni.size))
-    pair = mix(mix(uni[left.astype(np.int64)] + _STEP) ^ uni[right.astype(np.int64)])
-    hashes = np.concatenate([mix(uni ^ _STEP), pair])
-    return hashes, np.concatenate([np.bincount(seq, minlength=uni.size), n]).astype(np.uint32), place
-
-
-def blocks_of(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> DataFrame:
+def _grams(uni: np.ndarray, seq: np.ndarray, counts: np.ndarray, order: int):
+    """Hashes of a block's distinct n-grams of 1 to order words, how often each occurs in it, and for each length the number, among those of that length, of the n-gram that ends at each place (-1: the text has too few words before it)."""
+    starts = np.cumsum(counts) - counts
+    before = np.arange(seq.size) - np.repeat(starts, counts)
+    n_words = np.uint64(max(1, uni.size))
+    hashes, times, places = [mix(uni ^ _STEP)], [np.bincount(seq, minlength=uni.size)], [seq]
+    chain = uni
+    for n in range(2, order + 1):
+        has = np.flatnonzero(before >= n - 1)
+        codes = places[-1][has - 1].astype(np.uint64) * n_words + seq[has].astype(np.uint64)
+        distinct, inverse, found = np.unique(codes, return_inverse=True, return_counts=True)
+        chain = mix(mix(chain[(distinct // n_words).astype(np.int64)] + _STEP) ^ uni[(distinct % n_words).astype(np.int64)])
+        place = np.full(seq.size, -1, dtype=np.int64)
+        place[has] = inverse
+        hashes.append(chain)
+        times.append(found)
+        places.append(place)
+    return np.concatenate(hashes), np.concatenate(times).astype(np.uint32), places
+
+
+def _parts(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """The hash partition of each n-gram."""
+    return ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def _log_scores(found: np.ndarray, places: list[np.ndarray], total: int, min_count: int, backoff: float) -> np.ndarray:
+    """The log score of each place, from the shortest n-grams up: one that is common enough replaces what shorter ones gave, another backs off to it."""
+    sizes = np.cumsum([0] + [int(p.max(initial=-1)) + 1 for p in places])
+    short = found[: sizes[1]][places[0]]
+    logs = np.log(short) - np.log(max(1, total))
+    for place, a, b in zip(places[1:], sizes[1:], sizes[2:]):
+        has = np.flatnonzero(place >= 0)
+        here = found[a:b][place[has]]
+        seen = here >= min_count
+        logs[has] = np.where(seen, np.log(np.maximum(here, 1)) - np.log(short[has - 1]), logs[has] + np.log(backoff))
+        short = np.ones(place.size)
+        short[has] = here
+    return logs
+
+
+def blocks_of(docs: DataFrame, id_col: str, text_col: str, block_bytes: int, order: int) -> DataFrame:
     """(block, ids, counts, words, places, n_grams): documents in blocks of about block_bytes of text."""
     def pack(ids: list, texts: list[bytes]) -> dict:
         hashes, counts = word_hashes(texts)
         uni, seq = np.unique(hashes, return_inverse=True)
-        grams = _grams(uni, seq, counts)[0].size
+        grams = _grams(uni, seq, np.asarray(counts, dtype=np.int64), order)[0].size
         key = int(mix(np.array([len(texts), hashes.size, hashes.sum(dtype=np.uint64) if hashes.size else 0], dtype=np.uint64)).sum(dtype=np.uint64) >> np.uint64(1))
         key ^= hash(tuple(ids)) & 0x7FFFFFFFFFFFFFFF
         return {"block": key, "ids": ids, "counts": counts, "words": uni.tobytes(), "places": _planes(seq.astype(np.uint32)), "n_grams": grams}
@@ -92,17 +111,24 @@ def blocks_of(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) ->
     return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "block bigint, ids array<bigint>, counts array<bigint>, words binary, places binary, n_grams bigint")
 
 
-def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_count: int = 2, backoff: float = 0.4, block_bytes: int = 1 << 23, partition_grams: int = 1 << 20) -> DataFrame:
+def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 2, min_count: int = 2, backoff: float = 0.4, block_bytes: int = 1 << 23, partition_grams: int = 1 << 20) -> DataFrame:
     """One row per row of docs: id_col, n_words, log_score, mean_score.
 
-    Words are runs of characters other than ASCII white space, A-Z lower-cased. Counts are taken over
-    all texts of docs. A text's first word w scores c(w) / N; a later word w after v scores c(v w) /
-    c(v) if the bigram occurs min_count times or more, else backoff * c(w) / N. log_score is the sum of
+    Words are runs of characters other than ASCII white space, A-Z lower-cased. Counts of n-grams of 1
+    to order words are taken over all texts of docs. A word w after the order - 1 words v before it in its text, or
+    all of them if fewer, scores c(v w) / c(v) if the n-gram v w occurs min_count times or more, else
+    backoff times what w scores after v without its first word; after no words it scores c(w) / N. log_score is the sum of
     the natural logs, mean_score that over n_words. A null, empty or blank text has n_words 0,
-    log_score 0 and a null mean_score. Repeated rows and null ids are scored each. Other columns of
-    docs are ignored, whatever their names.
+    log_score 0 and a null mean_score. Repeated rows and null ids are scored each; ids are whole numbers
+    (strings that hold none end the job). Other columns of docs are ignored, whatever their names.
+
+    An n-gram is told from others by its partition and 48 more bits of its hash. A partition holds about
+    partition_grams n-grams at every size of the corpus, so an n-gram takes over the count of another one with a chance of
+    partition_grams / 2^48 (by default 4e-9), however many there are.
     """
-    blocks = materialize(blocks_of(docs, id_col, text_col, block_bytes).withColumn("block", F.xxhash64("block", F.monotonically_increasing_id())), "blocks")
+    if order < 1:
+        raise ValueError("order must be 1 or more")
+    blocks = materialize(blocks_of(docs, id_col, text_col, block_bytes, order).withColumn("block", F.xxhash64("block", F.monotonically_increasing_id())), "blocks")
     size = blocks.agg(F.sum("n_grams").alias("n"), F.sum(F.aggregate("counts", F.lit(0).cast("bigint"), lambda s, x: s + x)).alias("words")).first()
     parts, total = max(1, -(-(size["n"] or 0) // partition_grams)), size["words"] or 0
 
@@ -110,11 +136,11 @@ def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             for row in batch.to_pylist():
                 uni, seq = np.frombuffer(row["words"], np.uint64), _from_planes(row["places"], np.uint32).astype(np.int64)
-                hashes, n, _ = _grams(uni, seq, np.array(row["counts"], dtype=np.int64))
-                part = ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                ends = np.searchsorted(part[order], np.arange(parts + 1))
-                rows = [(p, order[a:b]) for p, (a, b) in enumerate(zip(ends, ends[1:])) if b > a]
+                hashes, n, _ = _grams(uni, seq, np.array(row["counts"], dtype=np.int64), order)
+                part = _parts(hashes, parts)
+                ranked = np.argsort(part, kind="stable")
+                ends = np.searchsorted(part[ranked], np.arange(parts + 1))
+                rows = [(p, ranked[a:b]) for p, (a, b) in enumerate(zip(ends, ends[1:])) if b > a]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([p for p, _ in rows], pa.int64()), pa.array([row["block"]] * len(rows), pa.int64()), pa.array([_pack48(mix(hashes[o]) & _LOW48) for _, o in rows], pa.binary()), pa.array([_planes(n[o]) for _, o in rows], pa.binary())],
                     names=["part", "block", "grams", "n"],
@@ -131,24 +157,16 @@ def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         out = []
         for row in left.itertuples():
             uni, seq, counts = np.frombuffer(row.words, np.uint64), _from_planes(row.places, np.uint32).astype(np.int64), np.asarray(row.counts, dtype=np.int64)
-            hashes, _, place = _grams(uni, seq, counts)
-            part = ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+            hashes, _, places = _grams(uni, seq, counts, order)
             found = np.empty(hashes.size)
             if hashes.size:
-                found[np.argsort(part, kind="stable")] = np.concatenate([_from_planes(t, np.uint64) for t in right.sort_values("part")["totals"]])
-            one, two = found[: uni.size], found[uni.size :]
-            here = place >= 0
-            pair = np.where(here, two[np.where(here, place, 0)] if two.size else 0.0, 0.0)
-            seen = here & (pair >= min_count)
-            before = np.concatenate([seq[:1], seq[:-1]])
-            logs = np.where(seen, np.log(np.maximum(pair, 1)) - np.log(one[before]), np.log(one[seq]) - np.log(max(1, total)) + np.where(here, np.log(backoff), 0.0))
+                found[np.argsort(_parts(hashes, parts), kind="stable")] = np.concatenate([_from_planes(t, np.uint64) for t in right.sort_values("part")["totals"]])
+            logs = _log_scores(found, places, total, min_count, backoff)
             ends = np.cumsum(counts)
-            run = np.concatenate([[0.0], np.cumsum(logs)])
             full = counts > 0
             sums = np.zeros(counts.size)
             if full.any():
                 sums[full] = np.add.reduceat(logs, (ends - counts)[full])
-            del run
             out.append(pd.DataFrame({id_col: pd.array(row.ids, dtype="Int64"), "n_words": counts, "log_score": sums, "mean_score": pd.array(np.where(full, sums / np.maximum(counts, 1), np.nan)).astype("Float64")}))
         return pd.concat(out) if out else pd.DataFrame({id_col: [], "n_words": [], "log_score": [], "mean_score": []})
 

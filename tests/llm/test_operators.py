@@ -1,7 +1,9 @@
 """The corpus operators on small fixtures: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns, and brute force."""
 
 import hashlib
+import math
 import random
+from collections import Counter
 
 import pytest
 
@@ -96,6 +98,28 @@ def test_lm(docs, none):
     assert lm.stupid_backoff(none).count() == 0
 
 
+@pytest.mark.parametrize("order", [1, 2, 3, 5])
+def test_lm_orders(spark, order):
+    draw = random.Random(order)
+    texts = [" ".join(draw.choice("abcdef") for _ in range(draw.choice([0, 1, 2, 3, 40, 200]))) for _ in range(60)] + [None, "A b\tC  a", "a b c a"]
+    words = [(t or "").lower().split() for t in texts]
+    counts = Counter(tuple(w[i : i + n]) for w in words for n in range(1, order + 1) for i in range(len(w) - n + 1))
+    total = sum(map(len, words))
+
+    def score(gram):
+        if len(gram) == 1:
+            return math.log(counts[gram] / total)
+        return math.log(counts[gram] / counts[gram[:-1]]) if counts[gram] >= 3 else math.log(0.4) + score(gram[1:])
+
+    want = [sum(score(tuple(w[max(0, i - order + 1) : i + 1])) for i in range(len(w))) for w in words]
+    out = lm.stupid_backoff(spark.createDataFrame(rows(*texts), SCHEMA), order=order, min_count=3, block_bytes=900, partition_grams=200).collect()
+    got = {r["doc_id"]: r for r in out}
+    assert len(out) == len(texts)
+    for i, (w, x) in enumerate(zip(words, want)):
+        assert got[i + 1]["n_words"] == len(w) and abs(got[i + 1]["log_score"] - x) < 1e-6, i
+        assert w == [] and got[i + 1]["mean_score"] is None or abs(got[i + 1]["mean_score"] - x / len(w)) < 1e-6
+
+
 def test_near_dup(spark, docs, none):
     out = near_dup.near_duplicates(docs, k=2).collect()
     by = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"], r["kept"]) for r in out)
