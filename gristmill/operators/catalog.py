@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions import lexicon as lex
 from gristmill.functions import scalar as fn
+from gristmill.sources.tables import written
 
 FIELDS = ["sku_upc", "product_name", "color", "msrp", "your_cost", "qty", "notes"]
 _BY_LENGTH = sorted(lex.KNOWN_COLORS, key=lambda c: (-len(c), c))
@@ -154,26 +155,70 @@ def line_colors(line: Column, nearest=_nearest_of_all) -> Column:
     return F.flatten(F.transform(_line_tokens(line), of_token))
 
 
-def context_colors(near: Column, text: Column, sku: Column, name: Column) -> Column:
-    """Colours named in the lines near a product, after a colour label of its SKU, or by its name."""
-    lines = F.filter(F.transform(F.split(clean_scan(near), "\n"), fn.strip), lambda x: (x != "") & ~x.rlike(r"^\$\d+|^[A-Z$]\d{4,}|^\d+[Kk]\s") & (F.length(x) <= 80))
-    found = F.flatten(F.transform(lines, lambda x: line_colors(x)))
+def _context_lines(near: Column) -> Column:
+    """The lines near a product that may name colours."""
+    return F.filter(F.transform(F.split(clean_scan(near), "\n"), fn.strip), lambda x: (x != "") & ~x.rlike(r"^\$\d+|^[A-Z$]\d{4,}|^\d+[Kk]\s") & (F.length(x) <= 80))
+
+
+def _labelled(text: Column, sku: Column) -> Column:
+    """What a colour label lists after a product's SKU."""
     at = F.instr(text, sku)
     label = F.regexp_extract(F.when(at > 0, F.substring(text, at, F.lit(300))).otherwise(""), r"[Cc]olou?rs?\s*[:=]\s*(.+?)(?:\n|$)", 1)
-    labelled = F.filter(F.transform(F.split(label, r"[,/|]+"), lambda x: fuzzy_color(x)), lambda c: c != "")
+    return F.split(label, r"[,/|]+")
+
+
+def context_texts(near: Column, text: Column, sku: Column) -> Column:
+    """All texts that context_colors may ask a colour of."""
+    return F.concat(F.flatten(F.transform(_context_lines(near), line_texts)), F.transform(_labelled(text, sku), _asked))
+
+
+def context_colors(near: Column, text: Column, sku: Column, name: Column, nearest=_nearest_of_all) -> Column:
+    """Colours named in the lines near a product, after a colour label of its SKU, or by its name."""
+    found = F.flatten(F.transform(_context_lines(near), lambda x: line_colors(x, nearest)))
+    labelled = F.filter(F.transform(_labelled(text, sku), lambda x: fuzzy_color(x, nearest)), lambda c: c != "")
     both = F.concat(found, labelled)
     extra = F.lower(name).contains("del dia") & ~F.exists(both, lambda c: F.lower(c).contains("del dia"))
     return distinct_colors(F.concat(both, F.when(extra, F.array(F.lit("Del Dia"))).otherwise(F.array().cast("array<string>"))))
 
 
-def catalog_color(name: Column) -> Column:
+def _name_ends(name: Column) -> tuple[Column, Column]:
+    """What follows a dash in a catalog name, and what stands in parentheses."""
+    return fn.strip(F.regexp_extract(name, r"\s[-–]\s+(.+)$", 1)), fn.strip(F.regexp_extract(name, r"\(([^)]+)\)", 1))
+
+
+def name_texts(name: Column) -> Column:
+    """All texts that catalog_color may ask a colour of."""
+    return F.transform(F.array(*_name_ends(name)), _asked)
+
+
+def catalog_color(name: Column, nearest=_nearest_of_all) -> Column:
     """The colour in a catalog name: after a dash, in parentheses, or Del Dia anywhere."""
-    tail, inner = fn.strip(F.regexp_extract(name, r"\s[-–]\s+(.+)$", 1)), fn.strip(F.regexp_extract(name, r"\(([^)]+)\)", 1))
+    tail, inner = _name_ends(name)
     dia = F.lower(name).contains("del dia")
-    found = F.coalesce(F.when(F.lower(tail).contains("del dia"), "Del Dia"), F.nullif(fuzzy_color(tail), F.lit("")), F.nullif(fuzzy_color(inner), F.lit("")), F.when(dia, "Del Dia"))
+    found = F.coalesce(F.when(F.lower(tail).contains("del dia"), "Del Dia"), F.nullif(fuzzy_color(tail, nearest), F.lit("")), F.nullif(fuzzy_color(inner, nearest), F.lit("")), F.when(dia, "Del Dia"))
     return F.coalesce(found, F.lit(""))
 
 
+def with_nearest(rows: DataFrame, texts: Column, name: str = "near") -> DataFrame:
+    """rows with a map from each of its texts to the known colour nearest to it, where one is near: each distinct text of all rows is looked up once, in the index.
+
+    The rows are written first, so that they keep their numbers. Null texts have no colour."""
+    held = written(rows.withColumns({"__row": F.monotonically_increasing_id(), "__texts": F.array_distinct(F.coalesce(texts, F.array().cast("array<string>")))}), "asked")
+    each = held.select("__row", F.explode("__texts").alias("low"))
+    found = each.join(nearest_colors(each), "low").groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct("low", "near"))).alias(name))
+    return held.join(found, "__row", "left").withColumn(name, F.coalesce(name, F.create_map().cast("map<string,string>"))).drop("__row", "__texts")
+
+
+def by_map(name: str = "near"):
+    """The nearest colour of a text as with_nearest holds it."""
+    return lambda low: F.try_element_at(F.col(name), low)
+
+
+def with_catalog_color(rows: DataFrame, name: str, color: str = "color") -> DataFrame:
+    """rows with the colour in a catalog name: catalog_color, but each distinct text is looked up once, in the index."""
+    return with_nearest(rows, name_texts(F.col(name)), "__near").withColumn(color, catalog_color(F.col(name), by_map("__near"))).drop("__near")
+
+
 def page_quantities(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(r"(?i)\b(\d+(?:\.\d+)?)\s*K\b|\b(\d[\d,]*)\s*ea\b"), 0), lambda q: fn.qty_value(fn.strip(q)))
 
@@ -189,14 +234,19 @@ def sku_lines(pages: DataFrame) -> DataFrame:
     bases = F.array_distinct(F.transform("names", lambda n: F.lower(fn.strip(F.regexp_replace(n, r"(?i)\s*[-–]\s*(Del\s+Dia|Del).*$", "")))))
     rows = rows.withColumn("multi", (F.size("skus") >= 2) & (F.size(bases) > 1))
 
-    def around(sku: Column, i: Column) -> Column:
+    def sides(i: Column) -> Column:
         after = F.get("gaps", i + 1)
-        sides = F.array(F.get("gaps", i), F.when(i + 1 < F.size("skus"), after).otherwise(F.substring(after, 1, 400)))
-        return distinct_colors(F.flatten(F.transform(sides, lambda side: context_colors(side, F.col("text"), sku, F.get("names", i)))))
+        return F.array(F.get("gaps", i), F.when(i + 1 < F.size("skus"), after).otherwise(F.substring(after, 1, 400)))
+
+    def asked(sku: Column, i: Column) -> Column:
+        return F.concat(F.flatten(F.transform(sides(i), lambda side: context_texts(side, F.col("text"), sku))), name_texts(F.get("names", i)))
+
+    def around(sku: Column, i: Column) -> Column:
+        return distinct_colors(F.flatten(F.transform(sides(i), lambda side: context_colors(side, F.col("text"), sku, F.get("names", i), by_map()))))
 
-    rows = rows.withColumn("colors", F.transform("skus", around))
+    rows = with_nearest(rows, F.flatten(F.transform("skus", asked))).withColumn("colors", F.transform("skus", around))
     rows = rows.withColumn("all", distinct_colors(F.flatten("colors"))).select("*", F.posexplode("skus").alias("i", "sku")).withColumn("name", F.get("names", F.col("i"))).filter(F.length("name") >= 3)
-    own, named = F.get("colors", F.col("i")), catalog_color(F.col("name"))
+    own, named = F.get("colors", F.col("i")), catalog_color(F.col("name"), by_map())
     chosen = F.when(F.size(own) > 0, own).when(~F.col("multi") & (F.size("all") > 0), F.col("all")).otherwise(F.array(named))
     rows = rows.select("*", F.posexplode(F.when(F.col("multi"), F.slice(chosen, 1, 1)).otherwise(chosen)).alias("k", "shade")).withColumn("pos", F.col("i") * 1000 + F.col("k"))
     return _out(rows, sku_upc=F.col("sku"), product_name=F.col("name"), color=F.col("shade"), msrp=F.concat(F.lit("$"), F.get("prices", F.col("i"))), qty=F.get("qtys", F.col("i")))
@@ -207,7 +257,8 @@ def name_lines(pages: DataFrame) -> DataFrame:
     pairs = F.arrays_zip(*(F.regexp_extract_all("text", F.lit("(?U)" + lex.NAME_LINE), i).alias(c) for i, c in ((1, "n"), (2, "p"))))
     rows = pages.select("filename", "page_num", F.posexplode(pairs).alias("pos", "x")).withColumn("name", fn.clean_text(F.col("x.n")))
     rows = rows.filter((F.length("name") >= 4) & ~F.lower("name").rlike("^(?:fall ats|august ship|packs &)"))
-    return _out(rows, product_name=F.col("name"), color=catalog_color(F.col("name")), msrp=F.concat(F.lit("$"), F.col("x.p")))
+    rows = with_catalog_color(rows, "name")
+    return _out(rows, product_name=F.col("name"), color=F.col("color"), msrp=F.concat(F.lit("$"), F.col("x.p")))
 
 
 def _kind(cell: Column, words: list[tuple[str, list[str]]]) -> Column:
@@ -261,7 +312,7 @@ def block_lines(pages: DataFrame) -> DataFrame:
 
 
 def catalog_products(pages: DataFrame) -> DataFrame:
-    """(filename, page_num, strategy, pos, …): of each page the rows of the first way to read it that finds any."""
+    """(filename, page_num, strategy, pos, …): of each page the rows of the first way to read it that finds any. Pages of equal filename and page_num, nulls too, are one page."""
     every = reduce(DataFrame.unionByName, (f(pages).withColumn("strategy", F.lit(i + 1)) for i, f in enumerate((sku_lines, name_lines, table_lines, block_lines))))
-    best = every.groupBy("filename", "page_num").agg(F.min("strategy").alias("strategy"))
-    return every.join(best, ["filename", "page_num", "strategy"]).select("filename", "page_num", "strategy", "pos", *FIELDS)
+    best = F.min("strategy").over(Window.partitionBy("filename", "page_num"))
+    return every.withColumn("best", best).filter("strategy = best").select("filename", "page_num", "strategy", "pos", *FIELDS)

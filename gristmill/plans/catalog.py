@@ -33,7 +33,7 @@ _add("color_words", lambda s, d: cat.with_colors(table(s, d, "documents").select
 _SCAN = "CASE p_partkey % 6 WHEN 0 THEN 'FAnGUE C/O COTOPAXI BLACK C/O' WHEN 1 THEN 'TERRA noo (DEEP SEA) C/O 12K' WHEN 2 THEN 'Menerai' WHEN 3 THEN 'cotoran bak' WHEN 4 THEN 'wholesale pack' ELSE 'Midnihgt, ' || 'red' END"
 _add("color_line", lambda s, d: cat.with_line_colors(table(s, d, "part").select("p_partkey", F.expr(_SCAN).alias("line")), "line").select("p_partkey", F.array_join(cat.distinct_colors(F.col("colors")), ";").alias("colors")), "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'Fatigue;Cotopaxi Black' WHEN 1 THEN 'Terra;Deep Sea' WHEN 2 THEN 'Mineral' WHEN 3 THEN 'Cotopaxi Black' WHEN 4 THEN '' ELSE 'Red' END AS colors FROM part")
 _NAMED = "p_name || CASE p_partkey % 4 WHEN 0 THEN ' - Del Dia 2' WHEN 1 THEN ' – Navvy' WHEN 2 THEN ' (Spruse)' ELSE ' del dia' END"
-_add("color_catalog_name", lambda s, d: table(s, d, "part").select("p_partkey", cat.catalog_color(F.expr(_NAMED)).alias("color")), "SELECT p_partkey, CASE p_partkey % 4 WHEN 1 THEN 'Navy' WHEN 2 THEN 'Spruce' ELSE 'Del Dia' END AS color FROM part")
+_add("color_catalog_name", lambda s, d: cat.with_catalog_color(table(s, d, "part").select("p_partkey", F.expr(_NAMED).alias("name")), "name").drop("name"), "SELECT p_partkey, CASE p_partkey % 4 WHEN 1 THEN 'Navy' WHEN 2 THEN 'Spruce' ELSE 'Del Dia' END AS color FROM part")
 _add("scan_cleanup", lambda s, d: table(s, d, "part").select("p_partkey", cat.clean_scan(F.expr("'a®b  \t c * d ' || p_name || '  ™ e, f'")).alias("t")), "SELECT p_partkey, 'ab c  d ' || p_name || ' e, f' AS t FROM part")
 
 # catalog pages of five kinds: two products; one product in two colours; names and prices; a table; blocks
