@@ -96,12 +96,17 @@ _add("catalog_stats", lambda s, d: op.stats(raw_offers(s, d)), f"WITH r AS ({RAW
 _add("export_projection", lambda s, d: raw_offers(s, d).select("ord", *(F.col(c).alias(n) for c, n in lex.EXPORT_NAMES.items())), f"WITH r AS ({RAW_OFFERS}) SELECT ord, " + ", ".join(f'{c} AS "{n}"' for c, n in lex.EXPORT_NAMES.items()) + " FROM r")
 _add("sheet_split", lambda s, d: op.sheets(raw_offers(s, d)), f"WITH r AS ({RAW_OFFERS}) SELECT substr(category, 1, 31) AS sheet, count(*) AS n_rows, min(ord) AS first_ord FROM r GROUP BY 1")
 _add("data_score_histogram", lambda s, d: raw_offers(s, d).groupBy(op.data_score().cast("bigint").alias("score")).agg(F.count("*").alias("n")), f"WITH r AS ({RAW_OFFERS}) SELECT CAST({_SCORE} AS BIGINT) AS score, count(*) AS n FROM r GROUP BY 1")
-_add("price_sheet_clean", lambda s, d: table(s, d, "orders").select("o_orderkey", fn.sheet_price(F.concat(F.lit("USD "), F.format_number("o_totalprice", 2))).alias("price")), "SELECT o_orderkey, '$' || printf('%.2f', CAST(printf('%.2f', o_totalprice) AS DOUBLE)) AS price FROM orders")
-_add("sku_sheet_clean", lambda s, d: table(s, d, "part").select("p_partkey", fn.sheet_sku(F.concat(F.lit("00"), F.col("p_partkey").cast("string"), F.when(F.col("p_partkey") % 2 == 0, ".0").otherwise("A"))).alias("sku")), "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_partkey AS VARCHAR) ELSE '00' || CAST(p_partkey AS VARCHAR) || 'A' END AS sku FROM part")
-_add("sku_validate", lambda s, d: raw_offers(s, d).select("ord", fn.valid_sku(F.col("sku_upc")).alias("sku")), f"WITH r AS ({RAW_OFFERS}) SELECT ord, CASE WHEN regexp_matches(sku_upc, '^[A-Za-z0-9][A-Za-z0-9_.\\-]{{2,29}}$') THEN sku_upc ELSE '' END AS sku FROM r")
+_SHEET_PRICES = "CASE o_orderkey % 4 WHEN 0 THEN 'USD ' || format_number(o_totalprice, 2) WHEN 1 THEN cast(o_orderkey AS string) || ' EUR' WHEN 2 THEN 'v1.' || cast(o_orderkey AS string) || '.2' ELSE 'call us' END"
+_add("price_sheet_clean", lambda s, d: table(s, d, "orders").select("o_orderkey", fn.sheet_price(F.expr(_SHEET_PRICES)).alias("price")), "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '$' || printf('%.2f', CAST(printf('%.2f', o_totalprice) AS DOUBLE)) WHEN 1 THEN '$' || o_orderkey || '.00' WHEN 2 THEN 'v1.' || o_orderkey || '.2' ELSE 'call us' END AS price FROM orders")
+_SHEET_SKUS = "CASE p_partkey % 6 WHEN 0 THEN '00' || cast(p_partkey AS string) || '.0' WHEN 1 THEN '00' || cast(p_partkey AS string) || 'A' WHEN 2 THEN '000' || cast(1000000000000000 + p_partkey AS string) WHEN 3 THEN cast(p_partkey AS string) || '.50' WHEN 4 THEN cast(p_partkey AS string) || 'e2' ELSE '' END"
+_add("sku_sheet_clean", lambda s, d: table(s, d, "part").select("p_partkey", fn.sheet_sku(F.expr(_SHEET_SKUS)).alias("sku")), "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN p_partkey::VARCHAR WHEN 1 THEN '00' || p_partkey || 'A' WHEN 2 THEN (1000000000000000 + p_partkey)::VARCHAR WHEN 3 THEN p_partkey || '.50' WHEN 4 THEN (p_partkey * 100)::VARCHAR ELSE '' END AS sku FROM part")
+_SKUS = "CASE ord % 8 WHEN 0 THEN sku_upc WHEN 1 THEN 'Display' || cast(ord AS string) WHEN 2 THEN repeat('x', 51) WHEN 3 THEN 'a b c d e' || cast(ord AS string) WHEN 4 THEN '€' || cast(ord AS string) || '00' WHEN 5 THEN 'ab' WHEN 6 THEN '  A_b-1.' || cast(ord AS string) || ' ' ELSE '-x' || cast(ord AS string) END"
+_add("sku_validate", lambda s, d: raw_offers(s, d).select("ord", fn.valid_sku(F.expr(_SKUS)).alias("sku")), f"WITH r AS ({RAW_OFFERS}) SELECT ord, CASE WHEN ord % 8 = 6 THEN 'A_b-1.' || ord WHEN ord % 8 = 0 AND regexp_matches(sku_upc, '^[A-Za-z0-9][A-Za-z0-9_.\\-]{{2,29}}$') THEN sku_upc ELSE '' END AS sku FROM r")
 _add("qty_parse", lambda s, d: table(s, d, "lineitem").select("l_orderkey", "l_linenumber", fn.qty_in_text(F.concat(F.lit("stock "), F.col("l_quantity").cast("int").cast("string"), F.when(F.col("l_linenumber") % 2 == 0, "K now").otherwise(" pcs"))).alias("qty")), "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN format('{:,}', CAST(l_quantity AS INT) * 1000) ELSE CAST(CAST(l_quantity AS INT) AS VARCHAR) END AS qty FROM lineitem")
-_add("price_web_normalize", lambda s, d: table(s, d, "orders").select("o_orderkey", fn.web_price(F.concat(F.lit("now $"), F.format_number("o_totalprice", 2), F.lit(" each"))).alias("price")), "SELECT o_orderkey, '$' || format('{:,.2f}', o_totalprice) AS price FROM orders")
-_add("price_best", lambda s, d: table(s, d, "orders").select("o_orderkey", fn.best_price(F.concat(F.lit("Sale $12.50 Regular Price: $"), F.format_number("o_totalprice", 2))).alias("price")), "SELECT o_orderkey, '$' || format('{:,.2f}', o_totalprice) AS price FROM orders")
+_WEB_PRICES = "CASE o_orderkey % 7 WHEN 0 THEN 'now $' || format_number(o_totalprice, 2) || ' each' WHEN 1 THEN format_number(o_totalprice, 2) WHEN 2 THEN '£12.50 was ' || cast(o_orderkey AS string) WHEN 3 THEN 'sold out' WHEN 4 THEN 'from $3 lot ' || cast(10000 + o_orderkey AS string) WHEN 5 THEN 'about ' || cast(10000 + o_orderkey AS string) || ' or so' ELSE '' END"
+_add("price_web_normalize", lambda s, d: table(s, d, "orders").select("o_orderkey", fn.web_price(F.expr(_WEB_PRICES)).alias("price")), "SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN '$' || format('{:,.2f}', o_totalprice) WHEN 1 THEN '$' || format('{:,.2f}', o_totalprice) WHEN 2 THEN '$12.50' WHEN 4 THEN '$' || format('{:,}', 10000 + o_orderkey) || '.00' WHEN 5 THEN '$' || substr((10000 + o_orderkey)::VARCHAR, 1, 3) || '.00' ELSE '' END AS price FROM orders")
+_BEST_PRICES = "CASE o_orderkey % 5 WHEN 0 THEN 'Sale $12.50 Regular Price: $' || format_number(o_totalprice, 2) WHEN 1 THEN 'msrp ' || cast(10000 + o_orderkey AS string) WHEN 2 THEN 'now €45.20 only' WHEN 3 THEN 'price: $5 lot ' || cast(10000 + o_orderkey AS string) ELSE 'nothing' END"
+_add("price_best", lambda s, d: table(s, d, "orders").select("o_orderkey", fn.best_price(F.expr(_BEST_PRICES)).alias("price")), "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN '$' || format('{:,.2f}', o_totalprice) WHEN 1 THEN '$' || substr((10000 + o_orderkey)::VARCHAR, 1, 3) || '.00' WHEN 2 THEN '$45.20' WHEN 3 THEN '$' || format('{:,}', 10000 + o_orderkey) || '.00' ELSE '' END AS price FROM orders")
 _add("product_indicators", lambda s, d: table(s, d, "documents").select("doc_id", fn.product_indicators(F.col("text")).alias("hit")), r"SELECT doc_id, regexp_matches(text, '\$\s*\d|[A-Z]\d{4,}|(?i:msrp)|\b\d+\s*[Kk]\b|\b\d+\s*(?i:ea)\b') AS hit FROM documents")
 _add("url_product_test", lambda s, d: table(s, d, "pages").select("page_id", fn.product_url(F.col("url")).alias("product"), fn.non_product_url(F.col("url")).alias("other"), fn.non_product_path(F.col("url")).alias("barred")), f"SELECT page_id, regexp_matches(url, '(?i){lex.PDP_URL}') AS product, regexp_matches(url, '(?i){lex.NON_PRODUCT_URL}') AS other, list_has_any(string_split(lower(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1)), '/'), {_in(lex.NON_PRODUCT_SEGMENTS)}) AS barred FROM pages")
 _add("cache_key", lambda s, d: table(s, d, "pages").select("page_id", fn.cache_file(F.col("url")).alias("file")), r"SELECT page_id, md5(url) || coalesce(nullif(regexp_extract(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1), '(?i)[^/](\.(?:jpg|jpeg|png|gif|webp|avif|svg))$', 1), ''), '.jpg') AS file FROM pages")

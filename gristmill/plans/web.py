@@ -68,6 +68,18 @@ _PLAIN = "'Discover how style meets everyday cooking.'"
 _add("html_fallback", _plain(pg.pattern_products), _rows(*_TEXT, ("0", "0", "''", "''", "'x'", "''", "''"), ("4", "0", f"{_S} || '/images/' || id || '.jpg'", "''", _PLAIN, "''", "price"), *((k, "0", "''", "''", _PLAIN, "''", "''") for k in "12357")))
 _add("page_features", lambda s, d: rendered(s, d).select("page_id", pg.has_product_schema(F.col("html")).alias("schema"), pg.card_count(F.col("html")).alias("cards"), pg.has_single_price(F.col("html")).alias("one_price"), pg.has_add_to_cart(F.col("html")).alias("cart"), pg.is_shop_platform(F.col("html")).alias("shop"), pg.page_type(F.col("url"), F.col("html")).alias("page_type")),
      f"SELECT p_partkey AS page_id, k IN (0, 1) AS schema, CASE WHEN k = 4 THEN 4 ELSE 0 END AS cards, k = 6 AS one_price, k = 0 AS cart, k = 7 AS shop, CASE WHEN k = 0 THEN 'pdp' WHEN k IN (2, 4) THEN 'category' WHEN k = 6 AND p_partkey > 999999 THEN 'pdp' ELSE 'unknown' END AS page_type FROM {_D}")
+
+# pages that reach every mark of a shop platform and every rule of the page type
+_MARKED = """SELECT p_partkey AS page_id, CASE k WHEN 6 THEN 'https://shop.example.com/products/' || id WHEN 9 THEN 'https://shop.example.com/blog/' || id WHEN 10 THEN 'https://shop.example.com/search?q=' || id WHEN 11 THEN 'https://shop.example.com/' ELSE 'https://shop.example.com/x/' || id END AS url, '<html>' || CASE k
+  WHEN 0 THEN '<script src="https://cdn.shopify.com/s.js"></script>' WHEN 1 THEN '<script>Shopify.theme = 1</script>' WHEN 2 THEN '<a href="https://a.myshopify.com">a</a>'
+  WHEN 3 THEN '<script>p = "Shopify"</script>' WHEN 4 THEN repeat('<p>x</p>', 700) || '<script>p = "Shopify"</script>' WHEN 5 THEN '<meta name="shopify-checkout-api-token" content="t">'
+  WHEN 6 THEN '<span class="price">$9</span>' WHEN 7 THEN '<span class="price">$9</span><button>Add to Bag</button>'
+  WHEN 8 THEN '<b class="price">$9</b><button>Buy now</button>' || repeat('<div class="product-card">' || p_name || '</div>', 4)
+  WHEN 9 THEN '<div itemscope itemtype="https://schema.org/Product"><button>Add to cart</button></div>' WHEN 10 THEN repeat('<div class="product-card">' || p_name || '</div>', 4)
+  ELSE '<a class="btn quick-add" href="/x">' || p_name || '</a>' END || '</html>' AS html FROM (SELECT *, p_partkey % 12 AS k, cast(p_partkey AS string) AS id FROM {part}) AS t"""
+_FEATURES = lambda html, url: (pg.has_product_schema(html).alias("schema"), pg.card_count(html).alias("cards"), pg.has_single_price(html).alias("one_price"), pg.has_add_to_cart(html).alias("cart"), pg.is_shop_platform(html).alias("shop"), pg.page_type(url, html).alias("page_type"))
+_add("page_feature_marks", lambda s, d: s.sql(_MARKED, part=table(s, d, "part")).select("page_id", *_FEATURES(F.col("html"), F.col("url"))),
+     "SELECT p_partkey AS page_id, k = 9 AS schema, CASE WHEN k IN (8, 10) THEN 4 ELSE 0 END AS cards, k IN (6, 7, 8) AS one_price, k IN (7, 8, 9, 11) AS cart, k IN (0, 1, 2, 3, 5) AS shop, CASE WHEN k IN (6, 7) THEN 'pdp' WHEN k = 8 THEN 'category' WHEN k = 9 THEN 'editorial' WHEN k = 10 THEN 'search' WHEN k = 11 THEN 'homepage' ELSE 'unknown' END AS page_type FROM (SELECT *, p_partkey % 12 AS k FROM part)")
 _CASCADE = " UNION ALL ".join(f"SELECT page_id, {n} AS strategy, pos, product_name, msrp FROM ({_rows(*rows)})" for n, rows in ((1, [x for x in _LD if x[0] != "2" or x[1] == "1"]), (2, _NEXT), (3, _CARD), (4, _META), (5, _TEXT)))
 _add("page_extract_score", lambda s, d: pg.page_products(rendered(s, d)).filter("confidence >= 0.45").select("page_id", "strategy", "pos", "product_name", "msrp"), _CASCADE)
 
