@@ -6,13 +6,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from gristmill.functions import lexicon as lex
-from gristmill.plans import sheetfiles
-from gristmill.sources import sheets
+from gristmill.operators import pages as pg
+from gristmill.plans import catalog, layout, sheetfiles, web
+from gristmill.sources import sheets, tables
 
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("made", [sheetfiles._headers], ids=lambda f: f.__name__)
+@pytest.mark.parametrize("made", [sheetfiles._headers, layout.grid_pages, web.rendered, catalog._pages, tables.raw_offers], ids=lambda f: f.__name__)
 def test_a_small_file_is_many_tasks(spark, made):
     assert made(spark, SF).rdd.getNumPartitions() >= 4
 
@@ -35,3 +36,10 @@ def test_columns_take_fields_as_one_by_one(spark):
     df = spark.createDataFrame([(n, [(i, x) for i, x in enumerate(s)]) for n, s in enumerate(sheets_)], "n int, columns array<struct<col: int, name: string>>")
     got = {r[0]: r[1] for r in df.select("n", sheets.field_columns(F.col("columns"))).collect()}
     assert got == {n: one_by_one(s) for n, s in enumerate(sheets_)}
+
+
+def test_signs_are_held_by_all_that_selectors_find():
+    signs = [w for w in pg.CARD_SIGN.split("|")]
+    assert all(any(w in c for w in signs) for c in pg.CARDS)
+    signs = ["price", "money", "sku", "product", "item", "model", "upc", "name", "title", "color", "<h2", "<h3", "<h4"]
+    assert all(any(w in c.lower() for w in signs) for c in [*pg.SKUS, *pg.PRICES, *pg.NAMES, *pg.COLOR_MARK.split("|<")])
