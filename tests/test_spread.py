@@ -43,3 +43,15 @@ def test_signs_are_held_by_all_that_selectors_find():
     assert all(any(w in c for w in signs) for c in pg.CARDS)
     signs = ["price", "money", "sku", "product", "item", "model", "upc", "name", "title", "color", "<h2", "<h3", "<h4"]
     assert all(any(w in c.lower() for w in signs) for c in [*pg.SKUS, *pg.PRICES, *pg.NAMES, *pg.COLOR_MARK.split("|<")])
+
+
+def test_variants_of_a_shop_stay_in_their_product_s_row(spark):
+    def feed(*variants):
+        return '{"products":[{"title":"t","handle":"h","images":[],"variants":[' + ",".join(variants) + "]}]}"
+
+    red, navy, none = '{"id":%d,"sku":"R","option1":"Red"}', '{"id":%d,"sku":"N","option2":"NAVY"}', '{"id":%s,"sku":"X","option1":"12 oz"}'
+    json = feed(none % "7", red % 1, navy % 2, red % 3, none % "7", none % "8", none % "null", none % "null", "null")
+    rows = spark.createDataFrame([(1, "https://a.example.com/x", json), (1, "https://a.example.com/x", feed()), (2, "https://a.example.com/", None)], "page_id bigint, url string, json string")
+    out = pg.shop_products(rows)
+    assert sorted((r["pos"], r["sku_upc"], r["color"]) for r in out.collect()) == [(0, "X", ""), (1, "R", "Red"), (2, "N", "NAVY"), (5, "X", ""), (6, "X", "")]
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString().replace("RoundRobinPartitioning", "")
