@@ -45,6 +45,10 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
 
 
+#: The rank of a pair that is never joined.
+NEVER = 1 << 60
+
+
 class WordBpe:
     """A word-end BPE vocabulary file: NFC, white space folded, lower case, split into words, bytes, merges."""
 
@@ -68,14 +72,23 @@ class WordBpe:
         self.fragments = _Memo(self.merge, cache_entries // 4)
 
     def merge(self, fragment: tuple[str, ...]) -> tuple[str, ...]:
-        """Tokens of one fragment: the best-ranked pair is joined, everywhere at once, until none is left."""
-        parts = list(fragment)
-        rank = self.rank
-        while len(parts) > 1:
-            best, pair = min(((rank.get(p, 1 << 60), p) for p in zip(parts, parts[1:])), key=lambda x: x[0])
-            if best == 1 << 60:
+        """Tokens of one fragment: the best-ranked pair is joined, everywhere at once, until none is left. A pair met once changes its neighbours' ranks only."""
+        parts, rank = list(fragment), self.rank.get
+        ranks = [rank(p, NEVER) for p in zip(parts, parts[1:])]
+        while ranks:
+            best = min(ranks)
+            if best == NEVER:
                 break
-            joined, i = [], 0
+            i = ranks.index(best)
+            if ranks.count(best) == 1:
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+                del ranks[i]
+                if i:
+                    ranks[i - 1] = rank((parts[i - 1], parts[i]), NEVER)
+                if i < len(ranks):
+                    ranks[i] = rank((parts[i], parts[i + 1]), NEVER)
+                continue
+            pair, joined, i = (parts[i], parts[i + 1]), [], 0
             while i < len(parts):
                 if i + 1 < len(parts) and parts[i] == pair[0] and parts[i + 1] == pair[1]:
                     joined.append(parts[i] + parts[i + 1])
@@ -84,6 +97,7 @@ class WordBpe:
                     joined.append(parts[i])
                     i += 1
             parts = joined
+            ranks = [rank(p, NEVER) for p in zip(parts, parts[1:])]
         return tuple(parts)
 
     def cuts(self, symbols: str) -> list[int]:
@@ -92,7 +106,8 @@ class WordBpe:
 
     def encode_word(self, word: str) -> tuple[int, str, str]:
         """(number of tokens, ids joined by blanks, tokens joined by blanks) of one piece of the split."""
-        symbols = "".join([self.alphabet[b] for b in word.encode()])
+        plain = word.isascii() and word.isprintable() and " " not in word  # bytes that stand for themselves
+        symbols = word if plain else "".join([self.alphabet[b] for b in word.encode()])
         at = [0, *self.cuts(symbols), len(symbols)]
         tokens: list[str] = []
         for a, b in zip(at, at[1:]):

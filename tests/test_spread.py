@@ -55,3 +55,23 @@ def test_variants_of_a_shop_stay_in_their_product_s_row(spark):
     out = pg.shop_products(rows)
     assert sorted((r["pos"], r["sku_upc"], r["color"]) for r in out.collect()) == [(0, "X", ""), (1, "R", "Red"), (2, "N", "NAVY"), (5, "X", ""), (6, "X", "")]
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString().replace("RoundRobinPartitioning", "")
+
+
+def test_a_merge_asks_ranks_of_its_neighbours_only():
+    from gristmill.llm.bpe import WordBpe, default_tokenizer_path
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *a):
+            self.asked += 1
+            return super().get(*a)
+
+    bpe = WordBpe(default_tokenizer_path())
+    word = "abcdefghijklmnopqrstuvwxyz"
+    # each letter joins what is held of those before it
+    bpe.rank = Counted({(word[:i], word[i]): i for i in range(1, 26)})
+    assert bpe.merge(tuple(word)) == (word,)
+    assert bpe.rank.asked <= 3 * len(word)
+    bpe.rank = Counted({("a", "a"): 0, ("aa", "a"): 1, ("a", "b"): 2})
+    assert bpe.merge(tuple("aaaaab")) == ("aa", "aaa", "b")
