@@ -1,11 +1,14 @@
 """Work that is heavy a row is dealt over all cores, and asks no more than it must."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from gristmill.functions import lexicon as lex
+from gristmill.functions import scalar as fn
+from gristmill.operators import dom
 from gristmill.operators import pages as pg
 from gristmill.plans import catalog, layout, sheetfiles, web
 from gristmill.sources import sheets, tables
@@ -45,6 +48,44 @@ def test_signs_are_held_by_all_that_selectors_find():
     assert all(any(w in c.lower() for w in signs) for c in [*pg.SKUS, *pg.PRICES, *pg.NAMES, *pg.COLOR_MARK.split("|<")])
 
 
+def test_signs_of_each_field_are_shown_by_all_tags_that_selectors_find():
+    rng = random.Random(3)
+    names = ["class", "itemprop", "id", "data-sku", "data-upc", "data-model", "data-price", "data-sale-price", "data-regular-price", "data-product", "data-product-id", "data-item-id", "data-product-handle", "data-product-listing"]
+    words = ["price", "Price", "money", "sku", "Sku", "model", "name", "product-name", "ProductTitle", "item-title", "item-name", "product-card", "x ProductTile", "grid-product", "plp-item", "plp-x", "search-result-item", "product", "product-item-info", "style-number", "product-id", ""]
+    groups = [(pg.SKUS, pg.SKU_SIGN), (pg.PRICES, pg.PRICE_SIGN), (pg.NAMES, pg.NAME_SIGN), (pg.CARDS, pg.CARD_TAG), (pg.CARDS, pg.CARD_SIGN)]
+    found = [0] * len(groups)
+    for _ in range(3000):
+        tag = f"<{rng.choice(['div', 'li', 'h2', 'h4', 'span'])}" + "".join(f"{rng.choice(' \n')}{rng.choice(names)}{rng.choice(['=', ' = '])}{q}{rng.choice(words)} {rng.choice(words)}{q}" for q in rng.choices("'\"", k=rng.randint(0, 3))) + ">"
+        for i, (selectors, sign) in enumerate(groups):
+            if any(re.search(s, tag) for s in selectors):
+                assert re.search(sign, tag), (tag, sign)
+                found[i] += 1
+    assert min(found) > 300
+
+
+def test_only_pages_that_may_hold_cards_are_parsed(spark, monkeypatch):
+    rng = random.Random(5)
+    bits = ['<div class="product-card" data-sku="A12345">', "<li>", '<li class="product">', "</li>", "</div>", "<ul>", "</ul>", '<a href="/products/1">x</a>', "<IMG src=/a.jpg>", '<h3 class="title">Mug one</h3>', '<span class="price">$12.50</span>', "text of it", '<div class="grid__item">', '<p class="grid-product">', "<script>product Product plp-</script>"]
+    grid = "<ul>" + "<li><img src=/b.jpg>Blue mug $5</li>" * 4 + "</ul>"
+    cards = ['<div data-sku="B12345">Red mug</div>' * n for n in (2, 3)]
+    html = [None, "", "<p>plain</p>", grid, grid.replace("img", "iMg"), *cards, *("".join(rng.choices(bits, k=rng.randint(1, 30))) for _ in range(300))]
+    pages = spark.createDataFrame(list(enumerate(html)), "page_id int, html string").withColumn("url", F.lit("https://s.example.com/"))
+    expected = pg.cards_to_products(dom.cards(dom.parse(pages), pg.CARD_SELECTORS)).drop("row").collect()
+    parse, parsed = dom.parse, []
+    monkeypatch.setattr(dom, "parse", lambda p: (parsed.append(p.select("page_id").collect()), parse(p))[1])
+    assert sorted(pg.card_products(pages).drop("row").collect()) == sorted(expected)
+    took = {r[0] for r in parsed[0]}
+    assert {r["page_id"] for r in expected} <= took and not took & {0, 1, 2, 5} and {3, 4, 6} <= took and len({r["page_id"] for r in expected}) > 30
+
+
+def test_prices_and_urls_stand_once_in_their_plan(spark):
+    row = spark.createDataFrame([("$1,579.99", "https://x.example.com/a/b", "../c")], "p string, b string, h string")
+    out = row.select(fn.web_price(F.concat("p", F.lit(" "))).alias("price"), fn.absolute_url(F.col("b"), F.lower("h")).alias("url"))
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert plan.count("concat(p#") == 1 and plan.count("lower(h#") == 1
+    assert tuple(out.first()) == ("$1,579.99", "https://x.example.com/c")
+
+
 def test_variants_of_a_shop_stay_in_their_product_s_row(spark):
     def feed(*variants):
         return '{"products":[{"title":"t","handle":"h","images":[],"variants":[' + ",".join(variants) + "]}]}"
