@@ -10,6 +10,7 @@ from gristmill.functions import lexicon as lex
 from gristmill.functions import scalar as fn
 from gristmill.operators import dom
 from gristmill.operators import pages as pg
+from gristmill.operators import products as op
 from gristmill.plans import catalog, layout, sheetfiles, web
 from gristmill.sources import sheets, tables
 
@@ -78,6 +79,21 @@ def test_only_pages_that_may_hold_cards_are_parsed(spark, monkeypatch):
     assert {r["page_id"] for r in expected} <= took and not took & {0, 1, 2, 5} and {3, 4, 6} <= took and len({r["page_id"] for r in expected}) > 30
 
 
+def test_offers_are_cleaned_once_and_not_in_the_task_that_reads_them(spark, monkeypatch):
+    offers, plans = tables.raw_offers(spark, SF), []
+    monkeypatch.setattr(op, "written", lambda df, name: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), tables.written(df, name))[1])
+    out = op.clean(offers)
+    assert len(plans) == 1
+    # what stands beneath the exchange only reads; the rest is read from the written table
+    below = plans[0][plans[0].index("Repartition ") :]
+    assert "p_partkey" in below and "rlike" not in below.lower() and "regexp" not in below
+    assert "regexp_extract" not in out._jdf.queryExecution().optimizedPlan().toString()
+    names = [(None,), ("",), ("Mug",), ("Privacy Policy",), ("Blue mug 12 oz",), (" FAQ ",)]
+    rows = spark.createDataFrame([(i, *n, "", "", "", "") for i, n in enumerate(names)], "ord int, product_name string, sku_upc string, msrp string, your_cost string, product_image string")
+    assert sorted(r["ord"] for r in op.filter_non_products(rows).collect()) == sorted(r["ord"] for r in rows.filter(~op.is_non_product(F.col("product_name"))).collect()) == [4]
+    assert op.filter_non_products(rows).columns == rows.columns
+
+
 def test_patterns_look_for_a_page_s_headings_once(spark):
     pages = spark.createDataFrame([(1, "https://s.example.com/a", '<title>T | S</title><h1>Mug</h1><p class="price">$5.00</p><img src=x.jpg>'), (2, "u", "<title>Only – s</title>"), (3, "u", "<h1> </h1><p class=price>$5</p>"), (4, "u", None)], "page_id int, url string, html string")
     out = pg.pattern_products(pages)
